@@ -1,4 +1,4 @@
 """Registered queries by area."""
 
-from lakescope.plans import joins, profiling  # noqa: F401
+from lakescope.plans import joins, logs, profiling, sqlsurface  # noqa: F401
 from lakescope.plans.registry import REGISTRY, query, table  # noqa: F401
