@@ -7,6 +7,7 @@ a second scan counts without sorting the table.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -63,16 +64,14 @@ def _exact_ranks(scored: DataFrame, keys: list) -> DataFrame:
     schema = f"key {scored.schema['key'].dataType.simpleString()}, rank bigint"
     if not listed:
         return spark.createDataFrame([], schema)
-    # gap g holds the rows ranked after listed entry g - 1 and not after entry g
-    def gap(low: int, high: int) -> Column:
-        if low >= high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        s, k = F.lit(listed[mid]["score"]), F.lit(listed[mid]["key"])
-        after = (F.col("score") < s) | ((F.col("score") == s) & (F.col("key") > k))
-        return F.when(after, gap(mid + 1, high)).otherwise(gap(low, mid))
-
-    counts = {r["g"]: r["n"] for r in scored.groupBy(gap(0, len(listed)).alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a row's gap is the number of listed entries ranked before it
+    key_type = scored.schema["key"].dataType.simpleString()
+    entries = json.dumps([{"s": r["score"], "k": r["key"]} for r in listed])
+    table = F.from_json(F.lit(entries), f"array<struct<s:double,k:{key_type}>>")
+    score = F.col("score").cast("double")
+    before = F.filter(table, lambda e: (e["s"] > score) | ((e["s"] == score) & (e["k"] < F.col("key"))))
+    gap = F.size(before)
+    counts = {r["g"]: r["n"] for r in scored.groupBy(gap.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, seen = [], 0
     for i, r in enumerate(listed):
         seen += counts.get(i, 0)
