@@ -128,7 +128,7 @@ def name_candidates(
     columns: DataFrame, cross: bool = False, anchors: DataFrame | None = None, normalise: str | None = None
 ) -> DataFrame:
     """Column pairs of two tables that match by name (rules fk_id, exact, suffix)."""
-    keyed = keyed_columns(columns, normalise)
+    keyed = cut_lineage(keyed_columns(columns, normalise))  # keys are computed once, then read per join side
     scope = [] if cross else ["source_id"]
     apart = _field("l", "tkey") != _field("r", "tkey")
     if cross:
@@ -141,7 +141,8 @@ def name_candidates(
     for s in scope:
         on = on & (_field("l", s) == _field("r", s))
     if anchors is None:
-        same = pairs.self_pairs(keyed, [*scope, "cls", "mkey"], row_id, apart)
+        # "id" never equals another table's column by these rules, only a parent's own key
+        same = pairs.self_pairs(keyed.filter("low <> 'id'"), [*scope, "cls", "mkey"], row_id, apart)
         to_id = children.join(parents, on & apart).select("l", "r")
     else:
         asked = anchors.select(table_key(F.col("source_id"), F.col("table_name")).alias("_asked")).distinct()

@@ -18,6 +18,7 @@ from lakescope.operators import segments
 from lakescope.session import spread
 
 QUARTILES = [0.25, 0.5, 0.75]
+SKETCH_SIZE = 1_000
 TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 
@@ -53,6 +54,12 @@ def _select(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     return df if columns is None else df.select(*[f"`{c}`" for c in columns])
 
 
+def _sketched_quartiles(measure: Column) -> Column:
+    """Quartiles from a mergeable KLL sketch (rank error well below 1 %)."""
+    sketch = F.kll_sketch_agg_double(measure, SKETCH_SIZE)
+    return F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(q) for q in QUARTILES]))
+
+
 def _column_stats(field: T.StructField, quartiles: bool) -> list[Column]:
     """One struct of mergeable aggregates per column."""
     ref = _ref(field)
@@ -70,7 +77,7 @@ def _column_stats(field: T.StructField, quartiles: bool) -> list[Column]:
         (F.avg(_measure(field)) if measured else double).alias("avg"),
         (F.stddev_samp(_measure(field)) if is_numeric(field) else double).alias("std"),
         (
-            F.percentile_approx(_measure(field), QUARTILES, 10_000)
+            F.when(F.count(ref) > 0, _sketched_quartiles(_measure(field)))
             if measured and quartiles
             else F.lit(None).cast("array<double>")
         ).alias("quartiles"),

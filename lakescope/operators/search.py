@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakescope.functions import text, vectors
+from lakescope.session import cut_lineage
 
 RRF_K = 60  # fixed value: the rank constant of reciprocal rank fusion
 TOP_K = 5
@@ -24,7 +25,7 @@ def keyword_score(query: str, body: Column) -> Column:
     low = F.lower(body)
     score = F.lit(0)
     for word in text.query_tokens(query):
-        score = score + F.when(low.contains(word), 1).otherwise(0)
+        score = score + low.contains(word).cast("int")
     return score
 
 
@@ -33,7 +34,7 @@ def vector_score(query: Sequence[float], vector: Column) -> Column:
 
 
 def _scored_keywords(df: DataFrame, key: str, body: str, query: str) -> DataFrame:
-    return df.select(F.col(key).alias("key"), keyword_score(query, F.col(body)).alias("score")).filter("score > 0")
+    return df.select(F.col(key).alias("key"), keyword_score(query, F.col(body)).alias("score"))
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -44,7 +45,8 @@ def keyword_search(df: DataFrame, key: str, body: str, query: str, top_k: int =
     """Rows matching at least one query word, best first."""
     if not text.query_tokens(query):
         return df.select(F.col(key).alias("key"), F.lit(0).alias("score")).limit(0)
-    return _top(_scored_keywords(df, key, body, query), top_k)
+    # filtering the k winners leaves each text scored once; rows without a match come last anyway
+    return _top(_scored_keywords(df, key, body, query), top_k).filter("score > 0")
 
 
 def vector_topk(df: DataFrame, key: str, vector: str, query: Sequence[float], top_k: int = TOP_K) -> DataFrame:
@@ -98,8 +100,11 @@ def hybrid_rrf(
     Lists shorter than that are complete anyway.
     """
     depth = RRF_K + 2 * top_k
-    words = _scored_keywords(docs, key, body, query)
-    cosines = vecs.select(F.col(vec_key).alias("key"), F.round(vector_score(query_vector, F.col(vector)), 12).alias("score"))
+    # scoring reads the texts and vectors once; ranks then come from the narrow (key, score) rows
+    words = cut_lineage(_scored_keywords(docs, key, body, query)).filter("score > 0")
+    cosines = cut_lineage(
+        vecs.select(F.col(vec_key).alias("key"), F.round(vector_score(query_vector, F.col(vector)), 12).alias("score"))
+    )
     firsts = _top(words, depth).select("key").unionByName(_top(cosines, depth).select("key")).distinct()
     keys = [r["key"] for r in firsts.collect()]  # at most 2 * depth keys
     by_word, by_vector = _exact_ranks(words, keys), _exact_ranks(cosines, keys)

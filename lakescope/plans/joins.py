@@ -230,9 +230,10 @@ def _final(df):
     return df.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("join_indirect", _flow(False, _FUSE, _INDIRECT, _PATHS) + _FINAL + " WHERE signal_source LIKE 'indirect:%'")
+@query("join_indirect", _flow(True, _FUSE, _INDIRECT, _PATHS) + _FINAL + " WHERE signal_source LIKE 'indirect:%'")
 def join_indirect(spark, sf_dir):
-    return _final(joinpaths.discover(order_lake(spark, sf_dir)).filter("signal_source like 'indirect:%'"))
+    found = joinpaths.discover(entity_lake(spark, sf_dir), cross=True)
+    return _final(found.filter("signal_source like 'indirect:%'"))
 
 
 @query("join_paths_source", _flow(False, _FUSE, _INDIRECT, _PATHS) + _FINAL)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakescope.plans.registry import table
+from lakescope.session import cut_lineage
 
 
 def _col(ordinal, name, dtype, comment=None):
@@ -63,7 +64,8 @@ def order_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     cols = own.unionByName(items)
-    return cols.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey").select(
+    # a catalog is a stored table: the jobs read it several times
+    out = cols.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey").select(
         F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("source_id"),
         F.concat(F.lit("order"), F.col("o_orderkey").cast("string"), F.lit("s")).alias("table_name"),
         F.col("o_orderkey").alias("table_pos"),
@@ -73,6 +75,7 @@ def order_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(True).alias("nullable"),
         "comment",
     )
+    return cut_lineage(out)
 
 
 ORDER_LAKE_SQL = """
@@ -147,7 +150,7 @@ def entity_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(3_000_000_000_000) + F.col("s_suppkey")).alias("table_pos"),
         F.inline(F.array(_col(0, F.concat(skey, F.lit("_id")), "int"))),
     )
-    return customers.unionByName(sales).unionByName(suppliers)
+    return cut_lineage(customers.unionByName(sales).unionByName(suppliers))
 
 
 ENTITY_LAKE_SQL = """
