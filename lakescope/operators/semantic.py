@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakescope.functions.text import sha16
 from lakescope.operators.catalog import latest_wins, resolve_tables
+from lakescope.session import cut_lineage
 
 COLUMN = (
     "struct<name:string,semantic:string,role:string,unit:string,aggregation:string,references:string,"
@@ -106,7 +107,8 @@ def update(stored: DataFrame, incoming: DataFrame, tables: DataFrame) -> tuple[D
     catalog status of updated tables becomes ``inferred``; the report has one row
     per record.
     """
-    named = incoming.withColumn("_no", F.monotonically_increasing_id())
+    # numbered once and stored, so that both uses below see the same numbers
+    named = cut_lineage(incoming.withColumn("_no", F.monotonically_increasing_id()))
     missing = named.filter("source_id is null").select("_no", "table_name")
     found = resolve_tables(missing, tables).select("_no", F.col("source_id").alias("_found"))
     located = named.join(found, "_no", "left").withColumn("source_id", F.coalesce("source_id", "_found")).drop("_found")

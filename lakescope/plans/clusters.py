@@ -155,7 +155,12 @@ def choose_k(spark, sf_dir):
     return clustering.silhouettes(feats, labels)
 
 
-@query("cluster_features")
+@query(
+    "cluster_features",
+    f"""WITH {_FEEDS}, {_tokens_sql("feed")}, {_IDF}
+    SELECT 'vectors' AS kind, CAST(sum(len(list_filter(embedding, lambda x: x <> 0))) AS BIGINT) AS n FROM embeddings
+    UNION ALL SELECT 'tfidf', count(*) FROM tf JOIN idf USING (term) WHERE tf * idf <> 0""",
+)
 def cluster_features(spark, sf_dir):
     """Vectors for the customers that all have one; TF-IDF where some lack one."""
     vecs = table(spark, sf_dir, "embeddings").select(

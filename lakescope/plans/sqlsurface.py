@@ -303,16 +303,20 @@ def union_by_name(spark, sf_dir):
     return sqlrun.union_by_name(c, s)
 
 
-_same(
-    "sql_cte_recursive",
-    """WITH RECURSIVE chain(conv_id, turn, depth) AS (
+_CHAIN = """WITH RECURSIVE chain(conv_id, turn, depth) AS (
       SELECT conv_id, turn, 0 FROM conversations WHERE turn = 0
       UNION ALL
       SELECT c.conv_id, c.turn, chain.depth + 1 FROM chain
       JOIN conversations c ON c.conv_id = chain.conv_id AND c.turn = chain.turn + 1)
-    SELECT depth, count(*) AS n FROM chain GROUP BY depth""",
-    "conversations",
-)
+    SELECT depth, count(*) AS n FROM chain GROUP BY depth"""
+
+
+@query("sql_cte_recursive", _CHAIN)
+def cte_recursive(spark, sf_dir):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the default stops a recursion at a million rows
+    return _sql(spark, sf_dir, _CHAIN, "conversations")
+
+
 _pair(
     "sql_pivot",
     """SELECT event_type, kind, n FROM (

@@ -41,16 +41,21 @@ def sniff(lines: list[str]) -> tuple[str, bool]:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, sampling: float = 1.0
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    sampling: float = 1.0,
+    multi_line: bool = False,
 ) -> DataFrame:
     """One CSV file (or a folder of parts of one table) as a typed frame.
 
     Without a schema the types are inferred from ``sampling`` of the rows, then
     the read uses them explicitly; give a schema or a small ratio at scale.
+    ``multi_line`` accepts line breaks inside quotes, at the price of one task per file.
     """
     head = [r[0] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
     delimiter, header = sniff(head)
-    reader = spark.read.options(sep=delimiter, header=header, quote='"', escape='"', multiLine=False)
+    reader = spark.read.options(sep=delimiter, header=header, quote='"', escape='"', multiLine=multi_line)
     if schema is None:
         schema = reader.options(inferSchema=True, samplingRatio=sampling).csv(path).schema
     return reader.schema(schema).csv(path)
