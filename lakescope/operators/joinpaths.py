@@ -333,8 +333,10 @@ def indirect(direct: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     if anchors is not None:
         asked = anchors.select(table_key(F.col("source_id"), F.col("table_name")).alias("_asked")).distinct()
         edges = edges.join(asked, F.col("end_tkey") == F.col("_asked"), "left_semi")
+    # hops are found and thinned out by keys alone; texts are joined to the survivors
+    slim = edges.select("source_id", "mid_tkey", "end_tkey", "end_table_pos")
     hops = pairs.self_pairs(
-        edges,
+        slim,
         ["source_id", "mid_tkey"],
         ["end_table_pos", "end_tkey"],
         _field("l", "end_tkey") != _field("r", "end_tkey"),
@@ -343,18 +345,20 @@ def indirect(direct: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
         _field("r", "end_table_pos"), _field("r", "end_tkey")
     )
     ends = hops.select(
-        F.when(first, F.col("l")).otherwise(F.col("r")).alias("a"),
-        F.when(first, F.col("r")).otherwise(F.col("l")).alias("b"),
-    ).withColumns(
-        {
-            "source_id": F.col("a.source_id"),
-            "pa": F.least("a.end_tkey", "b.end_tkey"),
-            "pb": F.greatest("a.end_tkey", "b.end_tkey"),
-        }
-    )
+        F.col("l.source_id").alias("source_id"),
+        F.col("l.mid_tkey").alias("mid_tkey"),
+        F.when(first, F.col("l.end_tkey")).otherwise(F.col("r.end_tkey")).alias("key_a"),
+        F.when(first, F.col("r.end_tkey")).otherwise(F.col("l.end_tkey")).alias("key_b"),
+    ).withColumns({"pa": F.least("key_a", "key_b"), "pb": F.greatest("key_a", "key_b")})
     # the direct pairs are distinct per rank 1, so this anti join needs no distinct
-    open_pairs = ends.join(
+    survivors = ends.join(
         direct.filter("pair_rank = 1").select("source_id", "pa", "pb"), ["source_id", "pa", "pb"], "left_anti"
+    ).drop("pa", "pb")
+    edge = F.struct(*[c for c in edges.columns if c not in ("source_id", "mid_tkey")])
+    side_a = edges.select("source_id", "mid_tkey", F.col("end_tkey").alias("key_a"), edge.alias("a"))
+    side_b = edges.select("source_id", "mid_tkey", F.col("end_tkey").alias("key_b"), edge.alias("b"))
+    open_pairs = survivors.join(side_a, ["source_id", "mid_tkey", "key_a"]).join(
+        side_b, ["source_id", "mid_tkey", "key_b"]
     )
     mid = F.col("a.mid_table_name")
     return open_pairs.select(
