@@ -37,7 +37,7 @@ _COLS = {
 def _samples_sql(tables):
     return " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
-        f"(SELECT list(v ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS sample_values"
+        f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS sample_values"
         for t in tables
         for c in _COLS[t]
     )
@@ -52,7 +52,8 @@ def _samples_sql(tables):
 )
 def collect_schema(spark, sf_dir):
     out = catalog.collect_schema(spark, "sf", _frames(spark, sf_dir, tuple(_COLS)))
-    return out.select("source_id", "table_name", "ordinal", "column_name", "dtype", "row_count", "sample_values")
+    samples = F.array_join("sample_values", "|").alias("sample_values")
+    return out.select("source_id", "table_name", "ordinal", "column_name", "dtype", "row_count", samples)
 
 
 @query("table_row_counts", _counts_sql(TABLES))
@@ -63,7 +64,7 @@ def table_row_counts(spark, sf_dir):
 @query("column_sample_values", _samples_sql(("orders", "part")))
 def column_sample_values(spark, sf_dir):
     out = catalog.sample_values("sf", _frames(spark, sf_dir, ("orders", "part")))
-    return out.select("table_name", "column_name", "sample_values")
+    return out.select("table_name", "column_name", F.array_join("sample_values", "|").alias("sample_values"))
 
 
 @query(
@@ -83,8 +84,8 @@ def describe_table(spark, sf_dir):
     stats = profile.profile_table(frames["customer"], exact=True).withColumn("table_name", F.lit("customer"))
     out = catalog.describe(cols, stats)
     return out.select(
-        "table_name", "ordinal", "column_name", "dtype", "row_count", "sample_values",
-        "distinct_count", "null_rate", "min_value", "max_value",
+        "table_name", "ordinal", "column_name", "dtype", "row_count",
+        F.array_join("sample_values", "|").alias("sample_values"), "distinct_count", "null_rate", "min_value", "max_value",
     )
 
 

@@ -206,11 +206,12 @@ def domain_names(spark, sf_dir):
     "domain_keywords",
     _LAKE
     + """, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tf DESC, seen) AS rn FROM terms)
-    SELECT label, list(term ORDER BY rn) AS keywords FROM r WHERE rn <= 5 GROUP BY 1""",
+    SELECT label, string_agg(term, '|' ORDER BY rn) AS keywords FROM r WHERE rn <= 5 GROUP BY 1""",
 )
 def domain_keywords(spark, sf_dir):
     cols = entity_lake(spark, sf_dir)
-    return domains.domain_keywords(domains.domain_terms(domains.tokens(cols), _members(cols)))
+    out = domains.domain_keywords(domains.domain_terms(domains.tokens(cols), _members(cols)))
+    return out.withColumn("keywords", F.array_join("keywords", "|"))
 
 
 @query(
@@ -228,11 +229,11 @@ def domain_id(spark, sf_dir):
     r AS (SELECT term, row_number() OVER (ORDER BY tf DESC, seen) AS rn FROM t)
     SELECT (SELECT left(sha256(string_agg(table_name, '|' ORDER BY table_name)), 16) FROM mem) AS domain_id,
       (SELECT string_agg(term, '_' ORDER BY rn) FROM r WHERE rn <= 3) AS domain_name,
-      (SELECT list(term ORDER BY rn) FROM r WHERE rn <= 5) AS keywords, (SELECT count(*) FROM mem) AS table_count""",
+      (SELECT string_agg(term, '|' ORDER BY rn) FROM r WHERE rn <= 5) AS keywords, (SELECT count(*) FROM mem) AS table_count""",
 )
 def single_domain(spark, sf_dir):
     found, _ = domains.single_domain(entity_lake(spark, sf_dir))
-    return found.select("domain_id", "domain_name", "keywords", "table_count")
+    return found.select("domain_id", "domain_name", F.array_join("keywords", "|").alias("keywords"), "table_count")
 
 
 @query("business_domains")

@@ -206,11 +206,12 @@ def search_tables(spark, sf_dir):
 
 @query(
     "suggest_joins",
-    f"""WITH {_DEFS} SELECT table_name, CASE WHEN target IS NULL THEN CAST([] AS VARCHAR[])
-      ELSE ['JOIN ' || target || ' ON ' || cond] END AS suggested_joins FROM defs""",
+    f"""WITH {_DEFS} SELECT table_name, CASE WHEN target IS NULL THEN ''
+      ELSE 'JOIN ' || target || ' ON ' || cond END AS suggested_joins FROM defs""",
 )
 def suggest_joins(spark, sf_dir):
-    return semantic.suggest_joins(definitions(spark, sf_dir)).select("table_name", "suggested_joins")
+    out = semantic.suggest_joins(definitions(spark, sf_dir))
+    return out.select("table_name", F.array_join("suggested_joins", "; ").alias("suggested_joins"))
 
 
 _METRIC_SQL = """'SELECT ' || coalesce(group_by || ', ', '') || 'SUM(n_chars) AS ' || metric || ' FROM ' || table_name
@@ -273,7 +274,7 @@ def stale_embeddings(spark, sf_dir):
     """WITH c AS (SELECT o_orderkey, list({'line': l_linenumber, 'qty': l_quantity} ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey) AS columns
                  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
     SELECT 'sales' AS source_id, 'order' || o.o_orderkey AS table_name, len(c.columns) AS column_count,
-      c.columns[1].line AS first_line, list_transform(c.columns, lambda x: x.qty) AS types FROM orders o LEFT JOIN c USING (o_orderkey)""",
+      c.columns[1].line AS first_line, array_to_string(list_transform(c.columns, lambda x: CAST(x.qty AS VARCHAR)), '|') AS types FROM orders o LEFT JOIN c USING (o_orderkey)""",
 )
 def semantic_export(spark, sf_dir):
     """Orders as tables, their line items as columns."""
@@ -292,5 +293,5 @@ def semantic_export(spark, sf_dir):
         "table_name",
         F.when(F.col("columns").isNotNull(), F.size("columns")).alias("column_count"),
         F.col("columns")[0]["column_name"].alias("first_line"),
-        F.transform("columns", lambda c: c["dtype"]).alias("types"),
+        F.array_join(F.transform("columns", lambda c: c["dtype"].cast("string")), "|").alias("types"),
     )

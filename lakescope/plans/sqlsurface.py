@@ -204,10 +204,10 @@ def stat_aggs(spark, sf_dir):
 
 _pair(
     "sql_collect_aggs",
-    """SELECT o_custkey, sort_array(collect_set(o_orderstatus)) AS statuses,
+    """SELECT o_custkey, array_join(sort_array(collect_set(o_orderstatus)), '|') AS statuses,
       listagg(DISTINCT o_orderpriority, ',') WITHIN GROUP (ORDER BY o_orderpriority) AS priorities
     FROM orders GROUP BY o_custkey""",
-    """SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS statuses,
+    """SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderstatus)), '|') AS statuses,
       string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY o_custkey""",
     "orders",
 )
