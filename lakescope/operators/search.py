@@ -18,6 +18,7 @@ from lakescope.session import cut_lineage
 
 RRF_K = 60  # fixed value: the rank constant of reciprocal rank fusion
 TOP_K = 5
+BROADCAST_HITS = 10_000
 
 
 def keyword_score(query: str, body: Column) -> Column:
@@ -134,7 +135,6 @@ def search_tables(
         hits = keyword_search(keyed, "key", "searchable_text", query, top_k)
     at = F.split("key", "::", 2)
     ranked = hits.select(at[0].alias("source_id"), at[1].alias("table_name"), (-F.col("score")).alias("relevance_rank"))
-    # at most top_k rows look up their definition
-    return F.broadcast(ranked).join(definitions, ["source_id", "table_name"], "left") if top_k <= 10_000 else ranked.join(
-        definitions, ["source_id", "table_name"], "left"
-    )
+    if top_k <= BROADCAST_HITS:  # the hits are at most top_k narrow rows
+        ranked = F.broadcast(ranked)
+    return ranked.join(definitions, ["source_id", "table_name"], "left")
