@@ -13,6 +13,7 @@ classes every score is the share of class 1 (0.5 without any).
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,43 +29,65 @@ from pyspark.sql import functions as F
 from lakescope.llm.html_text import STOP_WORDS
 from lakescope.llm.words import pieces
 
-FEATURES = (
-    "log_words", "word_length", "word_length_spread", "unique_words", "repeated_pairs", "stop_words", "symbols", "pipes", "digits", "capitals",
-    "sentence_ends", "commas", "line_words", "repeated_lines", "letter_runs", "compression", "short_words", "top_word",
-)
+# Each statistic and what it is in ordinary prose. A text counts as if WORDS
+# words of such prose stood beside it, so that a few words prove little.
+USUAL = {
+    "word_length": 6.0, "word_length_variance": 9.0, "unique_words": 0.7, "repeated_pairs": 0.02, "stop_words": 0.3, "symbols": 0.002, "pipes": 0.0005,
+    "digits": 0.003, "capitals": 0.02, "sentence_ends": 0.1, "commas": 0.05, "lines": 0.06, "repeated_lines": 0.02, "letter_runs": 1.0, "compression": 0.45,
+    "short_words": 0.35, "top_word": 0.07,
+}
+FEATURES = tuple(USUAL)
+WORDS, BYTES, LINES = 40, 280, 4
 POOLED, DIAGONAL = 0.2, 0.1  # shrinkage towards the pooled covariance, and of that towards its diagonal
 FLOOR = 1e-3  # least variance
 _STOP = frozenset(w.encode() for w in STOP_WORDS)
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
-def _logit(x: float, n: float) -> float:
-    """Smoothed log odds of x out of n."""
-    return float(np.log((x + 0.5) / (max(n - x, 0.0) + 0.5)))
+def _odds(name: str, x: float, n: float, beside: float) -> float:
+    """Log odds of x out of n, with ``beside`` usual ones added."""
+    share = (x + beside * USUAL[name]) / (n + beside)
+    return math.log(share / (1 - share)) if share < 1 else 10.0
+
+
+def _level(name: str, total: float, n: float, beside: float) -> float:
+    """Log of the mean total / n, with ``beside`` usual ones added."""
+    return math.log((total + beside * USUAL[name]) / (n + beside))
 
 
 def statistics(text: str) -> list[float]:
     """The transformed statistics of one text, in the order of ``FEATURES``."""
     raw = text.encode()
     low = raw.lower()
-    words = low.split()
-    n, size = len(words), len(raw)
-    if not n:
-        return [0.0] * len(FEATURES)
+    words, size = low.split(), len(raw)
+    n = len(words)
     c = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    mean = (int(lengths.sum()) + WORDS * USUAL["word_length"]) / (n + WORDS)
     often = Counter(words)
-    pairs = len(set(pairwise(words)))
+    pairs = max(n - 1, 0)
     lines = [x for x in low.split(b"\n") if x.strip()]
     runs = low.translate(_LETTERS).split()
-    stops = sum(map(_STOP.__contains__, runs))
-    symbols = int(c[33:127].sum() - c[48:58].sum() - c[65:91].sum() - c[97:123].sum() - c[[33, 34, 39, 44, 45, 46, 63, 124]].sum())
+    marks = int(c[33:127].sum() - c[48:58].sum() - c[65:91].sum() - c[97:123].sum())
     return [
-        float(np.log1p(n)), float(np.log(lengths.mean())), float(np.log1p(lengths.std())), _logit(len(often), n), _logit(n - 1 - pairs, n),
-        _logit(stops, len(runs)), _logit(symbols, size), _logit(int(c[124]), size), _logit(int(c[48:58].sum()), size), _logit(int(c[65:91].sum()), size),
-        _logit(int(c[[33, 46, 63]].sum()), n), _logit(int(c[44]), n), float(np.log(n / max(len(lines), 1))), _logit(len(lines) - len(set(lines)), len(lines)),
-        float(np.log((len(runs) + 0.5) / n)), float(np.log(len(zlib.compress(raw, 1)) / size)), _logit(int((lengths <= 3).sum()), n), float(np.log(max(often.values()) / n)),
-    ]
+        math.log(mean),
+        _level("word_length_variance", float(((lengths - mean) ** 2).sum()), n, WORDS),
+        _odds("unique_words", len(often), n, WORDS),
+        _odds("repeated_pairs", pairs - len(set(pairwise(words))), pairs, WORDS),
+        _odds("stop_words", sum(map(_STOP.__contains__, runs)), len(runs), WORDS),
+        _odds("symbols", marks - int(c[[33, 34, 39, 44, 45, 46, 63, 124]].sum()), size, BYTES),
+        _odds("pipes", int(c[124]), size, BYTES),
+        _odds("digits", int(c[48:58].sum()), size, BYTES),
+        _odds("capitals", int(c[65:91].sum()), size, BYTES),
+        _level("sentence_ends", int(c[[33, 46, 63]].sum()), n, WORDS),
+        _level("commas", int(c[44]), n, WORDS),
+        _level("lines", len(lines), n, WORDS),
+        _odds("repeated_lines", len(lines) - len(set(lines)), len(lines), LINES),
+        _level("letter_runs", len(runs), n, WORDS),
+        _level("compression", len(zlib.compress(raw, 1)) if size else 0, size, BYTES),
+        _odds("short_words", int((lengths <= 3).sum()), n, WORDS),
+        _odds("top_word", max(often.values(), default=0), n, WORDS),
+    ]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
