@@ -6,15 +6,16 @@ Two documents link when ``DEN * |x & y| >= NUM * |x | y|`` of their sets of dist
 1. Documents with equal sets form one class; only one of a class is joined further.
 2. Unrelated sets are at distance 1 from everything, so distances to pivots cannot split a
    whole corpus. What can be closer than ``T`` to a set shares one of its rarest shingles
-   (two sets within ``T`` differ in fewer elements than their prefixes are long). Each
-   shingle that several prefixes hold is a cell; its smallest document is the cell's
-   pivot, and a document lies in all cells its boundary reaches.
-3. The exact distance of each document to the pivots of its cells gives the first links.
-   Copies of one text thus link through one pivot, without pairs among themselves.
-4. Cells whose documents are not yet in one component are joined further: two documents of
-   different components are compared only if their distances to the pivot differ by at most
-   ``T`` (triangle inequality) and their sizes allow it. Each cell is cut into bands of width
-   ``T`` by distance and by size; a document is copied to the neighbouring bands only.
+   (its prefix). Each shingle that several prefixes hold is a region; its smallest document
+   is the region's pivot, and a document is copied to all regions its prefix reaches.
+3. The distance of each document to the pivots of its regions gives the first links. It is
+   computed exactly where sizes and the places of the shared shingle in both orders leave a
+   link possible with that shingle as the first common one; elsewhere sizes bound it from
+   below. Copies of one text thus link through one pivot, without pairs among themselves.
+4. Regions whose documents are not yet in one component are joined again, recursing into
+   what lies outside their largest component: two documents of different components are
+   compared if sizes, places and the triangle inequality over the pivot (their distances to
+   it differ by at most ``T``) leave a link possible.
 
 The order of shingles by rarity comes from a table of counts of fixed size; any order
 gives the same result. Sets are compared as 64-bit hashes of shingles.
@@ -83,6 +84,10 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*columns, pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=names)
 
 
+def _counts(total: np.ndarray) -> bytes:
+    return np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()
+
+
 def _sketch(summaries: DataFrame) -> np.ndarray:
     """Counts of all tasks added up: a table of 2**SKETCH_BITS numbers."""
 
@@ -93,18 +98,18 @@ def _sketch(summaries: DataFrame) -> np.ndarray:
             for b, c in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
                 if b != block:
                     if block is not None:
-                        out.append((block, total.tobytes()))
+                        out.append((block, _counts(total)))
                     block, total = b, np.zeros(SKETCH_BLOCK, dtype=np.int64)
                 total = total + np.frombuffer(c.as_buffer(), dtype=np.int64)
         if block is not None:
-            out.append((block, total.tobytes()))
+            out.append((block, _counts(total)))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([c for _, c in out], pa.binary())], names=["block", "counts"])
 
     rows = summaries.filter("block IS NOT NULL").select("block", "counts").repartition("block").sortWithinPartitions("block")
-    table = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, dtype=np.int64).reshape(-1, SKETCH_BLOCK)
+    table = np.zeros(((1 << SKETCH_BITS) // SKETCH_BLOCK, SKETCH_BLOCK), dtype=np.uint32)
     for r in rows.mapInArrow(add, "block int, counts binary").collect():
-        table[r["block"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    return np.minimum(table.ravel(), (1 << 32) - 1).astype(np.uint32)
+        table[r["block"]] = np.frombuffer(r["counts"], dtype=np.uint32)
+    return table.ravel()
 
 
 def prefix_length(n: int) -> int:
@@ -184,18 +189,34 @@ def _verify(rows: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut_lineage(together.mapInArrow(_compare, "pivot bigint, id bigint, both bigint, either bigint"))
 
 
-def _bands(cells: DataFrame) -> DataFrame:
-    """Pairs of documents of a cell, of different components, that the windows leave."""
-    width, ratio = T + 1e-9, math.log(DEN / NUM) + 1e-9
-    rows = cells.withColumn("near", F.floor(F.col("d") / width)).withColumn("big", F.floor(F.log("n") / ratio))
-    shift = F.explode(F.array(*[F.struct(F.lit(x).alias("near"), F.lit(y).alias("big")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
-    left = rows.withColumn("s", shift).select("shingle", (F.col("near") + F.col("s.near")).alias("near"), (F.col("big") + F.col("s.big")).alias("big"),
-        ((F.col("s.near") == 0) & (F.col("s.big") == 0)).alias("same_band"), *[F.col(c).alias(f"l_{c}") for c in ("id", "d", "n", "component")])
-    pairs = left.join(rows, ["shingle", "near", "big"]).filter(
+def _meet(n: Column, at: Column, m: Column, place: Column) -> Column:
+    """Whether sets of n and m elements can link and have their first common element at these places.
+
+    Places count from 0 in the common order. The sets must share ``need`` elements; before
+    the first common one there is room for what the rest cannot hold.
+    """
+    need = F.ceil(NUM * (n + m) / F.lit(NUM + DEN) - 1e-6)
+    room = F.least(at, place) + 1 + F.least(n - at - 1, m - place - 1)
+    return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (at <= n - need) & (place <= m - need) & (room >= need)
+
+
+def _across(regions: DataFrame) -> DataFrame:
+    """Pairs of documents of a region and of different components that may link.
+
+    ``regions``: shingle, id, n, at, component, low, high (bounds of the distance to the
+    pivot). Documents of a region's largest component are only compared with those outside it.
+    """
+    sizes = regions.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+    rows = regions.join(largest, "shingle").withColumn("outside", F.col("component") != F.col("largest")).withColumn("band", F.floor(F.log("n") / (math.log(DEN / NUM) + 1e-9)))
+    left = rows.filter("outside").select("shingle", F.explode(F.array(*[F.col("band") + x for x in (-1, 0, 1)])).alias("band"), *[F.col(c).alias(f"l_{c}") for c in ("id", "n", "at", "component", "low", "high")])
+    slack = T + 1e-9
+    pairs = left.join(rows, ["shingle", "band"]).filter(
         (F.col("l_component") != F.col("component"))
-        & (~F.col("same_band") | (F.col("l_id") < F.col("id")))
-        & (F.abs(F.col("l_d") - F.col("d")) <= width)
-        & (F.least("l_n", "n") * DEN >= F.greatest("l_n", "n") * NUM)
+        & (~F.col("outside") | (F.col("l_id") < F.col("id")))
+        & (F.col("l_low") <= F.col("high") + slack)
+        & (F.col("low") <= F.col("l_high") + slack)
+        & _meet(F.col("l_n"), F.col("l_at"), F.col("n"), F.col("at"))
     )
     return pairs.select(F.least("l_id", "id").alias("pivot"), F.greatest("l_id", "id").alias("id")).distinct()
 
@@ -214,22 +235,18 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     sizes = of.filter("id = class").select("id", "n")
 
     prefixes = cut_lineage(rows.select("id", "text").mapInArrow(_prefixes(table), "id bigint, prefix array<bigint>").filter("prefix IS NOT NULL"))
-    held = prefixes.select("id", F.explode("prefix").alias("shingle"))
-    cells = held.groupBy("shingle").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    star = cut_lineage(held.join(cells, "shingle").filter("id <> pivot"))
-
-    named = of.select(F.col("id").alias("at"), "class")
-    reached = star.select("pivot", "id").distinct()
-    reached = reached.join(named, reached["id"] == named["at"]).select("pivot", F.col("class").alias("id"))
-    reached = reached.join(named, reached["pivot"] == named["at"]).select(F.col("class").alias("pivot"), "id").filter("pivot <> id")
-    measured = _verify(rows.select("id", "text"), sizes, cut_lineage(reached.distinct()))
+    held = prefixes.select("id", F.posexplode("prefix").alias("at", "shingle"))
+    cells = held.groupBy("shingle").agg(F.min(F.struct("id", "at")).alias("p"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    cells = cells.select("shingle", F.col("p.id").alias("pivot"), F.col("p.at").alias("place"), "many").join(sizes.select(F.col("id").alias("pivot"), F.col("n").alias("m")), "pivot")
+    reached = held.join(cells, "shingle").filter("id <> pivot").join(of, "id")
+    reached = cut_lineage(reached.select("shingle", "pivot", "m", "place", F.col("class").alias("id"), "n", "at", "many").filter("id <> pivot").distinct())
+    near = reached.filter(_meet(F.col("n"), F.col("at"), F.col("m"), F.col("place"))).select("pivot", "id").distinct()
+    measured = _verify(rows.select("id", "text"), sizes, cut_lineage(near))
     is_link = F.col("both") * DEN >= F.col("either") * NUM
     links = measured.filter(is_link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     found = components(links)
 
-    open_cells = _open_cells(star, of, measured, found)
-    further = _bands(open_cells)
-    further = cut_lineage(further.join(measured.select("pivot", "id"), ["pivot", "id"], "left_anti"))
+    further = cut_lineage(_across(_open_regions(reached, measured, found)).join(measured.select("pivot", "id"), ["pivot", "id"], "left_anti"))
     if not further.isEmpty():
         more = _verify(rows.select("id", "text"), sizes, further).filter(is_link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         found = components(links.unionByName(more))
@@ -241,16 +258,14 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return out.select("id", "doc_id", F.col("n").alias("n_shingles"), "first", component.alias("component_id"))
 
 
-def _open_cells(star: DataFrame, of: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents of cells that hold more than one component: shingle, id, d, n, component."""
-    home = of.filter("id = class").join(found, of["id"] == found["node"], "left")
-    home = home.select(F.col("id").alias("class"), "n", F.coalesce("component", "id").alias("component"))
-    inside = star.filter("many > 2").join(of.select("id", "class"), "id").join(home, "class").select("shingle", "pivot", F.col("class").alias("id"), "n", "component")
+def _open_regions(reached: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents of regions that hold more than one component, with bounds of their distance to the pivot."""
+    inside = reached.filter("many > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = inside.groupBy("shingle").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("shingle")
-    pivots = of.select(F.col("id").alias("pivot"), F.col("class").alias("p"))
-    inside = inside.join(several, "shingle").join(pivots, "pivot").drop("pivot").withColumnRenamed("p", "pivot").distinct()
-    far = measured.select("pivot", "id", (1 - F.col("both") / F.col("either")).alias("d"))
-    return inside.join(far, ["pivot", "id"]).select("shingle", "id", "d", "n", "component")
+    exact = measured.select("pivot", "id", (1 - F.col("both") / F.col("either")).alias("d"))
+    low = F.coalesce("d", 1 - F.least("m", "n") / F.greatest("m", "n"))
+    bounded = inside.join(several, "shingle").join(exact, ["pivot", "id"], "left")
+    return bounded.select("shingle", "id", "n", "at", "component", low.alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
 
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
