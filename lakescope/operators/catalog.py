@@ -73,12 +73,11 @@ def sample_values(source_id: str, tables: Mapping[str, DataFrame], k: int = SAMP
         ]
     )
     w = Window.partitionBy("table_name", "column_name").orderBy("value")
-    # dense_rank <= k is cut to k values per task before the shuffle; distinct follows on the few survivors
-    few = long.filter("value is not null").withColumn("r", F.dense_rank().over(w)).filter(F.col("r") <= k)
+    # equal values are combined before the shuffle, then each task keeps its first k of a column
+    values = long.filter("value is not null").groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)))
+    few = values.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
     return (
-        few.select("table_name", "column_name", "value")
-        .distinct()
-        .groupBy("table_name", "column_name")
+        few.groupBy("table_name", "column_name")
         .agg(F.sort_array(F.collect_list("value")).alias("sample_values"))
         .select(F.lit(source_id).alias("source_id"), "table_name", "column_name", "sample_values")
     )
@@ -191,17 +190,30 @@ def joined_sha16(entries: DataFrame, by: Sequence[str], entry: str, alias: str)
     return rows.mapInPandas(digest, schema)
 
 
+def bucketed_sha16(entries: DataFrame, by: Sequence[str], entry: str, alias: str) -> DataFrame:
+    """First 16 hex digits of a SHA-256 over a group's entries, in two levels.
+
+    Entries are dealt to 256 buckets by their own SHA-256, each bucket's sorted entries are
+    digested, and the digests of the buckets, in order, are digested again; so no task holds
+    a whole group. Equal sets of entries give equal values.
+    """
+    named = entries.select(*by, F.substring(F.sha2(F.col(entry), 256), 1, 2).alias("_b"), F.col(entry).alias("_entry"))
+    parts = joined_sha16(named, [*by, "_b"], "_entry", "_h")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]), "|")
+    return parts.groupBy(*by).agg(F.substring(F.sha2(whole, 256), 1, 16).alias(alias))
+
+
 def fingerprints(columns: DataFrame) -> DataFrame:
-    """Schema hash per source over its sorted ``table.column:type`` entries."""
+    """Schema hash per source over its ``table.column:type`` entries."""
     entry = F.concat("table_name", F.lit("."), "column_name", F.lit(":"), "dtype")
-    return joined_sha16(columns.select("source_id", entry.alias("entry")), ["source_id"], "entry", "schema_hash")
+    return bucketed_sha16(columns.select("source_id", entry.alias("entry")), ["source_id"], "entry", "schema_hash")
 
 
 def cross_fingerprint(columns: DataFrame) -> DataFrame:
     """One schema hash over all sources, each entry prefixed by its source."""
     entry = F.concat("source_id", F.lit("|"), "table_name", F.lit("."), "column_name", F.lit(":"), "dtype")
     rows = columns.select(F.lit("__cross__").alias("source_id"), entry.alias("entry"))
-    return joined_sha16(rows, ["source_id"], "entry", "schema_hash")
+    return bucketed_sha16(rows, ["source_id"], "entry", "schema_hash")
 
 
 def stale_sources(current: DataFrame, cached: DataFrame) -> DataFrame:

@@ -108,26 +108,33 @@ def _quote(name: Column) -> Column:
 
 
 def _path_columns(source: Column, confidence: Column, signal: Column) -> list[Column]:
-    a, b = _field("a", "table_name"), _field("b", "table_name")
-    condition = F.concat(a, F.lit("."), _field("a", "column_name"), F.lit(" = "), b, F.lit("."), _field("b", "column_name"))
-    runnable = F.concat(
-        _quote(a), F.lit("."), _quote(_field("a", "column_name")), F.lit(" = "),
-        _quote(b), F.lit("."), _quote(_field("b", "column_name")),
-    )
+    """A candidate without its texts, which are long and written only for what fusion keeps."""
     return [
         source.alias("source_id"),
         *[_field(s, c).alias(f"{s}_{c}") for s in ("a", "b") for c in ("tkey", "table_name", "table_pos", "ordinal", "column_name")],
-        condition.alias("join_condition"),
-        runnable.alias("on_sql"),
+        F.lit(None).cast("string").alias("join_condition"),
+        F.lit(None).cast("string").alias("on_sql"),
         confidence.alias("confidence"),
         signal.alias("signal_source"),
     ]
 
 
+def with_texts(paths: DataFrame) -> DataFrame:
+    """Fill in the shown condition and the one to run."""
+    a, b, left, right = F.col("a_table_name"), F.col("b_table_name"), F.col("a_column_name"), F.col("b_column_name")
+    condition = F.concat(a, F.lit("."), left, F.lit(" = "), b, F.lit("."), right)
+    runnable = F.concat(_quote(a), F.lit("."), _quote(left), F.lit(" = "), _quote(b), F.lit("."), _quote(right))
+    return paths.withColumns({"join_condition": F.coalesce("join_condition", condition), "on_sql": F.coalesce("on_sql", runnable)})
+
+
 def name_candidates(
     columns: DataFrame, cross: bool = False, anchors: DataFrame | None = None, normalise: str | None = None
 ) -> DataFrame:
     """Column pairs of two tables that match by name (rules fk_id, exact, suffix)."""
+    return with_texts(_by_name(columns, cross, anchors, normalise))
+
+
+def _by_name(columns: DataFrame, cross: bool, anchors: DataFrame | None, normalise: str | None) -> DataFrame:
     keyed = cut_lineage(keyed_columns(columns, normalise))  # keys are computed once, then read per join side
     scope = [] if cross else ["source_id"]
     apart = _field("l", "tkey") != _field("r", "tkey")
@@ -179,6 +186,10 @@ def fk_candidates(
 
     ``foreign_keys`` rows: ``source_id, table_name, column_name, references``.
     """
+    return with_texts(_by_key(columns, cross, foreign_keys, anchors))
+
+
+def _by_key(columns: DataFrame, cross: bool, foreign_keys: DataFrame | None, anchors: DataFrame | None) -> DataFrame:
     pattern = r"(?iU)FK\s*->\s*(\w+)\.(\w+)"
     noted = columns.filter(F.col("comment").rlike(pattern)).select(
         *SIDE,
@@ -303,7 +314,7 @@ def fuse(candidates: DataFrame) -> DataFrame:
     pair = Window.partitionBy("source_id", "pa", "pb")
     best = pair.orderBy(F.desc("confidence"), "a_table_pos", "b_table_pos", "a_ordinal", "b_ordinal")
     is_fk = F.col("signal_source") == "fk_constraint"
-    return (
+    kept = (
         _pair_key(candidates)
         .filter(F.col("confidence") >= MIN_CONFIDENCE)
         .withColumn("has_fk", F.max(is_fk).over(pair))
@@ -312,6 +323,7 @@ def fuse(candidates: DataFrame) -> DataFrame:
         .filter(F.col("has_fk") | (F.col("pair_rank") <= PATHS_PER_PAIR))
         .drop("has_fk")
     )
+    return with_texts(kept)
 
 
 def indirect(direct: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
@@ -425,10 +437,8 @@ def candidates(
     normalise: str | None = None,
     threshold: float = COSINE_THRESHOLD,
 ) -> DataFrame:
-    """All signals before fusion."""
-    found = fk_candidates(columns, cross, foreign_keys, anchors).unionByName(
-        name_candidates(columns, cross, anchors, normalise)
-    )
+    """All signals before fusion; ``with_texts`` adds their conditions."""
+    found = _by_key(columns, cross, foreign_keys, anchors).unionByName(_by_name(columns, cross, anchors, normalise))
     if vectors is None:
         return found
     scores = vector_scores(vectors, cross, threshold)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakescope.operators import segments
-from lakescope.session import spread
 
 QUARTILES = [0.25, 0.5, 0.75]
 SKETCH_SIZE = 1_000
@@ -123,9 +122,8 @@ def exact_quantiles(values: DataFrame, by: str, probs: Sequence[float]) -> DataF
     totals = known.groupBy(F.col(by).alias("_by")).agg(F.sum("n").alias("total"))
     wanted = F.explode(F.array(*[F.lit(p) for p in probs]))
     targets = totals.select("_by", wanted.alias("prob"), "total").withColumn("pos", F.col("prob") * (F.col("total") - 1))
-    # one row per profiled column and quantile: small by construction
     hits = run.join(
-        F.broadcast(targets),
+        targets,
         (F.col(by) == F.col("_by"))
         & (F.col("upto") > F.floor("pos"))
         & (F.col("upto") - F.col("n") <= F.ceil("pos")),
@@ -174,7 +172,7 @@ def profile_table(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
     table. ``exact=True`` replaces both by exact values at the price of a
     shuffle of the distinct values.
     """
-    df = spread(_select(df, columns))
+    df = _select(df, columns)
     stats = _one_pass(df, quartiles=not exact)
     if not exact:
         quarts = [F.col("quartiles")[i].alias(f"q{q}") for i, q in enumerate((25, 50, 75))]
@@ -202,9 +200,10 @@ def null_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
     df = _select(df, columns)
     if exact:
-        names = F.array(*[F.lit(c) for c in df.columns])
-        counts = values_long(df).groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
-        return counts.select(names[F.col("ordinal")].alias("column_name"), "distinct_count")
+        named = F.inline(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("column_name")) for i, c in enumerate(df.columns)]))
+        counts = values_long(df).groupBy("ordinal").agg(F.count(F.lit(1)).alias("found"))
+        every = df.sparkSession.range(1).select(named)  # a column without any value counts 0
+        return every.join(counts, F.col("at") == F.col("ordinal"), "left").select("column_name", F.coalesce("found", F.lit(0)).alias("distinct_count"))
     pairs = [
         F.struct(F.lit(f.name).alias("column_name"), F.approx_count_distinct(_ref(f)).alias("distinct_count"))
         for f in df.schema.fields
@@ -213,9 +212,10 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
 
 
 def quartiles(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
-    """Quartiles of the numeric columns as numbers, of the temporal ones as times."""
+    """Quartiles of the numeric columns as numbers, of the temporal ones as times; nulls for a column without values."""
     stats = profile_table(df, columns, exact=exact)
-    return stats.filter("q50 is not null or q50_ts is not null").select(
+    measured = [f.name for f in df.schema.fields if is_numeric(f) or is_temporal(f)]
+    return stats.filter(F.col("column_name").isin(measured)).select(
         "column_name", "q25", "q50", "q75", "q25_ts", "q50_ts", "q75_ts"
     )
 

@@ -18,7 +18,6 @@ from lakescope.session import cut_lineage
 
 RRF_K = 60  # fixed value: the rank constant of reciprocal rank fusion
 TOP_K = 5
-BROADCAST_HITS = 10_000
 
 
 def keyword_score(query: str, body: Column) -> Column:
@@ -125,7 +124,8 @@ def search_tables(
     ``index`` rows: ``source_id, table_name, searchable_text``. With vectors
     (``source_id, table_name, vector``) the ranking is fused.
     """
-    name = F.concat_ws("::", "source_id", "table_name")
+    # ordered by the shown name; the part behind it tells apart what the name does not
+    name = F.concat(F.concat_ws("::", "source_id", "table_name"), F.lit("\0"), F.to_json(F.struct("source_id", "table_name")))
     keyed = index.withColumn("key", name)
     if vecs is not None and query_vector is not None:
         hits = hybrid_rrf(
@@ -133,8 +133,9 @@ def search_tables(
         )
     else:
         hits = keyword_search(keyed, "key", "searchable_text", query, top_k)
-    at = F.split("key", "::", 2)
-    ranked = hits.select(at[0].alias("source_id"), at[1].alias("table_name"), (-F.col("score")).alias("relevance_rank"))
-    if top_k <= BROADCAST_HITS:  # the hits are at most top_k narrow rows
-        ranked = F.broadcast(ranked)
-    return ranked.join(definitions, ["source_id", "table_name"], "left")
+    at = F.from_json(F.regexp_extract("key", "\\x00(.*)$", 1), "source_id string, table_name string")
+    ranked = hits.select(at.alias("at"), (-F.col("score")).alias("relevance_rank"))
+    ranked = ranked.select("at.source_id", "at.table_name", "relevance_rank")
+    held = definitions.withColumnsRenamed({"source_id": "_source", "table_name": "_table"})
+    same = F.col("source_id").eqNullSafe(F.col("_source")) & (F.col("table_name") == F.col("_table"))
+    return ranked.join(held, same, "left").drop("_source", "_table")

@@ -1,10 +1,11 @@
 """Ordered operators that stay parallel inside one hot key.
 
-A plain window sends every row of a key to one task. Here the order column is
-cut at global quantiles into segments, the window runs per (key, segment), and a
-small per-segment aggregate carries the missing prefix across segments. With S
-segments no task sorts more than about 1/S of the table even if one key holds
-all of it, and results equal the plain window.
+A plain window sends every row of a key to one task. Here the table is cut by ranges of
+order column and tiebreak into as many segments as the session has shuffle partitions, the
+window runs per (key, segment), and a small per-segment aggregate carries the missing
+prefix across segments. With S segments no task sorts more than about 1/S of the table even
+if one key holds all of it and many rows share one order value, and results equal the plain
+window. The cut table is written once to the shared folder and read by all steps.
 """
 
 from __future__ import annotations
@@ -14,40 +15,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENTS = 32
+from lakescope.session import cut_lineage
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """The order column as a double, monotone in the original."""
-    kind = df.schema[name].dataType.typeName()
-    col = F.col(name)
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(col).cast("double")
-    return col.cast("double")
+def with_segment(df: DataFrame, order: str, tiebreak: Sequence[str] = (), segments: int | None = None) -> DataFrame:
+    """The rows with ``_seg``: their range of (order, tiebreak) over the whole table.
 
-
-def split_points(df: DataFrame, order: str, segments: int = SEGMENTS) -> list[float]:
-    """At most ``segments - 1`` distinct quantile cuts of the order column."""
-    probs = [i / segments for i in range(1, segments)]
-    cuts = df.agg(F.percentile_approx(as_number(df, order), probs, 10 * segments)).first()[0]
-    return sorted(set(cuts or []))
-
-
-def segment_of(order: Column, points: Sequence[float], base: int = 0) -> Column:
-    """Index of the segment a value falls in; nulls go to segment 0."""
-    if not points:
-        return F.lit(base)
-    mid = len(points) // 2
-    return F.when(
-        order >= F.lit(points[mid]), segment_of(order, points[mid + 1 :], base + mid + 1)
-    ).otherwise(segment_of(order, points[:mid], base))
-
-
-def with_segment(df: DataFrame, order: str, points: Sequence[float] | None = None) -> DataFrame:
-    points = split_points(df, order) if points is None else points
-    return df.withColumn("_seg", segment_of(as_number(df, order), points))
+    Any orderable type will do; nulls come first. The number of segments follows
+    ``spark.sql.shuffle.partitions``, the setting by which a session is fitted to its data.
+    """
+    segments = segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(segments, F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tiebreak])
+    return cut_lineage(ranged.withColumn("_seg", F.spark_partition_id()))
 
 
 def _carry(seg: DataFrame, by: Sequence[str], aggs: Sequence[Column], before: dict[str, Column]) -> DataFrame:
@@ -57,59 +36,51 @@ def _carry(seg: DataFrame, by: Sequence[str], aggs: Sequence[Column], before: di
     return per_seg.select(*by, "_seg", *[expr.over(w).alias(name) for name, expr in before.items()])
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
-def _attach(seg: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
-    keys = [*by, "_seg"]
-    renamed = carry.withColumnsRenamed({k: f"_c_{k}" for k in keys})
+def _attach(rows: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on null-safe equality of the keys."""
+    renamed = extra.withColumnsRenamed({k: f"_c_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
-    return seg.join(renamed, cond, "left").drop(*[f"_c_{k}" for k in keys])
+    return rows.join(renamed, cond, "left").drop(*[f"_c_{k}" for k in keys])
 
 
-def ranks(
-    df: DataFrame, by: Sequence[str], order: str, tiebreak: Sequence[str], points: Sequence[float] | None = None
-) -> DataFrame:
+def ranks(df: DataFrame, by: Sequence[str], order: str, tiebreak: Sequence[str], segments: int | None = None) -> DataFrame:
     """Add ``row_number``, ``rank``, ``dense_rank`` and ``group_rows`` per key."""
-    seg = with_segment(df, order, points)
-    part = Window.partitionBy(*by, "_seg")
-    local = seg.select(
-        "*",
-        F.row_number().over(part.orderBy(order, *tiebreak)).alias("_rn"),
-        F.rank().over(part.orderBy(order)).alias("_rk"),
-        F.dense_rank().over(part.orderBy(order)).alias("_dr"),
+    seg = with_segment(df, order, tiebreak, segments)
+    local = seg.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_seg").orderBy(order, *tiebreak)))
+    rows_before = _carry(seg, by, [F.count(F.lit(1)).alias("_rows")], {"_rows_before": F.sum("_rows")})
+    # ranks belong to order values: one row per key and value, whatever number of rows shares it
+    values = seg.groupBy(*by, order).agg(F.count(F.lit(1)).alias("_n"), F.min("_seg").alias("_seg"))
+    in_order = Window.partitionBy(*by, "_seg").orderBy(order)
+    placed = values.select(
+        *by,
+        order,
+        "_seg",
+        F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("_less"),
+        F.row_number().over(in_order).alias("_dr"),
     )
-    # distinct order values per segment come from a second, pre-aggregated level
-    per_value = seg.groupBy(*by, "_seg", order).agg(F.count(F.lit(1)).alias("_n"))
-    carry = _carry(
-        per_value,
+    earlier = _carry(
+        values,
         by,
         [F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_vals")],
-        {"_rows_before": F.sum("_rows"), "_vals_before": F.sum("_vals")},
+        {"_less_before": F.sum("_rows"), "_vals_before": F.sum("_vals")},
     )
-    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("group_rows"))
-    totals = totals.withColumnsRenamed({k: f"_t_{k}" for k in by})
-    cond = F.lit(True)
-    for k in by:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    rows = F.coalesce(F.col("_rows_before"), F.lit(0))
-    vals = F.coalesce(F.col("_vals_before"), F.lit(0))
-    return (
-        _attach(local, carry, by)
-        .join(totals, cond)
-        .select(
-            *df.columns,
-            (F.col("_rn") + rows).alias("row_number"),
-            (F.col("_rk") + rows).alias("rank"),
-            (F.col("_dr") + vals).alias("dense_rank"),
-            "group_rows",
-        )
+    zero = F.lit(0)
+    ranked = _attach(placed, earlier, [*by, "_seg"]).select(
+        *by,
+        order,
+        (F.coalesce("_less", zero) + F.coalesce("_less_before", zero) + 1).alias("_rank"),
+        (F.col("_dr") + F.coalesce("_vals_before", zero)).alias("_dense"),
+    )
+    totals = values.groupBy(*by).agg(F.sum("_n").alias("group_rows"))
+    out = _attach(_attach(_attach(local, rows_before, [*by, "_seg"]), ranked, [*by, order]), totals, by)
+    return out.select(
+        *df.columns,
+        (F.col("_rn") + F.coalesce("_rows_before", zero)).alias("row_number"),
+        F.col("_rank").alias("rank"),
+        F.col("_dense").alias("dense_rank"),
+        "group_rows",
     )
 
 
@@ -132,17 +103,17 @@ def running_sum(
     tiebreak: Sequence[str],
     value: str,
     alias: str,
-    points: Sequence[float] | None = None,
+    segments: int | None = None,
 ) -> DataFrame:
     """Sum of ``value`` from the start of the key up to and including the row."""
-    seg = with_segment(df, order, points)
+    seg = with_segment(df, order, tiebreak, segments)
     w = Window.partitionBy(*by, "_seg").orderBy(order, *tiebreak).rowsBetween(Window.unboundedPreceding, 0)
     local = seg.withColumn("_run", F.sum(value).over(w))
     carry = _carry(seg, by, [F.sum(value).alias("_s")], {"_before": F.sum("_s")})
     total = F.when(F.col("_run").isNull(), F.col("_before")).otherwise(
         F.col("_run") + F.coalesce(F.col("_before"), F.lit(0))
     )
-    return _attach(local, carry, by).select(*df.columns, total.alias(alias))
+    return _attach(local, carry, [*by, "_seg"]).select(*df.columns, total.alias(alias))
 
 
 def neighbours(
@@ -151,13 +122,13 @@ def neighbours(
     order: str,
     tiebreak: Sequence[str],
     value: str,
-    points: Sequence[float] | None = None,
+    segments: int | None = None,
 ) -> DataFrame:
     """Add ``lag``, ``lead``, ``first``, ``last`` and ``last_known`` of ``value``.
 
     ``last_known`` is the latest non-null value up to the row.
     """
-    seg = with_segment(df, order, points)
+    seg = with_segment(df, order, tiebreak, segments)
     ordered = Window.partitionBy(*by, "_seg").orderBy(order, *tiebreak)
     boxed = F.struct(F.col(value).alias("v"))
     key = F.struct(F.col(order), *[F.col(t) for t in tiebreak])
@@ -186,7 +157,7 @@ def neighbours(
         F.min_by("_first", "_seg").over(whole).alias("_first_all"),
         F.max_by("_last", "_seg").over(whole).alias("_last_all"),
     )
-    return _attach(local, carry, by).select(
+    return _attach(local, carry, [*by, "_seg"]).select(
         *df.columns,
         F.coalesce("_lag", "_prev")["v"].alias("lag"),
         F.coalesce("_lead", "_next")["v"].alias("lead"),
@@ -231,14 +202,14 @@ def asof_join(
 ) -> DataFrame:
     """Join each left row with the latest right row of its key at or before ``ts``.
 
-    Of right rows with equal keys and times one with the greatest payload wins.
+    Of right rows with equal keys and times one with the greatest payload wins. Nulls match
+    nothing: right rows with a null key or time are no match for any row, and left rows with
+    one have none.
     """
-    points = split_points(left.select(F.col(ts)).unionByName(right.select(F.col(right_ts).alias(ts))), ts)
     box = F.struct(F.col(right_ts).alias("t"), *[F.col(c) for c in payload])
-    rows_r = right.select(*by, F.col(right_ts).alias(ts), F.lit(0).alias("_side"), box.alias("_hit"))
-    rows_r = with_segment(rows_r, ts, points)
-    rows_l = with_segment(left.select("*", F.lit(1).alias("_side")), ts, points)
-    both = rows_l.unionByName(rows_r, allowMissingColumns=True)
+    rows_r = right.dropna(subset=[*by, right_ts]).select(*by, F.col(right_ts).alias(ts), F.lit(0).alias("_side"), box.alias("_hit"))
+    both = left.select("*", F.lit(1).alias("_side")).unionByName(rows_r, allowMissingColumns=True)
+    both = with_segment(both, ts, ["_side"])
     w = (
         Window.partitionBy(*by, "_seg")
         .orderBy(F.col(ts), F.col("_side"), F.col("_hit"))
@@ -248,8 +219,7 @@ def asof_join(
     per_seg = both.groupBy(*by, "_seg").agg(F.max("_hit").alias("_max"))
     before = Window.partitionBy(*by).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_seg.select(*by, "_seg", F.last("_max", ignorenulls=True).over(before).alias("_before"))
-    hit = F.coalesce("_in", "_before")
-    out = _attach(local, carry, by).withColumn("_match", hit)
+    out = _attach(local, carry, [*by, "_seg"]).withColumn("_match", F.coalesce("_in", "_before"))
     if how == "inner":
         out = out.filter("_match is not null")
     return out.select(

@@ -5,29 +5,73 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakescope.operators import sqllog
-from lakescope.session import conf_set
+from lakescope.session import conf_set, cut_lineage
 
 DEFAULT_ROWS = 1000
 
 
+# Functions that call into the JVM, and formats that open files by path.
+CALLS = ("reflect", "java_method", "try_reflect")
+FORMATS = ("parquet", "csv", "json", "orc", "text", "avro", "binaryfile", "jdbc", "xml", "delta", "hive")
+
+
+def _scala(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _nodes(spark: SparkSession, plan):
+    """All nodes of a parsed plan: children, named subqueries, and plans inside expressions."""
+    gateway, catalyst = spark.sparkContext._gateway, "org.apache.spark.sql.catalyst"
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += _scala(node.children())
+        if is_instance_of(gateway, node, f"{catalyst}.plans.QueryPlan"):
+            todo += _scala(node.expressions())
+            if node.getClass().getSimpleName() == "UnresolvedWith":
+                todo += [pair._2() for pair in _scala(node.cteRelations())]
+        elif is_instance_of(gateway, node, f"{catalyst}.expressions.PlanExpression"):
+            todo.append(node.plan())
+
+
+def _refusal(spark: SparkSession, plan) -> str | None:
+    """Why a parsed statement is refused, or None."""
+    for node in _nodes(spark, plan):
+        kind = node.getClass().getSimpleName()
+        if "Command" in kind or kind.startswith("InsertInto"):
+            return "not a query"
+        if "ScriptTransformation" in kind:
+            return "script transformation"
+        if kind == "UnresolvedFunction" and _scala(node.nameParts())[-1].lower() in CALLS:
+            return "call of Java code"
+        if kind == "UnresolvedRelation":
+            parts = _scala(node.multipartIdentifier())
+            if len(parts) > 1 and (parts[0].lower() in FORMATS or "/" in parts[-1]):
+                return "direct file relation"
+    return None
+
+
 def run_sql(spark: SparkSession, sql: str) -> DataFrame:
     """One read-only statement; double quotes delimit identifiers.
 
-    The text rules refuse anything but a single SELECT or WITH, and the parsed
-    plan must not be a command either.
+    The text rules refuse anything but a single SELECT or WITH, string literals left aside.
+    The parsed plan must hold no command, no script transformation, no call of Java code and
+    no file named by its path.
     """
-    verdict = sqllog.check(spark, sql)
+    verdict = sqllog.check(spark, sql, literals_first=True)
     if not verdict["safe"]:
         raise ValueError(f"SQL safety check failed: {verdict['reason']}")
     text = sql.strip().rstrip(";")
     with conf_set(spark, **{"spark.sql.ansi.enabled": "true", "spark.sql.ansi.doubleQuotedIdentifiers": "true"}):
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-        if "Command" in plan.getClass().getSimpleName():
-            raise ValueError("SQL safety check failed: not a query")
+        refusal = _refusal(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
+        if refusal:
+            raise ValueError(f"SQL safety check failed: {refusal}")
         return spark.sql(text)
 
 
@@ -41,22 +85,36 @@ class Bounded:
 
 
 def bounded(df: DataFrame, max_rows: int = DEFAULT_ROWS) -> Bounded:
-    """Cap a result; the full count runs only if the cap was exceeded."""
+    """Cap a result. The capped rows are computed once and kept; a full count runs only if the cap was exceeded."""
     if max_rows <= 0:
         raise ValueError("max_rows must be positive")
-    seen = df.limit(max_rows + 1).count()
-    if seen <= max_rows:
-        return Bounded(df.limit(max_rows), seen, False)
-    return Bounded(df.limit(max_rows), df.count(), True)
+    kept = cut_lineage(df.limit(max_rows + 1))
+    seen = kept.count()
+    return Bounded(kept.limit(max_rows), seen if seen <= max_rows else df.count(), seen > max_rows)
+
+
+def sample_rows(df: DataFrame, order: Sequence[Column | str] = (), k: int = 5) -> DataFrame:
+    """The first k rows of a table by ``order`` (any k rows without)."""
+    return (df.orderBy(*order) if order else df).limit(k)
+
+
+GROUP_LIMIT = 1_000  # Spark cuts ranks in each task up to here
+SALTS = 32
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """The first k rows per key (QUALIFY row_number() <= k, DISTINCT ON for k = 1).
 
-    Each task keeps its own first k before the shuffle, so a hot key is cheap.
+    A hot key is cut before its rows meet: in each task for small k, else in salted parts,
+    of which each keeps its first k.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+
+    if k > GROUP_LIMIT:
+        df = first(df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))), *by, "_salt").drop("_salt")
+    return first(df, *by)
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ def _frames(spark, sf_dir, names=TABLES):
     return {n: table(spark, sf_dir, n) for n in names}
 
 
-_SOME = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 # Spark's name of each stored type (fixed values).
 _DTYPE = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
   WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' END"""
@@ -26,18 +25,32 @@ def _in(names):
 
 
 _COLS = {
-    "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    t: names.split()
+    for t, names in {
+        "region": "r_regionkey r_name",
+        "nation": "n_nationkey n_name n_regionkey",
+        "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+        "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+        "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+        "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+        "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+        "events": "event_id ts user_id event_type value props",
+        "documents": "doc_id text lang source n_chars",
+        "embeddings": "vec_id embedding label",
+        "pages": "page_id url html",
+        "benchmark": "item_id text",
+        "labels": "doc_id quality toxic",
+        "conversations": "conv_id turn role text",
+    }.items()
 }
+_NESTED = "embedding"  # its numbers have other texts in other engines, so only their presence is compared
 
 
 def _samples_sql(tables):
     return " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
-        f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS sample_values"
+        f"(SELECT {'count(*)::VARCHAR' if c == _NESTED else "string_agg(v, '|' ORDER BY v)"} "
+        f"FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS sample_values"
         for t in tables
         for c in _COLS[t]
     )
@@ -52,8 +65,12 @@ def _samples_sql(tables):
 )
 def collect_schema(spark, sf_dir):
     out = catalog.collect_schema(spark, "sf", _frames(spark, sf_dir, tuple(_COLS)))
-    samples = F.array_join("sample_values", "|").alias("sample_values")
-    return out.select("source_id", "table_name", "ordinal", "column_name", "dtype", "row_count", samples)
+    return out.select("source_id", "table_name", "ordinal", "column_name", "dtype", "row_count", _shown_samples())
+
+
+def _shown_samples():
+    count = F.size("sample_values").cast("string")
+    return F.when(F.col("column_name") == _NESTED, count).otherwise(F.array_join("sample_values", "|")).alias("sample_values")
 
 
 @query("table_row_counts", _counts_sql(TABLES))
@@ -61,10 +78,9 @@ def table_row_counts(spark, sf_dir):
     return catalog.row_counts("sf", _frames(spark, sf_dir)).select("table_name", "row_count")
 
 
-@query("column_sample_values", _samples_sql(("orders", "part")))
+@query("column_sample_values", _samples_sql(_COLS))
 def column_sample_values(spark, sf_dir):
-    out = catalog.sample_values("sf", _frames(spark, sf_dir, ("orders", "part")))
-    return out.select("table_name", "column_name", F.array_join("sample_values", "|").alias("sample_values"))
+    return catalog.sample_values("sf", _frames(spark, sf_dir)).select("table_name", "column_name", _shown_samples())
 
 
 @query(
@@ -89,9 +105,9 @@ def describe_table(spark, sf_dir):
     )
 
 
-@query("list_tables", f"""SELECT 'sf' AS source_id, table_name, row_count FROM ({_counts_sql(_SOME)})""")
+@query("list_tables", f"""SELECT 'sf' AS source_id, table_name, row_count FROM ({_counts_sql(TABLES)})""")
 def list_tables(spark, sf_dir):
-    ours = catalog.row_counts("sf", _frames(spark, sf_dir, _SOME))
+    ours = catalog.row_counts("sf", _frames(spark, sf_dir))
     other = catalog.row_counts("texts", _frames(spark, sf_dir, ("documents", "pages")))
     return catalog.list_tables(ours.unionByName(other), "sf").select("source_id", "table_name", "row_count")
 
@@ -175,15 +191,21 @@ def catalog_delete(spark, sf_dir):
     return catalog.delete_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), gone, ["o_orderkey"])
 
 
+def _hash_sql(entries: str) -> str:
+    """The two-level hash of ``(source_id, e)`` rows: per bucket of the entries' own hashes, then over the buckets."""
+    return f"""(SELECT source_id, left(sha256(string_agg(h, '|' ORDER BY b)), 16) AS schema_hash FROM (
+      SELECT source_id, left(sha256(e), 2) AS b, left(sha256(string_agg(e, '|' ORDER BY e)), 16) AS h FROM ({entries}) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+_ENTRIES = "SELECT source_id, table_name || '.' || column_name || ':' || dtype AS e FROM olake"
+_CROSS = "SELECT '__cross__' AS source_id, source_id || '|' || table_name || '.' || column_name || ':' || dtype AS e FROM elake"
+
+
 @query(
     "schema_fingerprint",
     f"""WITH {ORDER_LAKE_SQL},
     {ENTITY_LAKE_SQL.replace("firsts AS (SELECT o_custkey, min(o_orderkey) AS first_key FROM orders GROUP BY 1),", "")}
-    SELECT source_id, left(sha256(string_agg(e, '|' ORDER BY e)), 16) AS schema_hash
-    FROM (SELECT source_id, table_name || '.' || column_name || ':' || dtype AS e FROM olake) GROUP BY 1
-    UNION ALL
-    SELECT '__cross__', left(sha256(string_agg(e, '|' ORDER BY e)), 16)
-    FROM (SELECT source_id || '|' || table_name || '.' || column_name || ':' || dtype AS e FROM elake)""",
+    SELECT * FROM {_hash_sql(_ENTRIES)} UNION ALL SELECT * FROM {_hash_sql(_CROSS)}""",
 )
 def schema_fingerprint(spark, sf_dir):
     per_source = catalog.fingerprints(order_lake(spark, sf_dir))
@@ -193,8 +215,7 @@ def schema_fingerprint(spark, sf_dir):
 @query(
     "stale_sources",
     f"""WITH {ORDER_LAKE_SQL}, f AS (
-      SELECT source_id, left(sha256(string_agg(e, '|' ORDER BY e)), 16) AS schema_hash, CAST(substr(source_id, 5) AS BIGINT) AS n
-      FROM (SELECT source_id, table_name || '.' || column_name || ':' || dtype AS e FROM olake) GROUP BY 1)
+      SELECT *, CAST(substr(source_id, 5) AS BIGINT) AS n FROM {_hash_sql(_ENTRIES)})
     SELECT source_id, schema_hash, CASE n % 4 WHEN 0 THEN 'not cached' WHEN 1 THEN 'dirty' ELSE 'schema changed' END AS reason
     FROM f WHERE n % 4 < 3""",
 )

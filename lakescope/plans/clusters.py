@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from lakescope.operators import clustering, domains
 from lakescope.plans.lake import ENTITY_LAKE_SQL, entity_lake
 from lakescope.plans.registry import query, table
+from lakescope.session import cut_lineage
+
+
+PLACES = 1 << 32  # more than a text can have words
 
 
 def feeds(spark, sf_dir):
@@ -19,7 +23,7 @@ def feeds(spark, sf_dir):
         "source",
         "lang",
         F.posexplode(F.split("text", r"\s+")).alias("at", "word"),
-        (F.col("doc_id") * 1_000_000).alias("base"),
+        (F.col("doc_id") * PLACES).alias("base"),
     ).filter("word <> ''")
     first = words.groupBy("source", "lang", "word").agg(F.min(F.col("base") + F.col("at")).alias("ordinal"))
     return first.join(places, ["source", "lang"]).select(
@@ -35,7 +39,7 @@ def feeds(spark, sf_dir):
 
 _FEEDS = r"""
 places AS (SELECT source, lang, min(doc_id) AS table_pos FROM documents GROUP BY ALL),
-words AS (SELECT source, lang, doc_id * 1000000 + nth - 1 AS place, word FROM (
+words AS (SELECT source, lang, doc_id * 4294967296 + nth - 1 AS place, word FROM (
     SELECT doc_id, source, lang, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS nth
     FROM (SELECT *, string_split_regex(text, '\s+') AS ws FROM documents)) WHERE word <> ''),
 feed AS (SELECT source AS source_id, 'feed' || table_pos || 'Rows' AS table_name, table_pos, min(place) AS ordinal, word AS column_name
@@ -44,7 +48,7 @@ feed AS (SELECT source AS source_id, 'feed' || table_pos || 'Rows' AS table_name
 
 def _tokens_sql(lake: str) -> str:
     return rf"""
-named AS (SELECT DISTINCT table_pos, source_id, table_name, -1 AS ordinal, table_name AS n FROM {lake}
+named AS (SELECT DISTINCT table_pos, source_id, table_name, -1::BIGINT AS ordinal, table_name AS n FROM {lake}
           UNION ALL SELECT table_pos, source_id, table_name, ordinal, column_name FROM {lake}),
 pieces AS (SELECT *, list_filter(string_split(lower(regexp_replace(regexp_replace(n, '([a-z])([A-Z])', '\1_\2', 'g'), '[-\s]+', '_', 'g')), '_'),
                           lambda t: length(t) > 1) AS ts FROM named),
@@ -93,11 +97,10 @@ def tfidf_vectors(spark, sf_dir):
 def cosine_distance_pairs(spark, sf_dir):
     """Distances of requested pairs: each vector with three others."""
     vecs = table(spark, sf_dir, "embeddings")
-    feats = clustering.vector_features(vecs, "vec_id", "embedding")
     others = F.explode(F.array_distinct(F.array(F.col("vec_id") + 1, F.col("vec_id") + 7, F.col("vec_id") * 2 + 3)))
     ids = vecs.select(F.col("vec_id").alias("b"))
     wanted = vecs.select(F.col("vec_id").alias("a"), others.alias("b")).join(ids, "b")
-    return clustering.pair_distances(feats, wanted.select("a", "b")).withColumn("distance", F.round("distance", 8))
+    return clustering.vector_pair_distances(vecs, "vec_id", "embedding", wanted.select("a", "b")).withColumn("distance", F.round("distance", 8))
 
 
 @query(
@@ -129,30 +132,69 @@ def silhouette(spark, sf_dir):
     return clustering.silhouettes(feats, labels).withColumn("silhouette", F.round("silhouette", 8))
 
 
-def _vectors(spark, sf_dir):
-    vecs = table(spark, sf_dir, "embeddings")
-    return clustering.vector_features(vecs, "vec_id", "embedding"), vecs.select(F.col("vec_id").alias("id"))
+# Average linkage by its definition: all pairs of clusters, the closest merged, older clusters first on ties.
+# Rows of kind p are pairs of clusters by age, rows of kind m say which cluster an item is in.
+_LINKAGE = f"""WITH RECURSIVE {_FEEDS}, {_tokens_sql("feed")}, {_IDF},
+raw AS (SELECT table_pos, term, tf * idf AS w FROM tf JOIN idf USING (term) WHERE tf * idf <> 0),
+unit AS (SELECT table_pos AS id, term, w / sqrt(sum(w * w) OVER (PARTITION BY table_pos)) AS w FROM raw),
+it AS (SELECT table_pos AS id, row_number() OVER (ORDER BY table_pos) - 1 AS r FROM places),
+size AS (SELECT count(*) AS n FROM it),
+dots AS (SELECT a.id AS ia, b.id AS ib, sum(a.w * b.w) AS dot FROM unit a JOIN unit b USING (term) GROUP BY ALL),
+gaps AS (SELECT a.id AS ia, b.id AS ib, a.r AS ra, b.r AS rb, 1 - coalesce(dot, 0) AS d
+         FROM it a JOIN it b ON a.id <> b.id LEFT JOIN dots ON ia = a.id AND ib = b.id),
+lk AS (
+  (SELECT 0::BIGINT AS step, 'p' AS kind, ra AS x, rb AS y, d, 1::DOUBLE AS nx, 1::DOUBLE AS ny FROM gaps WHERE ra < rb
+   UNION ALL SELECT 0, 'm', id, r, 0, 0, 0 FROM it)
+  UNION ALL
+  (WITH best AS (SELECT x AS bx, y AS yy, nx AS bn, ny AS yn FROM lk WHERE kind = 'p' ORDER BY round(d, 12), x, y LIMIT 1)
+   SELECT step + 1, kind, x, y, d, nx, ny FROM lk, best WHERE kind = 'p' AND x NOT IN (bx, yy) AND y NOT IN (bx, yy)
+   UNION ALL
+   SELECT step + 1, 'p', CASE WHEN x IN (bx, yy) THEN y ELSE x END AS k, n + step,
+     sum(d * CASE WHEN x = bx OR y = bx THEN bn ELSE yn END) / any_value(bn + yn), any_value(CASE WHEN x IN (bx, yy) THEN ny ELSE nx END), any_value(bn + yn)
+   FROM lk, best, size WHERE kind = 'p' AND ((x IN (bx, yy)) <> (y IN (bx, yy))) GROUP BY step, n, k
+   UNION ALL
+   SELECT step + 1, 'm', x, CASE WHEN y IN (bx, yy) THEN n + step ELSE y END, 0, 0, 0 FROM lk, best, size WHERE kind = 'm')),
+cuts AS (SELECT id, k, dense_rank() OVER (PARTITION BY k ORDER BY root) - 1 AS label FROM (
+  SELECT x AS id, n - step AS k, min(x) OVER (PARTITION BY step, y) AS root FROM lk, size WHERE kind = 'm' AND n - step BETWEEN 2 AND least(n // 2, 20))),
+away AS (SELECT c.id, c.k, c.label AS own, o.label AS other, avg(d) AS d FROM cuts c JOIN cuts o ON c.k = o.k AND c.id <> o.id
+         JOIN gaps ON ia = c.id AND ib = o.id GROUP BY ALL),
+point AS (SELECT id, k, coalesce(max(d) FILTER (WHERE own = other), 0) AS a, coalesce(min(d) FILTER (WHERE own <> other), 0) AS b FROM away GROUP BY ALL),
+sil AS (SELECT k, avg(CASE WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM point GROUP BY 1)
+"""
+
+
+def _linked_feeds(spark, sf_dir):
+    feats, items = domains.features(feeds(spark, sf_dir))
+    feats, items = cut_lineage(feats), cut_lineage(items)
+    return feats, items, clustering.average_linkage(feats, items)
 
 
-@query("average_linkage")
+@query(
+    "average_linkage",
+    _LINKAGE
+    + """, ages AS (SELECT step, y, min(x) AS name FROM lk WHERE kind = 'm' GROUP BY ALL),
+    picked AS (SELECT * FROM lk WHERE kind = 'p' QUALIFY row_number() OVER (PARTITION BY step ORDER BY round(d, 12), x, y) = 1)
+    SELECT least(p.name, q.name) AS a, greatest(p.name, q.name) AS b, round(d, 8) AS height, picked.step
+    FROM picked JOIN ages p ON p.step = picked.step AND p.y = picked.x JOIN ages q ON q.step = picked.step AND q.y = picked.y""",
+)
 def average_linkage(spark, sf_dir):
-    return clustering.average_linkage(*_vectors(spark, sf_dir))
+    """All merges of the feeds: which two clusters, at what distance."""
+    _, _, history = _linked_feeds(spark, sf_dir)
+    return history.select("a", "b", F.round("height", 8).alias("height"), "step")
 
 
-@query("cut_at_k")
+@query("cut_at_k", _LINKAGE + "SELECT id, k, label FROM cuts")
 def cut_at_k(spark, sf_dir):
-    feats, items = _vectors(spark, sf_dir)
-    labels = clustering.cut(clustering.average_linkage(feats, items), items, clustering.cluster_counts(items.count()))
-    return labels.select("id", "k", "label")
+    _, items, history = _linked_feeds(spark, sf_dir)
+    return clustering.cut(history, items, clustering.cluster_counts(items.count())).select("id", "k", "label")
 
 
-@query("choose_k")
+@query("choose_k", _LINKAGE + "SELECT k, round(silhouette, 8) AS silhouette FROM sil")
 def choose_k(spark, sf_dir):
     """Silhouette of every cut of the feeds."""
-    feats, items = domains.features(feeds(spark, sf_dir))
-    history = clustering.average_linkage(feats, items)
+    feats, items, history = _linked_feeds(spark, sf_dir)
     labels = clustering.cut(history, items, clustering.cluster_counts(items.count()))
-    return clustering.silhouettes(feats, labels)
+    return clustering.silhouettes(feats, labels).withColumn("silhouette", F.round("silhouette", 8))
 
 
 @query(
@@ -236,10 +278,24 @@ def single_domain(spark, sf_dir):
     return found.select("domain_id", "domain_name", F.array_join("keywords", "|").alias("keywords"), "table_count")
 
 
-@query("business_domains")
+@query(
+    "business_domains",
+    _LINKAGE
+    + """, best AS (SELECT max_by(k, (round(silhouette, 12), -k)) AS k FROM sil HAVING max(round(silhouette, 12)) >= 0.25),
+    mem AS (SELECT table_pos, source_id, table_name, coalesce(c.label, 0) AS label, (SELECT count(*) FROM best) = 0 AS single
+            FROM (SELECT DISTINCT table_pos, source_id, table_name FROM feed) LEFT JOIN (SELECT * FROM cuts JOIN best USING (k)) c ON c.id = table_pos),
+    terms AS (SELECT label, any_value(single) AS single, term, count(*) AS tf, min((table_pos, ordinal, idx)) AS seen
+              FROM tok JOIN mem USING (table_pos) GROUP BY label, term),
+    s AS (SELECT *, round(tf * ln(((SELECT max(label) FROM mem) + 2)::DOUBLE / (count(*) OVER (PARTITION BY term) + 1)), 12) AS score FROM terms),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tf DESC, seen) AS often,
+                 row_number() OVER (PARTITION BY label ORDER BY CASE WHEN single THEN tf ELSE score END DESC, seen) AS told FROM s),
+    titles AS (SELECT label, string_agg(term, '_' ORDER BY told) FILTER (WHERE told <= 3) AS domain_name, string_agg(term, '|' ORDER BY often) FILTER (WHERE often <= 5) AS keywords FROM r GROUP BY 1),
+    ids AS (SELECT label, left(sha256(string_agg(table_name, '|' ORDER BY table_name)), 16) AS domain_id, count(*) AS table_count FROM mem GROUP BY 1)
+    SELECT domain_id, domain_name, keywords, table_count FROM ids JOIN titles USING (label)""",
+)
 def business_domains(spark, sf_dir):
     found, _ = domains.discover(feeds(spark, sf_dir))
-    return found.select("domain_id", "domain_name", "keywords", "table_count")
+    return found.select("domain_id", "domain_name", F.array_join("keywords", "|").alias("keywords"), "table_count")
 
 
 @query(

@@ -19,12 +19,11 @@ def _to_csv(df, path):
     return path
 
 
-@query(
-    "csv_scan",
-    """SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer""",
-)
+@query("csv_scan", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def csv_scan(spark, sf_dir):
-    path = _to_csv(table(spark, sf_dir, "customer"), scratch_path(spark, "customer"))
+    """Whole texts with quotes and line breaks, through the library's own sink and reader."""
+    path = scratch_path(spark, "documents")
+    sinks.write_csv(table(spark, sf_dir, "documents"), path)
     return files.read_csv(spark, path)
 
 
@@ -84,21 +83,29 @@ _BOOK_ROWS = 500
 
 @query(
     "excel_scan",
-    """SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CAST(c_nationkey AS DOUBLE) AS c_nationkey, c_acctbal, c_mktsegment
-    FROM customer""",
+    """SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, c_mktsegment AS column_3, CAST(NULL AS VARCHAR) AS nothing,
+      CAST(c_nationkey AS DOUBLE) AS key, c_acctbal AS key_2, 'notes_of_book' AS other_table FROM customer""",
 )
 def excel_scan(spark, sf_dir):
-    """Customers as workbooks of up to 500 rows, read back as one typed table."""
+    """Customers as workbooks of up to 500 rows, read back as one typed table.
+
+    One header cell is blank, one repeats, one column has no values; each book's second
+    sheet has the same name and becomes a table of its own.
+    """
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        names = [c for c in group.columns if c != "book"]
-        rows = [names, *[[x.item() if hasattr(x, "item") else x for x in r] for r in group[names].itertuples(index=False)]]
+        names = ["c_custkey", "c_name", "c_mktsegment", None, "c_nationkey", "c_acctbal"]
+        head = ["c_custkey", "c_name", None, "nothing", "key", "key"]
+        body = [[None if n is None else r[n].item() if hasattr(r[n], "item") else r[n] for n in names] for _, r in group.iterrows()]
+        rows = [head, *body]
         path = f"book{group['book'].iloc[0]}.xlsx"
         return pd.DataFrame({"path": [path], "content": [workbook_bytes({"customers": rows, "notes": [["a"], ["b"]]})]})
 
     cust = table(spark, sf_dir, "customer").withColumn("book", F.floor(F.col("c_custkey") / _BOOK_ROWS))
     books = cust.groupBy("book").applyInPandas(build, "path string, content binary")
-    return files.sheet_table(files.workbook_cells(books, ["customers"]), "customers")
+    notes = files.workbook_tables(files.workbook_cells(books, ["notes"]))
+    assert len(notes) == books.count() and all(n.startswith("book") and n.endswith("_notes") for n in notes)
+    return files.sheet_table(files.workbook_cells(books, ["customers"]), "customers").withColumn("other_table", F.lit("notes_of_book"))
 
 
 @query(
@@ -125,7 +132,7 @@ def register_tables(spark, sf_dir):
 )
 def cross_source_join(spark, sf_dir):
     path = _to_csv(table(spark, sf_dir, "customer"), scratch_path(spark, "customer"))
-    from_csv = files.read_csv(spark, path)
+    from_csv = files.read_csv(spark, path, multi_line=False)
     joined = table(spark, sf_dir, "orders").join(from_csv, F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy("c_mktsegment", "o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")
@@ -134,7 +141,7 @@ def cross_source_join(spark, sf_dir):
 
 @query("sample_rows", "SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 5")
 def sample_rows(spark, sf_dir):
-    return table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(5)
+    return sqlrun.sample_rows(table(spark, sf_dir, "part"), [F.desc("p_retailprice"), "p_partkey"])
 
 
 _CELLS = """CASE WHEN regexp_matches({0}, '[,"\\n]') THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END"""
@@ -153,7 +160,7 @@ def sink_csv(spark, sf_dir):
     )
     path = scratch_path(spark, "csv")
     sinks.write_csv(rows, path)
-    lines = spark.read.text(f"{path}/rows")
+    lines = spark.read.text(path).filter("value <> 'event_id,ts,user_id,props'")
     return lines.select(F.split("value", ",")[0].cast("bigint").alias("event_id"), F.col("value").alias("csv_line"))
 
 

@@ -1,7 +1,7 @@
 """Join-path discovery over the derived catalogs.
 
-The equivalents compare all column pairs of all table pairs with a CASE of the
-rules, which is how the rules are stated; the Spark side uses key joins.
+The equivalents join the columns once per rule and let the first rule win; the Spark
+side finds the same pairs by one matching key.
 """
 
 from pyspark.sql import functions as F
@@ -20,31 +20,35 @@ _CLASS = """CASE WHEN upper({0}) LIKE '%INT%' THEN 'INT'
 
 def _keyed(lake: str) -> str:
     return f"""keyed AS (
-  SELECT *, {_CLASS.format("dtype")} AS cls, lower(column_name) AS low,
+  SELECT *, row_number() OVER () AS rid, {_CLASS.format("dtype")} AS cls, lower(column_name) AS low,
          lower(regexp_replace(column_name, '[_-]?(id|key|code)$', '', 'i')) AS stem,
          lower(regexp_replace(table_name, 's$', '')) || '_id' AS own
   FROM {lake})"""
 
 
 def _pairs_sql(same_source: bool) -> str:
+    """Candidates as one key join per rule; the first rule that holds for a column pair wins."""
     scope = "a.source_id = b.source_id" if same_source else "a.table_name <> b.table_name"
     source = "a.source_id" if same_source else "'__cross__'"
-    # a hash join on scope, class and any shared stem or parent would hide nothing, but the plain form is the rule
-    return f"""cand AS (SELECT * FROM (
+    ends = " OR ".join(f"{x}.low LIKE '%\\_{e}' ESCAPE '\\'" for x in "ab" for e in ("id", "key"))
+    rules = (
+        (1, "a.low = b.own", "b.low IN ('id', b.own)"),
+        (1, "b.low = a.own", "a.low IN ('id', a.own)"),
+        (2, "a.low = b.low", "a.low <> 'id'"),
+        (3, "a.stem = b.stem", f"a.stem <> '' AND a.low <> b.low AND ({ends})"),
+    )
+    each = " UNION ALL ".join(
+        f"SELECT a.rid AS ra, b.rid AS rb, {n} AS rule FROM keyed a JOIN keyed b ON a.cls = b.cls AND {key} AND {scope} WHERE a.table_pos < b.table_pos AND {rest}"
+        for n, key, rest in rules
+    )
+    return f"""ruled AS (SELECT ra, rb, min(rule) AS rule FROM ({each}) GROUP BY ALL),
+cands AS (
   SELECT {source} AS source_id, a.source_id AS sa, b.source_id AS sb, a.table_name AS ta, b.table_name AS tb,
          a.table_pos AS pa, b.table_pos AS pb, a.ordinal AS oa, b.ordinal AS ob,
          a.table_name || '.' || a.column_name || ' = ' || b.table_name || '.' || b.column_name AS cond,
-         CASE WHEN (a.low = b.own AND b.low IN ('id', b.own)) OR (b.low = a.own AND a.low IN ('id', a.own))
-              THEN 'name_pattern:fk_id'
-              WHEN a.low = b.low AND a.low <> 'id' THEN 'name_pattern:exact_match'
-              WHEN a.stem <> '' AND a.stem = b.stem AND (a.low LIKE '%\\_id' ESCAPE '\\' OR a.low LIKE '%\\_key' ESCAPE '\\'
-                   OR b.low LIKE '%\\_id' ESCAPE '\\' OR b.low LIKE '%\\_key' ESCAPE '\\')
-              THEN 'name_pattern:stripped_suffix' END AS sig
-  FROM keyed a JOIN keyed b ON {scope} AND a.table_pos < b.table_pos AND a.cls = b.cls
-       {"" if same_source else "AND (a.stem = b.stem OR a.low = b.own OR b.low = a.own)"}
-  ) WHERE sig IS NOT NULL),
-cands AS (SELECT *, CASE sig WHEN 'name_pattern:fk_id' THEN 0.85::DOUBLE WHEN 'name_pattern:exact_match' THEN 0.65::DOUBLE
-                         ELSE 0.5::DOUBLE END AS conf FROM cand)"""
+         CASE rule WHEN 1 THEN 'name_pattern:fk_id' WHEN 2 THEN 'name_pattern:exact_match' ELSE 'name_pattern:stripped_suffix' END AS sig,
+         CASE rule WHEN 1 THEN 0.85::DOUBLE WHEN 2 THEN 0.65::DOUBLE ELSE 0.5::DOUBLE END AS conf
+  FROM ruled JOIN keyed a ON a.rid = ra JOIN keyed b ON b.rid = rb)"""
 
 
 def _fk_sql(lake: str, cross: bool) -> str:

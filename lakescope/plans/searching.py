@@ -72,7 +72,7 @@ def records(spark, sf_dir):
         )
 
     columns = F.array(
-        column(F.lit("text"), F.substring("text", 1, 40), no_str, F.when(~odd, labels), F.when(odd, labels)),
+        column(F.lit("text"), F.col("text"), no_str, F.when(~odd, labels), F.when(odd, labels)),
         column(F.concat(F.lit("size_"), "lang"), no_str, F.lit("chars"), no_map, no_map),
     )
     target = F.concat(F.lit("doc"), (F.col("doc_id") + 1).cast("string"))
@@ -108,7 +108,7 @@ def definitions(spark, sf_dir):
 
 _DEFS = """
 defs AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN source END AS source_id, 'doc' || doc_id AS table_name,
-  text AS description, lang AS business_domain, source, lang, substr(text, 1, 40) AS meaning,
+  text AS description, lang AS business_domain, source, lang, text AS meaning,
   CASE WHEN doc_id % 7 <> 0 THEN 'doc' || (doc_id + 1) END AS target,
   'doc' || doc_id || '.lang = doc' || (doc_id + 1) || '.lang' AS cond,
   CASE WHEN doc_id % 3 = 0 THEN 'many_to_one' ELSE 'one_to_many' END AS kind,

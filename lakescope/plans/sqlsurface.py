@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lakescope.operators import segments, sqlrun
 from lakescope.operators.profile import exact_quantiles
 from lakescope.plans.registry import query, table
+from lakescope.session import conf_set, cut_lineage
 
 
 def _views(spark, sf_dir, *names):
@@ -313,8 +314,9 @@ _CHAIN = """WITH RECURSIVE chain(conv_id, turn, depth) AS (
 
 @query("sql_cte_recursive", _CHAIN)
 def cte_recursive(spark, sf_dir):
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the default stops a recursion at a million rows
-    return _sql(spark, sf_dir, _CHAIN, "conversations")
+    # the defaults stop a recursion at a hundred levels or a million rows; both are read when the query runs
+    with conf_set(spark, spark__sql__cteRecursionRowLimit="-1", spark__sql__cteRecursionLevelLimit="-1"):
+        return cut_lineage(_sql(spark, sf_dir, _CHAIN, "conversations"))
 
 
 _pair(
@@ -329,10 +331,20 @@ _pair(
 )
 
 
-@query("sql_sample")
+@query(
+    "sql_sample",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, TRUE AS same_draw FROM lineitem",
+)
 def sample(spark, sf_dir):
-    """A tenth of lineitem, drawn row by row with a fixed seed."""
-    return table(spark, sf_dir, "lineitem").sample(fraction=0.1, seed=7)
+    """Sampling by rows: the whole table at fraction 1, marked where two draws of a tenth with one seed agree."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+
+    def draw(mark):
+        return rows.sample(fraction=0.1, seed=7).groupBy(*keys).agg(F.count(F.lit(1)).alias(mark))
+
+    both = rows.sample(fraction=1.0, seed=7).join(draw("one"), keys, "left").join(draw("two"), keys, "left")
+    return both.select(*keys, F.col("one").eqNullSafe(F.col("two")).alias("same_draw"))
 
 
 _pair(

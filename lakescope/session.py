@@ -79,17 +79,3 @@ def conf_set(spark: SparkSession, **settings: str):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-heavy work on an input with fewer splits than cores.
-
-    Inputs with enough splits (any large table) or with a shuffle of their own
-    pass through unchanged.
-    """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= parallelism:
-        return df
-    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString():
-        return df
-    return df if df.rdd.getNumPartitions() >= parallelism else df.repartition(parallelism)

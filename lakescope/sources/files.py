@@ -12,7 +12,7 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,17 +27,50 @@ def table_name(path: str) -> str:
     return re.sub(r"[^a-zA-Z0-9_一-鿿]", "_", stem)
 
 
-def sniff(lines: list[str]) -> tuple[str, bool]:
-    """Delimiter and presence of a header from the first lines of a file."""
-    best, width = ",", 1
+def whole_records(lines: list[str]) -> list[str]:
+    """The lines up to the last one at which no quote is open."""
+    quotes, end = 0, 0
+    for i, line in enumerate(lines, 1):
+        quotes += line.count('"')
+        if quotes % 2 == 0:
+            end = i
+    return lines[:end]
+
+
+def sniff(lines: list[str]) -> tuple[str | None, bool | None]:
+    """Delimiter and presence of a header from whole records; None where they do not decide.
+
+    A first record with an empty or typed cell is no header. Otherwise it is one if some
+    column below it holds typed cells only.
+    """
+    found = []
     for d in DELIMITERS:
-        counts = {len(r) for r in csv.reader(io.StringIO("\n".join(lines)), delimiter=d) if r}
-        if len(counts) == 1 and max(counts) > width:
-            best, width = d, max(counts)
-    rows = list(csv.reader(io.StringIO("\n".join(lines)), delimiter=best))
-    first = rows[0] if rows else []
-    header = bool(first) and all(c.strip() and not TYPED.match(c.strip()) for c in first)
-    return best, header
+        rows = [r for r in csv.reader(io.StringIO("\n".join(lines)), delimiter=d) if r]
+        if rows and len({len(r) for r in rows}) == 1:
+            found.append((len(rows[0]), d, rows))
+    if not found:
+        return None, None
+    _, best, rows = max(found, key=lambda f: f[0])
+    first, body = [c.strip() for c in rows[0]], [r for r in rows[1:] if r != rows[0]]  # each part may repeat the header
+    if not all(first) or any(TYPED.match(c) for c in first):
+        return best, False
+    typed = any(all(TYPED.match(r[c].strip()) for r in body if r[c].strip()) and any(r[c].strip() for r in body) for c in range(len(first)))
+    return best, True if typed else None
+
+
+def _decide(spark: SparkSession, path: str, delimiter: str | None, header: bool | None) -> tuple[str, bool]:
+    count = SNIFF_LINES
+    while True:
+        head = [r[0] for r in spark.read.text(path).limit(count).collect()]
+        seen = sniff(whole_records(head))
+        if None not in seen or len(head) < count or count > 100 * SNIFF_LINES:
+            break
+        count *= 10  # the first records are longer than what was read, or leave a doubt
+    delimiter, header = delimiter or seen[0], seen[1] if header is None else header
+    if delimiter is None or header is None:
+        missing = "delimiter" if delimiter is None else "header"
+        raise ValueError(f"{path}: its first records do not tell the {missing}; give {missing}=")
+    return delimiter, header
 
 
 def read_csv(
@@ -45,16 +78,20 @@ def read_csv(
     path: str,
     schema: T.StructType | str | None = None,
     sampling: float = 1.0,
-    multi_line: bool = False,
+    multi_line: bool = True,
+    delimiter: str | None = None,
+    header: bool | None = None,
 ) -> DataFrame:
     """One CSV file (or a folder of parts of one table) as a typed frame.
 
-    Without a schema the types are inferred from ``sampling`` of the rows, then
-    the read uses them explicitly; give a schema or a small ratio at scale.
-    ``multi_line`` accepts line breaks inside quotes, at the price of one task per file.
+    ``delimiter`` and ``header`` are read off the first records where they are not given;
+    if those leave a doubt, an error asks for them. Without a schema the types are inferred
+    from ``sampling`` of the rows, then the read uses them explicitly; give a schema or a
+    small ratio at scale. Line breaks inside quotes are accepted, at the price of one task
+    per file; ``multi_line=False`` splits files without such breaks.
     """
-    head = [r[0] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
-    delimiter, header = sniff(head)
+    if delimiter is None or header is None:
+        delimiter, header = _decide(spark, path, delimiter, header)
     reader = spark.read.options(sep=delimiter, header=header, quote='"', escape='"', multiLine=multi_line)
     if schema is None:
         schema = reader.options(inferSchema=True, samplingRatio=sampling).csv(path).schema
@@ -69,9 +106,18 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[s
     return sorted(s.getPath().toString() for s in status if s.getPath().getName().endswith(suffix))
 
 
-def read_csv_folder(spark: SparkSession, folder: str, sampling: float = 1.0) -> dict[str, DataFrame]:
-    """Every ``*.csv`` directly in a folder as a table of its own."""
-    return {table_name(p): read_csv(spark, p, sampling=sampling) for p in list_files(spark, folder)}
+def _once(tables: dict[str, DataFrame], name: str, origin: str) -> str:
+    if name in tables:
+        raise ValueError(f'table "{name}" of {origin} is already read from another file')
+    return name
+
+
+def read_csv_folder(spark: SparkSession, folder: str, sampling: float = 1.0, **options) -> dict[str, DataFrame]:
+    """Every ``*.csv`` directly in a folder as a table of its own; equal table names are an error."""
+    out: dict[str, DataFrame] = {}
+    for path in list_files(spark, folder):
+        out[_once(out, table_name(path), path)] = read_csv(spark, path, sampling=sampling, **options)
+    return out
 
 
 # --- workbooks ---------------------------------------------------------------
@@ -168,30 +214,42 @@ def workbook_cells(books: DataFrame, sheets: list[str] | None = None) -> DataFra
     return books.select("path", "content").mapInPandas(parse, CELL_ROWS)
 
 
-def sheet_table(cells: DataFrame, sheet: str) -> DataFrame:
-    """One typed table from a sheet, over all workbooks that hold it.
+def sheet_table(cells: DataFrame, sheet: str, path: str | None = None) -> DataFrame:
+    """One typed table from a sheet of one workbook, or of all workbooks that hold it.
 
-    The first row of each workbook names the columns. A column is typed when all
-    its cells agree, otherwise it is text.
+    The first row of each workbook names the columns: an empty name becomes
+    ``column_<place>``, a repeated one gets its number behind it, and columns without any
+    value stay. A column is typed when all its cells agree, otherwise it is text.
     """
     rows = cells.filter(F.col("sheet") == sheet)
+    if path is not None:
+        rows = rows.filter(F.col("path") == path)
     firsts = rows.groupBy("path").agg(F.min("row").alias("first"))
     placed = rows.join(firsts, "path")
-    header = placed.filter("row = first").select("path", F.inline("cells")).select("path", "col", F.col("value").alias("name"))
+    header = placed.filter("row = first").select("path", F.inline("cells")).select("path", "col", F.trim("value").alias("name"))
     body = placed.filter("row > first").select("path", "row", F.inline("cells"))
-    named = body.join(header, ["path", "col"])
-    # one row per column of the sheet: bounded by the width of a sheet
-    kinds = named.groupBy("name").agg(F.min("col").alias("at"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
-    plan = [(r["name"], r["lo"] if r["lo"] == r["hi"] else "string") for r in kinds.orderBy("at", "name").collect()]
+    # one row per column and workbook: bounded by the width of a sheet
+    columns = body.groupBy("path", "col").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).join(header, ["path", "col"], "full")
+    name = F.when(F.coalesce("name", F.lit("")) == "", F.concat(F.lit("column_"), (F.col("col") + 1).cast("string"))).otherwise(F.col("name"))
+    nth = F.row_number().over(Window.partitionBy("path", name).orderBy("col"))
+    columns = columns.select("path", "col", "lo", "hi", F.when(nth == 1, name).otherwise(F.concat(name, F.lit("_"), nth.cast("string"))).alias("name"))
+    kinds = columns.groupBy("name").agg(F.min("col").alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    plan = [(r["name"], r["lo"] if r["lo"] == r["hi"] and r["lo"] else "string") for r in kinds.orderBy("at", "name").collect()]
     values = F.map_from_entries(F.collect_list(F.struct("name", "value")))
-    wide = named.groupBy("path", "row").agg(values.alias("v"))
+    wide = body.join(columns.select("path", "col", "name"), ["path", "col"]).groupBy("path", "row").agg(values.alias("v"))
     return wide.select(*[F.col("v")[name].cast(kind).alias(name) for name, kind in plan])
 
 
 def read_workbooks(spark: SparkSession, folder: str, sheets: list[str] | None = None) -> dict[str, DataFrame]:
-    """All sheets of the workbooks in a folder, named ``<folder>_<sheet>``."""
+    """Every sheet of every workbook directly in a folder as a table ``<file>_<sheet>``."""
     books = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(folder)
-    cells = workbook_cells(books, sheets)
-    names = [r["sheet"] for r in cells.select("sheet").distinct().orderBy("sheet").collect()]
-    return {table_name(f"{posixpath.basename(folder.rstrip('/'))}_{s}"): sheet_table(cells, s) for s in names}
+    return workbook_tables(workbook_cells(books, sheets))
+
 
+def workbook_tables(cells: DataFrame) -> dict[str, DataFrame]:
+    """A table per workbook and sheet of ``cells``; equal table names are an error."""
+    out: dict[str, DataFrame] = {}
+    for r in cells.select("path", "sheet").distinct().orderBy("path", "sheet").collect():
+        name = table_name(f"{posixpath.splitext(posixpath.basename(r['path']))[0]}_{r['sheet']}.")
+        out[_once(out, name, r["path"])] = sheet_table(cells, r["sheet"], r["path"])
+    return out

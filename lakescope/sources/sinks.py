@@ -10,17 +10,10 @@ from lakescope.operators.sqlrun import Bounded
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV parts with a header; quotes only where needed, null is empty, ISO dates."""
-    header = ",".join(_quote(c) for c in df.columns)
-    lines = df.select(render.csv_line(df).alias("value"))
-    lines.write.option("header", False).mode("overwrite").text(f"{path.rstrip('/')}/rows")
-    df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path.rstrip('/')}/header"
-    )
-
-
-def _quote(name: str) -> str:
-    return '"' + name.replace('"', '""') + '"' if any(ch in name for ch in ',"\n') else name
+    """CSV parts, each with a header; quotes only where needed, null is empty, ISO dates."""
+    texts = df.select(*[render.plain(f).alias(f.name) for f in df.schema.fields])
+    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    texts.write.options(**options).mode("overwrite").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -44,7 +37,7 @@ def markdown_table(result: Bounded) -> str:
 
 
 def csv_text(result: Bounded) -> str:
-    header = ",".join(_quote(c) for c in result.rows.columns)
+    header = result.rows.sparkSession.range(1).select(F.concat_ws(",", *[render.csv_field(F.lit(c)) for c in result.rows.columns])).first()[0]
     return "\n".join([header, *[r[0] for r in result.rows.select(render.csv_line(result.rows)).collect()]])
 
 

@@ -28,7 +28,7 @@ def frame(spark, rows):
 
 
 def test_ranks(spark, rows):
-    out = segments.ranks(frame(spark, rows), ["k"], "t", ["id"], points=[10.0, 20.0, 45.0]).toPandas().set_index("id")
+    out = segments.ranks(frame(spark, rows), ["k"], "t", ["id"], segments=5).toPandas().set_index("id")
     g = rows.sort_values(["t", "id"]).groupby("k")
     want = pd.DataFrame(
         {
@@ -44,8 +44,8 @@ def test_ranks(spark, rows):
 
 def test_neighbours_and_running(spark, rows):
     df = frame(spark, rows)
-    got = segments.neighbours(df, ["k"], "t", ["id"], "v", points=[5.0, 30.0, 31.0]).collect()
-    run = {r["id"]: r["s"] for r in segments.running_sum(df, ["k"], "t", ["id"], "v", "s", points=[5.0, 30.0]).collect()}
+    got = segments.neighbours(df, ["k"], "t", ["id"], "v", segments=5).collect()
+    run = {r["id"]: r["s"] for r in segments.running_sum(df, ["k"], "t", ["id"], "v", "s", segments=5).collect()}
     by = {r["id"]: r for r in got}
     for _, group in rows.sort_values(["t", "id"]).groupby("k"):
         vals, ids = list(group["v"]), list(group["id"])
@@ -97,3 +97,27 @@ def test_range_join(spark, rows):
     got = sorted((r["s"], r["id"]) for r in got.collect())
     want = sorted((s, i) for s, lo, hi in ((0, 5, 9), (1, 9, 40)) for i, t in zip(rows["id"], rows["t"]) if lo <= t <= hi)
     assert got == want
+
+
+def test_asof_matches_no_nulls(spark):
+    left = spark.createDataFrame([(1, None, 5), (2, "a", None), (3, "a", 5)], "id int, k string, t int")
+    right = spark.createDataFrame([(None, 1, 7), ("a", None, 8), (None, None, 9)], "k string, rt int, v int")
+    assert segments.asof_join(left, right, ["k"], "t", "rt", ["v"]).count() == 0
+    assert [r["v"] for r in segments.asof_join(left, right, ["k"], "t", "rt", ["v"], how="left").collect()] == [None] * 3
+
+
+def test_string_order_with_nulls_and_ties(spark):
+    """Order by a text column with few values: ranks equal the plain window however rows are cut."""
+    from pyspark.sql import Window
+
+    rows = [(i, "k" if i % 3 else None, [None, "b", "a", "b", "Z"][i % 5], i) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, k string, o string, v int")
+    w = Window.partitionBy("k").orderBy("o")
+    plain = df.select("id", F.row_number().over(w.orderBy("o", "id")).alias("row_number"), F.rank().over(w).alias("rank"), F.dense_rank().over(w).alias("dense_rank"))
+    got = segments.ranks(df, ["k"], "o", ["id"], segments=7).select("id", "row_number", "rank", "dense_rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_top_of_many_per_group(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 2).alias("k"))
+    assert sqlrun.top_per_group(df, ["k"], [F.desc("id")], 1500).agg(F.count("*"), F.min("id")).first()[:] == (3000, 2000)
