@@ -117,6 +117,15 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op3_ngram_jaccard": f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_FOLD.format("text")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(s) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.b FROM reach r JOIN edges e ON r.y = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(y) FROM reach WHERE x = d.doc_id) AS component_id FROM d LEFT JOIN size USING (doc_id)""",
     "op7_url_filter": f"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS whole FROM pages),
 r AS (SELECT *, contains(whole, '://') AS has, CASE WHEN contains(whole, '://') THEN substr(whole, instr(whole, '://') + 3) ELSE '' END AS rest FROM u),
