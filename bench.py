@@ -16,7 +16,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from lakescope.session import build_session  # noqa: E402
+from lakescope.session import build_session, scratch_scope  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -134,10 +134,11 @@ def main() -> None:
     for name, build in work.items():
         seconds = []
         for i in range(RUNS + 1):
-            start = time.perf_counter()
-            build().write.format("noop").mode("overwrite").save()
-            if i:
-                seconds.append(time.perf_counter() - start)
+            with scratch_scope(spark):
+                start = time.perf_counter()
+                build().write.format("noop").mode("overwrite").save()
+                if i:
+                    seconds.append(time.perf_counter() - start)
             if i and seconds[-1] > LONG:
                 break
         timings[name] = round(statistics.median(seconds), 3)

@@ -79,3 +79,18 @@ def conf_set(spark: SparkSession, **settings: str):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """A folder of its own below the shared one for all intermediate tables written inside.
+
+    It is deleted at the end, so results must be written or collected before.
+    """
+    path = scratch_path(spark, "scope")
+    with conf_set(spark, spark__checkpoint__dir=path):
+        try:
+            yield path
+        finally:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -298,3 +298,15 @@ def test_semantic_file(spark, tmp_path):
     assert semantic.build_index(d).first()["searchable_text"] == "orders all orders core shop amount CNY open daily gmv"
     sql = semantic.suggest_metric_sql(d).first()["sql"]
     assert sql == 'SELECT DATE(at), SUM(amount) AS "daily gmv" FROM orders WHERE amount > 0 GROUP BY DATE(at)'
+
+
+def test_scratch_scope_deletes_its_tables(spark):
+    import os
+
+    from lakescope.session import cut_lineage, scratch_scope, shared_dir
+
+    before = shared_dir(spark)
+    with scratch_scope(spark) as path:
+        assert cut_lineage(spark.range(3)).count() == 3
+        assert os.path.isdir(path)
+    assert not os.path.exists(path) and shared_dir(spark) == before
