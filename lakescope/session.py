@@ -31,6 +31,9 @@ def build_session(master: str | None = None, name: str = "lakescope", **conf: st
     return builder.getOrCreate()
 
 
+_scopes: list[str] = []
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.conf.get("spark.master", "local").startswith("local")
 
@@ -45,14 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
         return base
     if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    base = os.path.join(tempfile.gettempdir(), f"lakescope-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return os.path.join(tempfile.gettempdir(), f"lakescope-{os.getpid()}")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder, or below the folder of the innermost scope."""
+    base = _scopes[-1] if _scopes else shared_dir(spark)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -88,9 +90,10 @@ def scratch_scope(spark: SparkSession):
     It is deleted at the end, so results must be written or collected before.
     """
     path = scratch_path(spark, "scope")
-    with conf_set(spark, spark__checkpoint__dir=path):
-        try:
-            yield path
-        finally:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _scopes.append(path)
+    try:
+        yield path
+    finally:
+        _scopes.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
