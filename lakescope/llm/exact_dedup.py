@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,9 +133,9 @@ class Shard:
             self.content[digest] = [keep, held[1] - n]
 
 
-@F.pandas_udf(T.BinaryType())
-def text_digest(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: hashlib.sha256(t.encode().lower() if t else b"").digest())
+@F.arrow_udf(T.BinaryType())
+def text_digest(text: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(t.as_buffer().to_pybytes().lower() if t.is_valid else b"").digest() for t in text], pa.binary())
 
 
 def _id(value):

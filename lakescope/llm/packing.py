@@ -120,23 +120,29 @@ def sequences(docs: DataFrame, placed: DataFrame, capacity: int = CAPACITY, doc_
     where = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "first", "n_words", "bin_id", "offset"))).alias("parts"))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.join(where, F.col("id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", "parts")
-    cut = rows.select("doc_id", "parts", cut_text(capacity)("text").alias("texts"))
-    cut = cut.select("doc_id", F.posexplode("texts").alias("at", "text"), "parts")
-    chosen = cut.select("doc_id", "text", F.explode(F.expr("filter(parts, p -> p.part = at)")).alias("p"))
-    return chosen.select("doc_id", "p.part", "p.first", "p.n_words", "p.bin_id", "p.offset", "text")
-
-
-def cut_text(capacity: int):
-    """A function column: a text cut before every ``capacity``-th word."""
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            words = Words(pa.array([text], pa.string()), NONSPACE)
-            cuts = [0, *words.starts[capacity::capacity].tolist(), len(words.raw)]
-            raw = text.encode()
-            out.append([raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)])
-        return pd.Series(out)
+    return rows.mapInArrow(_cut(capacity), f"{PLACED}, text string")
+
+
+def _cut(capacity: int):
+    """Each text cut before every ``capacity``-th word, with the places of its parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "first", "n_words", "bin_id", "offset"]
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                words, at, places, texts = Words(piece.column("text"), NONSPACE), [], [], []
+                for i, parts in enumerate(piece.column("parts").to_pylist()):
+                    a, b = words.offsets[i], words.offsets[i + 1]
+                    cuts = [a, *words.starts[words.bounds[i] : words.bounds[i + 1]][capacity::capacity].tolist(), b]
+                    for p in parts:
+                        at.append(i)
+                        places.append(tuple(p[n] for n in names))
+                        texts.append(words.raw[cuts[p["part"]] : cuts[p["part"] + 1]].tobytes().decode("utf-8", "replace"))
+                columns = list(zip(*places, strict=True)) if places else [[]] * 5
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id").take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], pa.array(texts, pa.string())],
+                    names=["doc_id", *names, "text"],
+                )
 
     return run

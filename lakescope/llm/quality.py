@@ -21,7 +21,6 @@ from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,9 +180,10 @@ def scored(stats: DataFrame, model: Discriminant) -> DataFrame:
 def keep_good(docs: DataFrame, model: Discriminant, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores ``least`` or more, in one pass over them."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t or "") for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
-        return pd.Series(model.score(x))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text):
+                x = np.array([statistics(t or "") for t in piece.column(text).to_pylist()], dtype=np.float64)
+                yield piece.filter(pa.array(model.score(x) >= least))
 
-    return docs.filter(score(F.col(text)) >= least)
+    return docs.mapInArrow(run, docs.schema)

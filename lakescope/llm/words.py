@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 22  # bytes of text worked on at once
+PIECE = 1 << 20  # bytes of text worked on at once
 CHUNK = 1 << 18  # bytes under one running sum
 U = np.uint64
 _MULT = U(0x9E3779B97F4A7C15)
