@@ -4,7 +4,8 @@ Words are runs of ASCII letters and digits and all characters beyond ASCII, A-Z
 lower-cased. The templates' winnowed fingerprints form an inverted index (hash to template
 and place); it is as large as the templates, which are fixed. A document's fingerprints
 that are in the index name a template and a diagonal; hits whose diagonals lie within
-``BAND`` of each other make a candidate region. A banded alignment of the region with the
+``BAND`` of each other make a region, a candidate if it hits the ``HITS`` share of the
+template's fingerprints. A banded alignment of the region with the
 template then finds the matched words, and regions covering at least ``COVERAGE`` of the
 template are reported.
 
@@ -14,6 +15,7 @@ also when it repeats; rows that repeat are reported each.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -51,10 +53,11 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain.",
 }
 
-K = 2  # words of a fingerprint
+K = 3  # words of a fingerprint
 WIDTH = 2  # fingerprints of which the smallest is kept
 BAND = 4  # words that an alignment may shift
 COVERAGE = 0.8
+HITS = 0.25  # share of a template's fingerprints that a region must hit to be aligned
 
 
 def _template_words(texts: list[str]) -> list[np.ndarray]:
@@ -72,26 +75,33 @@ class TemplateIndex:
             for p in winnow(g, min(WIDTH, max(len(g), 1))).tolist():
                 places[int(g[p])].append((t, p))
         self.places = dict(places)
+        self.needed = [0] * len(self.names)
+        for t in {(t, p) for found in places.values() for t, p in found}:
+            self.needed[t[0]] += 1
+        self.needed = [max(1, math.ceil(HITS * n)) for n in self.needed]
         self.marks = np.array(sorted(self.places), dtype=np.uint64)
 
     def candidates(self, h: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, first and last diagonal) of regions worth aligning."""
         g = grams(h, K)
+        known = self.marks[np.minimum(np.searchsorted(self.marks, g), len(self.marks) - 1)] == g
+        if not known.any():
+            return []
         at = winnow(g, WIDTH) if len(g) >= WIDTH else np.arange(len(g))
         hits = defaultdict(list)
-        for p in at[np.isin(g[at], self.marks)].tolist():
+        for p in at[known[at]].tolist():
             for t, q in self.places[int(g[p])]:
-                hits[t].append(p - q)
+                hits[t].append((p - q, q))
         out = []
-        for t, diagonals in hits.items():
-            diagonals.sort()
-            first = last = diagonals[0]
-            for d in diagonals[1:]:
-                if d - last > BAND:
-                    out.append((t, first, last))
-                    first = d
-                last = d
-            out.append((t, first, last))
+        for t, found in hits.items():
+            found.sort()
+            region: list[tuple[int, int]] = []
+            for d, q in [*found, (1 << 62, -1)]:
+                if region and d - region[-1][0] > BAND:
+                    if len({q for _, q in region}) >= self.needed[t]:
+                        out.append((t, region[0][0], region[-1][0]))
+                    region = []
+                region.append((d, q))
         return out
 
 
