@@ -6,8 +6,9 @@ Two documents link when ``DEN * |x & y| >= NUM * |x | y|`` of their sets of dist
 1. Documents with equal sets form one class; only one of a class is joined further.
 2. Unrelated sets are at distance 1 from everything, so distances to pivots cannot split a
    whole corpus. What can be closer than ``T`` to a set shares one of its rarest shingles
-   (its prefix). Each shingle that several prefixes hold is a region; its smallest document
-   is the region's pivot, and a document is copied to all regions its prefix reaches.
+   (its prefix). Each shingle that several prefixes hold is a region. Its pivot is the document
+   with the fewest rarer shingles (an original rather than an edited copy), and a document is
+   copied to all regions its prefix reaches.
 3. The distance of each document to the pivots of its regions gives the first links. It is
    computed exactly where sizes and the places of the shared shingle in both orders leave a
    link possible with that shingle as the first common one; elsewhere sizes bound it from
@@ -236,8 +237,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     prefixes = cut_lineage(rows.select("id", "text").mapInArrow(_prefixes(table), "id bigint, prefix array<bigint>").filter("prefix IS NOT NULL"))
     held = prefixes.select("id", F.posexplode("prefix").alias("at", "shingle"))
-    cells = held.groupBy("shingle").agg(F.min(F.struct("id", "at")).alias("p"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    cells = cells.select("shingle", F.col("p.id").alias("pivot"), F.col("p.at").alias("place"), "many").join(sizes.select(F.col("id").alias("pivot"), F.col("n").alias("m")), "pivot")
+    cells = held.groupBy("shingle").agg(F.min(F.struct("at", "id")).alias("p"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    # written, so that the join below may split a shingle that very many documents hold
+    cells = cut_lineage(cells.select("shingle", F.col("p.id").alias("pivot"), F.col("p.at").alias("place"), "many"))
+    cells = cells.join(sizes.select(F.col("id").alias("pivot"), F.col("n").alias("m")), "pivot")
     reached = held.join(cells, "shingle").filter("id <> pivot").join(of, "id")
     reached = cut_lineage(reached.select("shingle", "pivot", "m", "place", F.col("class").alias("id"), "n", "at", "many").filter("id <> pivot").distinct())
     near = reached.filter(_meet(F.col("n"), F.col("at"), F.col("m"), F.col("place"))).select("pivot", "id").distinct()
