@@ -82,7 +82,7 @@ def update_ledger(history: DataFrame, ledger: DataFrame | None = None, path: str
         unseen = unseen.join(ledger.filter(F.col("version") == version).select("blob"), "blob", "left_anti")
     same = (named["blob"] == unseen["blob"]) & named["path"].eqNullSafe(unseen["one"])
     fresh = named.join(unseen, same, "left_semi").select("blob", "text").mapInArrow(_scan(rules, version), LEDGER)
-    fresh = cut_lineage(fresh).dropDuplicates(["blob"])  # rows may repeat a path and its text
+    fresh = cut_lineage(fresh.dropDuplicates(["blob"]))  # rows may repeat a path and its text
     return paths, fresh if ledger is None else ledger.unionByName(fresh), fresh
 
 
