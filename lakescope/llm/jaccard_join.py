@@ -126,7 +126,7 @@ def _prefixes(table):
                 found = []
                 for s in shingle_sets(piece.column("text")):
                     p = prefix_length(len(s))
-                    if p < 2:  # too small to differ from anything within T
+                    if p < 2 and len(s) * DEN // NUM <= len(s):  # no other set, larger ones included, is within T
                         found.append(None)
                         continue
                     bucket = s >> U(64 - SKETCH_BITS)

@@ -70,6 +70,20 @@ def test_against_brute_force(spark, seed):
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
 
 
+def test_small_sets_link_with_larger_ones(spark):
+    """Texts of 1 to 12 words beside their extensions by a word in front, behind or both."""
+    texts = []
+    for size in range(1, 13):
+        for end in ((0, 1), (1, 0), (1, 1)):
+            base = [f"s{size}e{end[0]}{end[1]}w{i}" for i in range(size)]
+            texts += [base, ["front"] * end[0] + base + ["behind"] * end[1]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect())
+    assert found == brute(rows)
+    assert [(i, n) for i, n, first in found if i != first][0][1] == 7  # 6 shingles of 9 words inside 7 of 10
+
+
 def test_repeated_and_null_ids(spark):
     text = "one two three four five six seven"
     rows = [(1, text), (1, "quite another text with other words"), (None, text), (None, None), (5, "quite another text with other words")]
