@@ -23,7 +23,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar documents."""
-    return jaccard_join.one_of_each_group(docs)
+    return jaccard_join.one_of_each_group(docs, rule=jaccard_join.NEAR)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Exact similarity join of documents on word shingles in the Jaccard metric.
 
-Two documents link when ``DEN * |x & y| >= NUM * |x | y|`` of their sets of distinct
-``K``-word shingles; the result is the components of the links.
+Two documents link when ``den * |x & y| >= num * |x | y|`` of their sets of distinct
+``k``-word shingles, by default with the values of the op3 query; the result is the
+components of the links.
 
 1. Documents with equal sets form one class; only one of a class is joined further.
 2. Unrelated sets are at distance 1 from everything, so distances to pivots cannot split a
-   whole corpus. What can be closer than ``T`` to a set shares one of its rarest shingles
+   whole corpus. What can be closer than ``1 - num / den`` to a set shares one of its rarest shingles
    (its prefix). Each shingle that several prefixes hold is a region. Its pivot is the document
    with the fewest rarer shingles (an original rather than an edited copy), and a document is
    copied to all regions its prefix reaches.
@@ -16,7 +17,7 @@ Two documents link when ``DEN * |x & y| >= NUM * |x | y|`` of their sets of dist
 4. Regions whose documents are not yet in one component are joined again, recursing into
    what lies outside their largest component: two documents of different components are
    compared if sizes, places and the triangle inequality over the pivot (their distances to
-   it differ by at most ``T``) leave a link possible.
+   it differ by at most ``1 - num / den``) leave a link possible.
 
 The order of shingles by rarity comes from a table of counts of fixed size; any order
 gives the same result. Sets are compared as 64-bit hashes of shingles.
@@ -31,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +43,24 @@ from lakescope.llm.graph import components
 from lakescope.llm.words import NONSPACE, Words, grams, pieces
 from lakescope.session import cut_lineage
 
-K = 4
-NUM, DEN = 85, 100
-T = 1 - NUM / DEN
+
+class Rule(NamedTuple):
+    """Words of a shingle, and the least Jaccard similarity of a link as a fraction."""
+
+    k: int = 4
+    num: int = 85
+    den: int = 100
+
+
+RULE = Rule()
+NEAR = Rule(5, 80, 100)  # near copies where no contract names other values
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
 CHUNK_SHINGLES = 1_000_000  # of one pivot's documents, compared by one task
 U = np.uint64
 
 
-def shingle_sets(texts: pa.Array, k: int = K) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int = RULE.k) -> Iterator[np.ndarray]:
     """The sorted set of each text."""
     words = Words(texts, NONSPACE)
     for a, b in zip(words.bounds.tolist(), words.bounds[1:].tolist(), strict=False):
@@ -64,25 +74,29 @@ def _identity(docs: DataFrame, doc_id: str, text: str) -> Column:
     return F.col(doc_id).cast("bigint") if seen["rows"] == seen["ids"] else F.xxhash64(doc_id, text)
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summaries(k: int):
     """Size and digest of each set, then this task's counts of shingles in blocks."""
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    names = ["id", "doc_id", "n", "same", "block", "counts"]
-    for batch in batches:
-        for piece in pieces(batch, "text"):
-            size, same = [], []
-            for s in shingle_sets(piece.column("text")):
-                size.append(len(s))
-                same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                np.add.at(counts, (s >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
-            none = pa.nulls(piece.num_rows)
-            columns = [piece.column("id"), piece.column("doc_id"), pa.array(size, pa.int64()), pa.array(same, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-    blocks = counts.reshape(-1, SKETCH_BLOCK)
-    used = np.flatnonzero(blocks.any(axis=1))
-    none = pa.nulls(len(used))
-    columns = [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(used, pa.int32())]
-    yield pa.RecordBatch.from_arrays([*columns, pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        names = ["id", "doc_id", "n", "same", "block", "counts"]
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                size, same = [], []
+                for s in shingle_sets(piece.column("text"), k):
+                    size.append(len(s))
+                    same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    np.add.at(counts, (s >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
+                none = pa.nulls(piece.num_rows)
+                columns = [piece.column("id"), piece.column("doc_id"), pa.array(size, pa.int64()), pa.array(same, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        blocks = counts.reshape(-1, SKETCH_BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        none = pa.nulls(len(used))
+        columns = [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(used, pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=names)
+
+    return run
 
 
 def _counts(total: np.ndarray) -> bytes:
@@ -113,20 +127,20 @@ def _sketch(summaries: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n: int, rule: Rule = RULE) -> int:
     """How many of its rarest shingles a set of n is found by."""
-    return n - -(-NUM * n // DEN) + 1
+    return n - -(-rule.num * n // rule.den) + 1
 
 
-def _prefixes(table):
+def _prefixes(table, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
         for batch in batches:
             for piece in pieces(batch, "text"):
                 found = []
-                for s in shingle_sets(piece.column("text")):
-                    p = prefix_length(len(s))
-                    if p < 2 and len(s) * DEN // NUM <= len(s):  # no other set, larger ones included, is within T
+                for s in shingle_sets(piece.column("text"), rule.k):
+                    p = prefix_length(len(s), rule)
+                    if p < 2 and len(s) * rule.den // rule.num <= len(s):  # no other set, larger ones included, can link
                         found.append(None)
                         continue
                     bucket = s >> U(64 - SKETCH_BITS)
@@ -137,22 +151,25 @@ def _prefixes(table):
     return run
 
 
-def _requested_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["pivot", "chunk", "member", "id", "hashes"]
-    for batch in batches:
-        for piece in pieces(batch, "text"):
-            ids, asked = piece.column("id").to_pylist(), piece.column("asked").to_pylist()
-            rows, held = [], 0
-            for i, s in enumerate(shingle_sets(piece.column("text"))):
-                data = s.tobytes()
-                for a in asked[i]:
-                    rows.append((a["pivot"], a["chunk"], a["member"], ids[i], data))
-                    held += len(data)
-                    if held > 1 << 24:
-                        yield _batch(rows, names)
-                        rows, held = [], 0
-            if rows:
-                yield _batch(rows, names)
+def _requested_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pivot", "chunk", "member", "id", "hashes"]
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                ids, asked = piece.column("id").to_pylist(), piece.column("asked").to_pylist()
+                rows, held = [], 0
+                for i, s in enumerate(shingle_sets(piece.column("text"), k)):
+                    data = s.tobytes()
+                    for a in asked[i]:
+                        rows.append((a["pivot"], a["chunk"], a["member"], ids[i], data))
+                        held += len(data)
+                        if held > 1 << 24:
+                            yield _batch(rows, names)
+                            rows, held = [], 0
+                if rows:
+                    yield _batch(rows, names)
+
+    return run
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -178,30 +195,30 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pivot", "id", "both", "either"])
 
 
-def _verify(rows: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verify(rows: DataFrame, sizes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Exact intersection and union of each (pivot, id) pair; ``rows`` holds id and text."""
     load = pairs.join(sizes, "id").groupBy("pivot").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("chunks"))
     dealt = pairs.join(load, "pivot").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     members = dealt.select("id", F.struct("pivot", "chunk", F.lit(1).alias("member")).alias("ask"))
     own = load.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(F.col("pivot").alias("id"), F.struct("pivot", "chunk", F.lit(0).alias("member")).alias("ask"))
     asked = members.unionByName(own).groupBy("id").agg(F.collect_list("ask").alias("asked"))
-    sets = rows.join(asked, "id").mapInArrow(_requested_sets, "pivot bigint, chunk bigint, member int, id bigint, hashes binary")
+    sets = rows.join(asked, "id").mapInArrow(_requested_sets(k), "pivot bigint, chunk bigint, member int, id bigint, hashes binary")
     together = sets.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "member")
     return cut_lineage(together.mapInArrow(_compare, "pivot bigint, id bigint, both bigint, either bigint"))
 
 
-def _meet(n: Column, at: Column, m: Column, place: Column) -> Column:
+def _meet(n: Column, at: Column, m: Column, place: Column, rule: Rule) -> Column:
     """Whether sets of n and m elements can link and have their first common element at these places.
 
     Places count from 0 in the common order. The sets must share ``need`` elements; before
     the first common one there is room for what the rest cannot hold.
     """
-    need = F.ceil(NUM * (n + m) / F.lit(NUM + DEN) - 1e-6)
+    need = F.ceil(rule.num * (n + m) / F.lit(rule.num + rule.den) - 1e-6)
     room = F.least(at, place) + 1 + F.least(n - at - 1, m - place - 1)
-    return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (at <= n - need) & (place <= m - need) & (room >= need)
+    return (F.least(n, m) * rule.den >= F.greatest(n, m) * rule.num) & (at <= n - need) & (place <= m - need) & (room >= need)
 
 
-def _across(regions: DataFrame) -> DataFrame:
+def _across(regions: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of documents of a region and of different components that may link.
 
     ``regions``: shingle, id, n, at, component, low, high (bounds of the distance to the
@@ -209,24 +226,24 @@ def _across(regions: DataFrame) -> DataFrame:
     """
     sizes = regions.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    rows = regions.join(largest, "shingle").withColumn("outside", F.col("component") != F.col("largest")).withColumn("band", F.floor(F.log("n") / (math.log(DEN / NUM) + 1e-9)))
+    rows = regions.join(largest, "shingle").withColumn("outside", F.col("component") != F.col("largest")).withColumn("band", F.floor(F.log("n") / (math.log(rule.den / rule.num) + 1e-9)))
     left = rows.filter("outside").select("shingle", F.explode(F.array(*[F.col("band") + x for x in (-1, 0, 1)])).alias("band"), *[F.col(c).alias(f"l_{c}") for c in ("id", "n", "at", "component", "low", "high")])
-    slack = T + 1e-9
+    slack = 1 - rule.num / rule.den + 1e-9
     pairs = left.join(rows, ["shingle", "band"]).filter(
         (F.col("l_component") != F.col("component"))
         & (~F.col("outside") | (F.col("l_id") < F.col("id")))
         & (F.col("l_low") <= F.col("high") + slack)
         & (F.col("low") <= F.col("l_high") + slack)
-        & _meet(F.col("l_n"), F.col("l_at"), F.col("n"), F.col("at"))
+        & _meet(F.col("l_n"), F.col("l_at"), F.col("n"), F.col("at"), rule)
     )
     return pairs.select(F.least("l_id", "id").alias("pivot"), F.greatest("l_id", "id").alias("id")).distinct()
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """One row per row: id, doc_id, n_shingles, ``first`` (smallest id of its component), component_id (smallest doc_id)."""
     spark = docs.sparkSession
     rows = docs.select(_identity(docs, doc_id, text).alias("id"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    summaries = cut_lineage(rows.mapInArrow(_summaries, "id bigint, doc_id bigint, n bigint, same binary, block int, counts binary"))
+    summaries = cut_lineage(rows.mapInArrow(_summaries(rule.k), "id bigint, doc_id bigint, n bigint, same binary, block int, counts binary"))
     known = summaries.filter("block IS NULL").select("id", "doc_id", "n", "same")
     table = spark.sparkContext.broadcast(_sketch(summaries))
 
@@ -235,7 +252,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     of = placed.filter("n > 0").select("id", "class", "n").distinct()
     sizes = of.filter("id = class").select("id", "n")
 
-    prefixes = cut_lineage(rows.select("id", "text").mapInArrow(_prefixes(table), "id bigint, prefix array<bigint>").filter("prefix IS NOT NULL"))
+    prefixes = cut_lineage(rows.select("id", "text").mapInArrow(_prefixes(table, rule), "id bigint, prefix array<bigint>").filter("prefix IS NOT NULL"))
     held = prefixes.select("id", F.posexplode("prefix").alias("at", "shingle"))
     cells = held.groupBy("shingle").agg(F.min(F.struct("at", "id")).alias("p"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     # written, so that the join below may split a shingle that very many documents hold
@@ -243,15 +260,15 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     cells = cells.join(sizes.select(F.col("id").alias("pivot"), F.col("n").alias("m")), "pivot")
     reached = held.join(cells, "shingle").filter("id <> pivot").join(of, "id")
     reached = cut_lineage(reached.select("shingle", "pivot", "m", "place", F.col("class").alias("id"), "n", "at", "many").filter("id <> pivot").distinct())
-    near = reached.filter(_meet(F.col("n"), F.col("at"), F.col("m"), F.col("place"))).select("pivot", "id").distinct()
-    measured = _verify(rows.select("id", "text"), sizes, cut_lineage(near))
-    is_link = F.col("both") * DEN >= F.col("either") * NUM
+    near = reached.filter(_meet(F.col("n"), F.col("at"), F.col("m"), F.col("place"), rule)).select("pivot", "id").distinct()
+    measured = _verify(rows.select("id", "text"), sizes, cut_lineage(near), rule.k)
+    is_link = F.col("both") * rule.den >= F.col("either") * rule.num
     links = measured.filter(is_link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     found = components(links)
 
-    further = cut_lineage(_across(_open_regions(reached, measured, found)).join(measured.select("pivot", "id"), ["pivot", "id"], "left_anti"))
+    further = cut_lineage(_across(_open_regions(reached, measured, found), rule).join(measured.select("pivot", "id"), ["pivot", "id"], "left_anti"))
     if not further.isEmpty():
-        more = _verify(rows.select("id", "text"), sizes, further).filter(is_link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+        more = _verify(rows.select("id", "text"), sizes, further, rule.k).filter(is_link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         found = components(links.unionByName(more))
 
     known_as = placed.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("first", F.coalesce("component", "class"))
@@ -271,9 +288,9 @@ def _open_regions(reached: DataFrame, measured: DataFrame, found: DataFrame) ->
     return bounded.select("shingle", "id", "n", "at", "component", low.alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
 
 
-def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, and all without links."""
-    keep = similar_documents(docs, doc_id, text).filter("id = first").select("id", "n_shingles").distinct()
+    keep = similar_documents(docs, doc_id, text, rule).filter("id = first").select("id", "n_shingles").distinct()
     rows = docs.select(F.struct("*").alias("row"), _identity(docs, doc_id, text).alias("at"))
     one = F.row_number().over(Window.partitionBy("at").orderBy(F.lit(1)))
     kept = rows.join(keep, F.col("at").eqNullSafe(F.col("id"))).withColumn("copy", one)

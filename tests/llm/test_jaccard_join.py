@@ -84,6 +84,26 @@ def test_small_sets_link_with_larger_ones(spark):
     assert [(i, n) for i, n, first in found if i != first][0][1] == 7  # 6 shingles of 9 words inside 7 of 10
 
 
+def brute_by(rows, k, num, den):
+    """(id, smallest id of the component) by comparing all pairs of sets of k-word shingles."""
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + k]) for i in range(max(len(w) - k, 0) + 1)} if w else set() for w in words]
+    first = {i: i for i, _ in rows}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                x, y = first[rows[i][0]], first[rows[j][0]]
+                first = {d: min(x, y) if f in (x, y) else f for d, f in first.items()}
+    return sorted(first.items())
+
+
+@pytest.mark.parametrize("rule", [jaccard_join.NEAR, jaccard_join.Rule(2, 1, 2)])
+def test_other_rules_against_brute_force(spark, rule):
+    rows = corpus(3)
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), rule=rule)
+    assert sorted(tuple(r) for r in got.select("doc_id", "component_id").collect()) == brute_by(rows, *rule)
+
+
 def test_repeated_and_null_ids(spark):
     text = "one two three four five six seven"
     rows = [(1, text), (1, "quite another text with other words"), (None, text), (None, None), (5, "quite another text with other words")]

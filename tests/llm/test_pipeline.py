@@ -4,6 +4,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from test_decontamination import brute as brute_leaks
 from test_jaccard_join import brute as brute_groups
+from test_jaccard_join import brute_by
 
 from lakescope.session import cut_lineage
 
@@ -37,3 +38,14 @@ def test_stages(spark, sf):
     for i, text in texts.items():
         assert "".join(r["text"] for r in sorted((r for r in out if r["doc_id"] == i), key=lambda r: r["part"])) == text
     assert corpus_pipeline.run(spark, sf).count() == len(out)
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark, sf):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(900_001, " ".join(base)), (900_002, " ".join(base + [f"x{i}" for i in range(20)]))]  # 96 of 116 shingles of five words
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, spark.createDataFrame(rows, "doc_id bigint, text string"), sf)
+    ids = sorted(r["doc_id"] for r in kept.collect())
+    assert 900_001 in ids and 900_002 not in ids
+    groups = dict(brute_by(rows, 5, 80, 100))
+    assert ids == sorted(i for i, t in rows if groups[i] == i or not t)
