@@ -1,13 +1,13 @@
 """License texts in documents.
 
 Words are runs of ASCII letters and digits and all characters beyond ASCII, A-Z
-lower-cased. The templates' winnowed fingerprints form an inverted index (hash to template
-and place); it is as large as the templates, which are fixed. A document's fingerprints
-that are in the index name a template and a diagonal; hits whose diagonals lie within
-``BAND`` of each other make a region, a candidate if it hits the ``HITS`` share of the
-template's fingerprints. A banded alignment of the region with the
-template then finds the matched words, and regions covering at least ``COVERAGE`` of the
-template are reported.
+lower-cased. The templates' words form an inverted index; it is as large as the templates,
+which are fixed. A banded alignment at a shift can only match words of one stretch of the
+document, and only at diagonals within ``BAND`` of the shift. So a shift is aligned if the
+stretch holds as many words of the template as ``COVERAGE`` asks for and as many places of
+the template are hit at those diagonals. Both are upper bounds of the matched words, so no
+reportable region is lost. The alignment then finds the matched words, and regions covering
+at least ``COVERAGE`` of the template are reported.
 
 Defined cases: null or empty texts match nothing; every match of a template is reported,
 also when it repeats; rows that repeat are reported each.
@@ -16,7 +16,6 @@ also when it repeats; rows that repeat are reported each.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakescope.llm.decontamination import winnow
-from lakescope.llm.words import ALNUM, Words, grams, pieces
+from lakescope.llm.words import ALNUM, Words, pieces
 
 # Notices by which texts are licensed.
 TEMPLATES = {
@@ -53,11 +51,9 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain.",
 }
 
-K = 3  # words of a fingerprint
-WIDTH = 2  # fingerprints of which the smallest is kept
 BAND = 4  # words that an alignment may shift
 COVERAGE = 0.8
-HITS = 0.25  # share of a template's fingerprints that a region must hit to be aligned
+SHIFTS = 4_096  # looked at together
 
 
 def _template_words(texts: list[str]) -> list[np.ndarray]:
@@ -69,41 +65,41 @@ class TemplateIndex:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.names = list(templates)
         self.words = _template_words(list(templates.values()))
-        places = defaultdict(list)
+        self.vocabulary = np.unique(np.concatenate([*self.words, np.zeros(1, dtype=np.uint64)]))
+        self.holds = np.zeros((len(self.names), len(self.vocabulary) + 1), dtype=np.int32)
         for t, h in enumerate(self.words):
-            g = grams(h, min(K, max(len(h), 1)))
-            for p in winnow(g, min(WIDTH, max(len(g), 1))).tolist():
-                places[int(g[p])].append((t, p))
-        self.places = dict(places)
-        self.needed = [0] * len(self.names)
-        for t in {(t, p) for found in places.values() for t, p in found}:
-            self.needed[t[0]] += 1
-        self.needed = [max(1, math.ceil(HITS * n)) for n in self.needed]
-        self.marks = np.array(sorted(self.places), dtype=np.uint64)
-
-    def candidates(self, h: np.ndarray) -> list[tuple[int, int, int]]:
-        """(template, first and last diagonal) of regions worth aligning."""
-        g = grams(h, K)
-        known = self.marks[np.minimum(np.searchsorted(self.marks, g), len(self.marks) - 1)] == g
-        if not known.any():
+            self.holds[t, np.searchsorted(self.vocabulary, h)] = 1
+        self.needed = [max(1, math.ceil(COVERAGE * len(h))) for h in self.words]
+
+    def candidates(self, h: np.ndarray) -> list[tuple[int, int]]:
+        """(template, shift) of all banded alignments that can match enough words."""
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        code = np.where(self.vocabulary[at] == h, at, len(self.vocabulary))
+        if np.count_nonzero(code < len(self.vocabulary)) < min(self.needed, default=1):
             return []
-        at = winnow(g, WIDTH) if len(g) >= WIDTH else np.arange(len(g))
-        hits = defaultdict(list)
-        for p in at[known[at]].tolist():
-            for t, q in self.places[int(g[p])]:
-                hits[t].append((p - q, q))
+        held = np.zeros((len(self.names), len(h) + 1), dtype=np.int32)
+        np.cumsum(self.holds[:, code], axis=1, out=held[:, 1:])
         out = []
-        for t, found in hits.items():
-            found.sort()
-            region: list[tuple[int, int]] = []
-            for d, q in [*found, (1 << 62, -1)]:
-                if region and d - region[-1][0] > BAND:
-                    if len({q for _, q in region}) >= self.needed[t]:
-                        out.append((t, region[0][0], region[-1][0]))
-                    region = []
-                region.append((d, q))
+        for t in np.flatnonzero(held[:, -1] >= self.needed).tolist():
+            n = len(self.words[t])
+            shifts = np.arange(1 - n - BAND, len(h) + BAND)
+            stretch = held[t][np.clip(shifts + n + BAND, 0, len(h))] - held[t][np.clip(shifts - BAND, 0, len(h))]
+            likely = shifts[stretch >= self.needed[t]]
+            for run in np.split(likely, np.flatnonzero(np.diff(likely) > 1) + 1) if len(likely) else ():
+                for start in range(0, len(run), SHIFTS):
+                    part = run[start : start + SHIFTS]
+                    out += [(t, s) for s in part[self._places_hit(t, h, int(part[0]), int(part[-1])) >= self.needed[t]].tolist()]
         return out
 
+    def _places_hit(self, t: int, h: np.ndarray, first: int, last: int) -> np.ndarray:
+        """For each shift, how many places of the template have an equal word within ``BAND`` of it."""
+        template = self.words[t]
+        place = np.arange(len(template))[:, None] + np.arange(first - BAND, last + BAND + 1)
+        equal = (h[np.clip(place, 0, len(h) - 1)] == template[:, None]) & (place >= 0) & (place < len(h))
+        upto = np.zeros((len(template), place.shape[1] + 1), dtype=np.int32)
+        np.cumsum(equal, axis=1, out=upto[:, 1:])
+        return (upto[:, 2 * BAND + 1 :] > upto[:, : -2 * BAND - 1]).sum(axis=0)
+
 
 def align(template: np.ndarray, region: np.ndarray, shift: int, band: int) -> list[tuple[int, int]]:
     """Most matching words of template and region in order, as index pairs.
@@ -139,13 +135,10 @@ def align(template: np.ndarray, region: np.ndarray, shift: int, band: int) -> li
 def matches(h: np.ndarray, index: TemplateIndex) -> list[tuple[int, int, int, int]]:
     """(template, matched words, first word, word after the last) of each reported region."""
     out = set()
-    for t, first, last in index.candidates(h):
-        template, start = index.words[t], first
-        while start <= last:  # a long chain of diagonals holds several copies
-            pairs = align(template, h, start + min(BAND, (last - start) // 2), BAND)
-            if pairs and len(pairs) >= COVERAGE * len(template):
-                out.add((t, len(pairs), pairs[0][1], pairs[-1][1] + 1))
-            start += BAND + 1
+    for t, shift in index.candidates(h):
+        pairs = align(index.words[t], h, shift, BAND)
+        if pairs and len(pairs) >= COVERAGE * len(index.words[t]):
+            out.add((t, len(pairs), pairs[0][1], pairs[-1][1] + 1))
     best: list[tuple[int, int, int, int]] = []
     for m in sorted(out, key=lambda m: (m[0], -m[1], m[3] - m[2], m[2])):  # the better of overlapping regions
         if not any(b[0] == m[0] and b[2] < m[3] and m[2] < b[3] for b in best):

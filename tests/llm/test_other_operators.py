@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lakescope.llm import html_text, licenses, packing, quality, secrets, token_counts, urls
 from lakescope.llm.queries import PATTERN, TOKENIZER, URL_RULES
+from lakescope.llm.words import ALNUM, Words
 
 
 # --- licenses ----------------------------------------------------------------
@@ -41,6 +43,29 @@ def test_alignment_against_the_full_table():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
 
 
+def test_candidates_against_aligning_everywhere():
+    """Notices with words changed, left out and put in, among other words: no reportable alignment is missed."""
+    rng, index = random.Random(3), licenses.TemplateIndex()
+    for round in range(26):
+        name = index.names[round % len(index.names)]
+        text = ["the"] * 3 + [rng.choice(("of", "license", "software", "qqq")) for _ in range(6)]
+        for _ in range(2):
+            for w in licenses.TEMPLATES[name].split():
+                x = rng.random()
+                text += [] if x < 0.05 else ["changed"] if x < 0.15 else [w, "added"] if x < 0.2 else [w]
+        h = Words(pa.array([" ".join(text)]), ALNUM).hashes
+        for t, template in enumerate(index.words):
+            able = {s for s in range(-len(template) - 4, len(h) + 5) if len(licenses.align(template, h, s, licenses.BAND)) >= licenses.COVERAGE * len(template)} if round % 5 == t % 5 or index.names[t] == name else set()
+            assert able <= {s for u, s in index.candidates(h) if u == t}
+
+
+def test_edited_short_notices():
+    index = licenses.TemplateIndex()
+    for text in ("Released under an MIT License.", "Released, now, under a well the known MIT License"):
+        found = licenses.matches(Words(pa.array([text]), ALNUM).hashes, index)
+        assert [(index.names[t], n >= 4) for t, n, _, _ in found] == [("MIT", True)]
+
+
 # --- tokens ------------------------------------------------------------------
 TEXTS = ["One line\nand  another\n\nlast é 漢字 😀 word", "\n\n", "no break", "", None, "tail\n", "😀\n😀 <|endoftext|>"]
 
