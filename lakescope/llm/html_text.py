@@ -7,7 +7,10 @@ undecided block the label of its nearest decided neighbours, or text when they d
 favour of the nearer one. Marked-up boilerplate (menus, page headers, footers, sidebars,
 forms, notices, adverts, reader comments, hidden parts) never becomes a block, and where
 a page marks its article, blocks outside it are boilerplate and blocks inside are
-boilerplate only for their links.
+boilerplate only for their links. A class or id marks boilerplate only as a whole name
+(``related-posts``, not ``has-sidebar`` or ``related-work``), and not where the element
+holds most of the prose of the page. Long blocks in other languages than those of the stop
+words are text if they are punctuated like sentences and hardly linked.
 
 Defined cases: null or empty html gives the empty text; broken markup is read as far as it
 goes, unclosed elements end with their parent; a page without any text block is empty.
@@ -42,6 +45,13 @@ DROPPED_NAMES = frozenset(
     "disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pagination paywall popup promo promoted "
     "promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+# pieces that a name of boilerplate may have besides
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons center column container content fixed footer form inner item items left link links list main "
+    "page panel post posts article articles primary right row secondary section site sticky text top wrap wrapper".split()
+)
+# names that stay boilerplate however much text they hold
+FIRM = frozenset("ad ads advert advertisement comment comments commentlist consent cookie cookies disqus gdpr replies reply respond".split())
 HEADER_NAMES = frozenset("header topbar".split())
 ARTICLE_NAMES = frozenset("article articlebody post entry story".split())
 STOP_WORDS = frozenset(
@@ -54,6 +64,9 @@ STOP_WORDS = frozenset(
 LONG = 140  # characters
 LINKED = 0.5  # share of characters inside links
 STOPPED = 0.12  # share of stop words
+PROSE = 0.8  # share of the page's prose by which an element overrules its name
+SENTENCE = re.compile(r"[.!?…](?=[\s\"'»”’)]|\Z)|[。！？｡؟۔।॥።]")
+SPREAD = 400  # characters that a sentence may have on average
 TEXT, BOILERPLATE, UNDECIDED = 1, 0, -1
 
 
@@ -62,48 +75,65 @@ class Block:
     text: str
     linked: int  # characters inside links
     article: bool
+    named: int = 0  # the outermost element whose name says boilerplate, 0 if none
+    firm: bool = False
+
+
+def _named(given: dict[str, str], kinds: frozenset[str]) -> set[str]:
+    """The words of ``kinds`` that whole class names or the id consist of, apart from neutral ones and numbers."""
+    out: set[str] = set()
+    for name in f"{given.get('class', '')} {given.get('id', '')}".lower().split():
+        parts = {x for x in PART.split(name) if x and not x.isdigit()}
+        if parts & kinds and parts <= kinds | NEUTRAL:
+            out |= parts & kinds
+    return out
 
 
-def _flags(tag: str, attributes: str, dropped: bool, article: bool) -> tuple[bool, bool]:
-    """Whether the content of an element is dropped, and whether it belongs to the article."""
+def _flags(tag: str, attributes: str, dropped: bool, article: bool) -> tuple[bool, bool, set[str]]:
+    """Whether the content of an element is dropped, whether it belongs to the article, and names of boilerplate."""
     here = article or tag in ("article", "main")
     if dropped and tag not in ("article", "main"):
-        return True, article
+        return True, article, set()
     if tag in DROPPED or (tag == "header" and not here):
-        return True, article
+        return True, article, set()
     if not attributes or not attributes.strip():
-        return False, here
+        return False, here, set()
     given = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
     role = given.get("role", "").lower()
     names = set(PART.split(f"{given.get('class', '')} {given.get('id', '')}".lower()))
     if role in DROPPED_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")):
-        return True, article
-    if tag not in ("body", "html", "main") and (names & DROPPED_NAMES or (names & HEADER_NAMES and not here and not names & ARTICLE_NAMES)):
-        return True, article
+        return True, article, set()
+    if tag not in ("body", "html", "main"):
+        named = _named(given, DROPPED_NAMES)
+        if not here and not names & ARTICLE_NAMES:
+            named |= _named(given, HEADER_NAMES)
+        if named:
+            return tag not in BLOCK, article, named
     here = here or role in ("main", "article") or "articlebody" in given.get("itemprop", "").lower() or bool(names & ARTICLE_NAMES and tag in ("div", "section"))
-    return False, here
+    return False, here, set()
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page that no markup excludes, in page order."""
+    """The text blocks of a page that no element, role or attribute excludes, in page order."""
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, article, inside a link
-    dropped = article = link = False
+    stack: list[tuple[str, bool, bool, bool, int, bool]] = []  # tag, dropped, article, inside a link, named, firm
+    dropped = article = link = firm = False
+    named = last = 0
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, article))
+                out.append(Block(text, linked, article, named, firm))
             parts.clear()
         linked = 0
 
     def top() -> None:
-        nonlocal dropped, article, link
-        _, dropped, article, link = stack[-1] if stack else ("", False, False, False)
+        nonlocal dropped, article, link, named, firm
+        _, dropped, article, link, named, firm = stack[-1] if stack else ("", False, False, False, 0, False)
 
     def add(text: str) -> None:
         nonlocal linked
@@ -164,9 +194,15 @@ def blocks(page: str) -> list[Block]:
             i = max(i for i, x in enumerate(stack) if x[0] == "a")
             del stack[i]
             top()
-        dropped, article = _flags(tag, m[3], dropped, article)
+        if tag in ("article", "main"):
+            named, firm = 0, False
+        dropped, article, names = _flags(tag, m[3], dropped, article)
+        if names and not named:
+            last += 1
+            named = last
+        firm = firm or bool(names & FIRM)
         link = link or tag == "a"
-        stack.append((tag, dropped, article, link))
+        stack.append((tag, dropped, article, link, named, firm))
     add(page[at:])
     close()
     return out
@@ -187,7 +223,18 @@ def decide(block: Block, marked: bool) -> int:
     words = _words(block.text)
     if words and sum(w in STOP_WORDS for w in words) >= STOPPED * len(words):
         return TEXT
-    return UNDECIDED if marked else BOILERPLATE
+    told = block.linked <= STOPPED * len(block.text) and len(SENTENCE.findall(block.text)) * SPREAD >= len(block.text)
+    return UNDECIDED if marked else TEXT if told else BOILERPLATE
+
+
+def unmarked(found: list[Block]) -> list[Block]:
+    """The blocks without those of elements named as boilerplate, except elements that hold most of the prose."""
+    held: dict[int, int] = {}
+    for b in found:
+        if len(b.text) >= LONG and not b.firm and b.linked <= LINKED * len(b.text):
+            held[b.named] = held.get(b.named, 0) + len(b.text)
+    main = {n for n, size in held.items() if n and size >= PROSE * sum(held.values())}
+    return [b for b in found if not b.firm and (not b.named or b.named in main)]
 
 
 def inherit(labels: list[int], default: int) -> list[int]:
@@ -205,7 +252,7 @@ def inherit(labels: list[int], default: int) -> list[int]:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    found = unmarked(blocks(page or ""))
     marked = any(b.article for b in found)
     if marked:  # blocks outside the article are no neighbours
         found = [b for b in found if b.article]

@@ -264,6 +264,24 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+POLISH = "Łódka płynęła powoli w dół rzeki, a dzieci patrzyły na drzewa. Nikt nie mówił ani słowa, bo wszyscy byli zmęczeni. Wieczorem rozpalili ognisko i jedli kolację."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        *[(f"<div class='{c}'><p>{PROSE}</p><p>{PROSE}</p></div>", f"{PROSE} {PROSE}") for c in ("content has-sidebar", "no-comments", "elementor-widget", "with-header", "related-work", "widget")],
+        (f"<article><p>{PROSE}</p><section class='related-work'><p>{PROSE} Two</p></section><div class='post-content share-enabled'><p>{PROSE} Three</p></div></article>", f"{PROSE} {PROSE} Two {PROSE} Three"),
+        (f"<div><p>{PROSE}</p></div><div class='related-posts'><p>{PROSE}</p></div><div id='comments'><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div>", PROSE),
+        (f"<p>One <span class='ad'>Buy</span> two {PROSE}</p>", f"One two {PROSE}"),
+        (f"<div><p>{POLISH}</p></div>", POLISH),
+        ("<div><p>" + "harbour lantern meadow copper " * 9 + "</p></div>", ""),
+    ],
+)
+def test_names_do_not_cost_the_article(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_undecided_blocks_follow_the_nearest():
     t, b, u = html_text.TEXT, html_text.BOILERPLATE, html_text.UNDECIDED
     assert html_text.inherit([u, t, u, u, b, u], b) == [t, t, t, b, b, b]
