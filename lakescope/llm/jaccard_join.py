@@ -68,7 +68,7 @@ def shingle_sets(texts: pa.Array, k: int = RULE.k) -> Iterator[np.ndarray]:
         yield s[np.flatnonzero(np.diff(s, prepend=~s[:1]))] if len(s) > 1 else s
 
 
-def _identity(docs: DataFrame, doc_id: str, text: str) -> Column:
+def identity(docs: DataFrame, doc_id: str, text: str) -> Column:
     """The id where ids are unique, else a hash of id and text."""
     seen = docs.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(doc_id).alias("ids")).first()
     return F.col(doc_id).cast("bigint") if seen["rows"] == seen["ids"] else F.xxhash64(doc_id, text)
@@ -242,7 +242,7 @@ def _across(regions: DataFrame, rule: Rule) -> DataFrame:
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """One row per row: id, doc_id, n_shingles, ``first`` (smallest id of its component), component_id (smallest doc_id)."""
     spark = docs.sparkSession
-    rows = docs.select(_identity(docs, doc_id, text).alias("id"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(identity(docs, doc_id, text).alias("id"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     summaries = cut_lineage(rows.mapInArrow(_summaries(rule.k), "id bigint, doc_id bigint, n bigint, same binary, block int, counts binary"))
     known = summaries.filter("block IS NULL").select("id", "doc_id", "n", "same")
     table = spark.sparkContext.broadcast(_sketch(summaries))
@@ -291,7 +291,7 @@ def _open_regions(reached: DataFrame, measured: DataFrame, found: DataFrame) ->
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, and all without links."""
     keep = similar_documents(docs, doc_id, text, rule).filter("id = first").select("id", "n_shingles").distinct()
-    rows = docs.select(F.struct("*").alias("row"), _identity(docs, doc_id, text).alias("at"))
+    rows = docs.select(F.struct("*").alias("row"), identity(docs, doc_id, text).alias("at"))
     one = F.row_number().over(Window.partitionBy("at").orderBy(F.lit(1)))
     kept = rows.join(keep, F.col("at").eqNullSafe(F.col("id"))).withColumn("copy", one)
     return kept.filter("copy = 1 OR n_shingles = 0").select("row.*")

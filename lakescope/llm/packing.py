@@ -4,7 +4,9 @@ A text is cut into parts of at most ``capacity`` words, so nothing is dropped. P
 dealt to shards by a hash and placed in order of falling length: the open bins of a shard
 are ordered by residual space, and from the smallest residual that fits the successor
 search goes on until a bin is found whose source and duplicate-cluster bitmaps are
-disjoint from the part's. Otherwise a bin is opened. So no bin holds two documents of one
+disjoint from the part's. ``near_clusters`` gives the components of near copies as
+clusters; ``measure`` alone knows word-identical copies only (``same``), which is enough
+where one document of each component is left. Otherwise a bin is opened. So no bin holds two documents of one
 source or of one cluster. A shard holds about ``SHARD_PARTS`` parts, whatever the size of
 the corpus, and each source and cluster is spread over all shards.
 
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakescope.llm import jaccard_join
 from lakescope.llm.words import NONSPACE, Words, pieces
 from lakescope.session import cut_lineage
 
@@ -104,6 +107,14 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     return rows.mapInArrow(_measure, "doc_id bigint, source string, n_words bigint, same string")
 
 
+def near_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rule: jaccard_join.Rule = jaccard_join.NEAR) -> DataFrame:
+    """``measure`` with ``cluster``: the component of near copies, null for texts without words."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    groups = jaccard_join.similar_documents(rows, rule=rule).filter("n_shingles > 0").select("id", F.col("first").cast("string").alias("cluster")).distinct()
+    known = rows.withColumn("doc_id", F.struct("doc_id", jaccard_join.identity(rows, "doc_id", "text").alias("id")))
+    return known.mapInArrow(_measure, "doc_id struct<doc_id: bigint, id: bigint>, source string, n_words bigint, same string").select("doc_id.*", "source", "n_words", "same").join(groups, "id", "left").drop("id")
+
+
 def pack(measured: DataFrame, cluster: str = "same", capacity: int = CAPACITY) -> DataFrame:
     """One row per part: doc_id, part, first word, words, bin and place in it."""
     last = F.greatest(F.lit(0), F.ceil(F.col("n_words") / capacity).cast("int") - 1)

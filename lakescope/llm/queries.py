@@ -45,7 +45,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.measure(table(spark, sf_dir, "documents")))
+    return packing.pack(packing.near_clusters(table(spark, sf_dir, "documents")), cluster="cluster")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,18 @@ def test_pack_places_everything_once(spark):
         assert len(named) == len(set(named))
 
 
+def test_near_copies_share_no_bin(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:i] + [f"changed{i}"] + words[i + 1 :]), None if i % 2 else f"s{i}") for i in range(0, 60, 12)]
+    rows += [(100 + i, f"other{i} text of its own", None) for i in range(5)] + [(200, "", None), (201, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    placed = packing.pack(packing.near_clusters(docs), cluster="cluster").collect()
+    assert sorted(r["doc_id"] for r in placed) == sorted(r[0] for r in rows)
+    copies = [r["bin_id"] for r in placed if r["doc_id"] < 100]
+    assert len(copies) == len(set(copies)) == 5
+    assert len({r["bin_id"] for r in placed}) == 5  # the others fit beside them
+
+
 def test_sequences_round_trip(spark):
     rows = [(1, " a b\tc  d e \n"), (2, "é" * 5), (3, None), (4, "one two three four five six seven")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("source", F.lit("s"))
