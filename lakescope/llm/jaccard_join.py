@@ -14,8 +14,8 @@ components of the links.
    computed exactly where sizes and the places of the shared shingle in both orders leave a
    link possible with that shingle as the first common one; elsewhere sizes bound it from
    below. Copies of one text thus link through one pivot, without pairs among themselves.
-4. Regions whose documents are not yet in one component are joined again, recursing into
-   what lies outside their largest component: two documents of different components are
+4. Regions whose documents are not yet in one component are joined again, once, with what
+   lies outside their largest component (no recursion): two documents of different components are
    compared if sizes, places and the triangle inequality over the pivot (their distances to
    it differ by at most ``1 - num / den``) leave a link possible.
 
