@@ -189,6 +189,25 @@ def cut_at_k(spark, sf_dir):
     return clustering.cut(history, items, clustering.cluster_counts(items.count())).select("id", "k", "label")
 
 
+def _linked_vectors(spark, sf_dir):
+    vecs = table(spark, sf_dir, "embeddings")
+    items = cut_lineage(vecs.select(F.col("vec_id").alias("id")))
+    return items, clustering.average_linkage(cut_lineage(clustering.vector_features(vecs, "vec_id", "embedding")), items)
+
+
+@query("average_linkage_vectors")
+def average_linkage_vectors(spark, sf_dir):
+    """All merges of the whole embeddings table."""
+    _, history = _linked_vectors(spark, sf_dir)
+    return history.select("a", "b", F.round("height", 8).alias("height"), "round", "step")
+
+
+@query("cut_at_k_vectors")
+def cut_at_k_vectors(spark, sf_dir):
+    items, history = _linked_vectors(spark, sf_dir)
+    return clustering.cut(history, items, clustering.cluster_counts(items.count())).select("id", "k", "label")
+
+
 @query("choose_k", _LINKAGE + "SELECT k, round(silhouette, 8) AS silhouette FROM sil")
 def choose_k(spark, sf_dir):
     """Silhouette of every cut of the feeds."""
