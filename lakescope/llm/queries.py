@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakescope.llm import decontamination, exact_dedup, html_text, jaccard_join, licenses, packing, quality, secrets, token_counts, urls
+from lakescope.llm import decontamination, exact_dedup, fingerprints, html_text, infill, jaccard_join, licenses, packing, quality, resampling, secrets, token_counts, urls
 from lakescope.session import cut_lineage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -81,6 +81,32 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(table(spark, sf_dir, "pages")).select("page.page_id", "page.url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.with_neighbours(table(spark, sf_dir, "documents"))
+    own, edited, after = F.col("hashes"), F.col("edited_hashes"), F.col("next_hashes")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.fingerprint(own).alias("fingerprint"),
+        fingerprints.fingerprint(edited).alias("edited_fingerprint"),
+        fingerprints.containment(own, edited).alias("near_edited"),
+        fingerprints.containment(own, after).alias("near_next"),
+        fingerprints.resemblance(own, edited).alias("jaccard_edited"),
+        fingerprints.resemblance(own, after).alias("jaccard_next"),
+    )
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = infill.restore(infill.infill(table(spark, sf_dir, "documents")))
+    return forms.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,13 +120,18 @@ QUERIES = {
         op8_secret_scan,
         op9_exact_dedup,
         op10_main_text,
+        op11_fingerprints,
+        op12_infill,
+        op13_resampling,
     )
 }
 
 _FOLD = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _FOLD.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPLIT = "list_filter(string_split_regex(" + _FOLD + r", '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _TERM = "CAST(regexp_matches(judged, '(^|[^\\p{{L}}\\p{{N}}]){}($|[^\\p{{L}}\\p{{N}}])') AS INTEGER)"
 _RULE = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{i}}}" for i, (_, h, p) in sorted(enumerate(URL_RULES), key=lambda r: -len(r[1][1] + r[1][2])))
+_POLY = f"list_reduce(list_prepend(0::BIGINT, r), lambda x, y: (x * {{}} + y) % {fingerprints.MODULUS})"
 
 ORACLES = {
     "op1_decontamination": f"""
@@ -140,4 +171,53 @@ FROM c""",
 WITH t AS (SELECT doc_id, sha256({_FOLD.format("text")}) AS text_sha256 FROM documents),
 g AS (SELECT *, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size FROM t WINDOW w AS (PARTITION BY text_sha256))
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op11_fingerprints": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+nx AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS after,
+              coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS after_id FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ed AS (SELECT doc_id, after_id, n, t, left(t, n - n // 2) || left(after, n // 2) AS e FROM nx),
+tx AS (SELECT doc_id, 'own' AS kind, {_SPLIT.format("t")} AS w FROM ed UNION ALL SELECT doc_id, 'edited', {_SPLIT.format("e")} FROM ed),
+hw AS (SELECT doc_id, kind, list_transform(w, lambda x: CAST('0x' || left(md5(x), 8) AS BIGINT)) AS h, least({fingerprints.K}, len(w)) AS k FROM tx WHERE len(w) > 0),
+sh AS (SELECT doc_id, kind, h[s:s + k - 1] AS r FROM hw, unnest(range(1, len(h) - k + 2)) AS u(s)),
+hs AS (SELECT DISTINCT doc_id, kind, ({_POLY.format(fingerprints.BASES[0])} << 31) | {_POLY.format(fingerprints.BASES[1])} AS v FROM sh),
+kept AS (SELECT doc_id, kind, v FROM (SELECT *, min(v) OVER (PARTITION BY doc_id, kind) AS low FROM hs) WHERE v < {fingerprints.LIMIT} OR v = low),
+fp AS (SELECT doc_id, kind, list(v) AS vs, string_agg(lpad(lower(hex(v)), 16, '0'), '' ORDER BY v) AS f FROM kept GROUP BY ALL),
+j AS (SELECT ed.doc_id, n, e, coalesce(a.vs, []) AS a, coalesce(b.vs, []) AS b, coalesce(c.vs, []) AS c, coalesce(a.f, '') AS fa, coalesce(b.f, '') AS fb
+      FROM ed LEFT JOIN fp a ON a.doc_id = ed.doc_id AND a.kind = 'own' LEFT JOIN fp b ON b.doc_id = ed.doc_id AND b.kind = 'edited' LEFT JOIN fp c ON c.doc_id = after_id AND c.kind = 'own'),
+m AS (SELECT *, len(list_intersect(a, b)) AS ab, len(list_intersect(a, c)) AS ac FROM j)
+SELECT doc_id, n AS n_chars, sha256(e) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
+       CASE WHEN len(a) > 0 THEN ab / len(a) WHEN len(b) > 0 THEN 0 ELSE 1 END::DOUBLE AS near_edited,
+       CASE WHEN len(a) > 0 THEN ac / len(a) WHEN len(c) > 0 THEN 0 ELSE 1 END::DOUBLE AS near_next,
+       CASE WHEN len(a) + len(b) > 0 THEN ab / (len(a) + len(b) - ab) ELSE 1 END::DOUBLE AS jaccard_edited,
+       CASE WHEN len(a) + len(c) > 0 THEN ac / (len(a) + len(c) - ac) ELSE 1 END::DOUBLE AS jaccard_next
+FROM m""",
+    "op12_infill": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+c AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+             CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                  WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+s AS (SELECT *, least(c1, c2) AS p, greatest(c1, c2) AS q, substr(x, 1, least(c1, c2)) AS a,
+             substr(x, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS b, substr(x, greatest(c1, c2) + 1) AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM s""",
+    "op13_resampling": f"""
+WITH RECURSIVE tab AS (SELECT i AS byte, 0 AS bits, i AS c FROM range(256) AS r(i)
+  UNION ALL SELECT byte, bits + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM tab WHERE bits < 8),
+dw AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents),
+bw AS (SELECT unnest({_WORDS}) AS w FROM benchmark),
+vocab AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+crc AS (SELECT w, x, 1 AS pos, 4294967295::BIGINT AS c FROM vocab
+  UNION ALL SELECT w, x, pos + 2, xor(tab.c, crc.c >> 8) FROM crc JOIN tab ON bits = 8 AND byte = xor(crc.c & 255, CAST('0x' || substr(x, pos, 2) AS BIGINT)) WHERE pos < length(x)),
+hashed AS (SELECT w, xor(c, 4294967295) % 10000 AS bucket FROM crc WHERE pos > length(x)),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN hashed USING (w) GROUP BY 1),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT count(*) FROM dw) + 10000) / ((s + 1) * ((SELECT count(*) FROM bw) + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket)),
+per AS (SELECT doc_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS weight FROM dw JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY 1),
+sc AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+         + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || d.doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+       FROM documents d LEFT JOIN per USING (doc_id)),
+rk AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS many FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= 10 * many // 100 THEN r END AS rank FROM rk""",
 }

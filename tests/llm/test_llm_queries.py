@@ -4,7 +4,7 @@ import compare
 import pytest
 from pyspark.sql import functions as F
 
-from lakescope.llm import decontamination, exact_dedup, html_text, jaccard_join, licenses, packing, quality, secrets, token_counts, urls
+from lakescope.llm import decontamination, exact_dedup, fingerprints, html_text, infill, jaccard_join, licenses, packing, quality, resampling, secrets, token_counts, urls
 from lakescope.llm.queries import ORACLES, PATTERN, QUERIES, TOKENIZER
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, digest string, row int, text_ string"
@@ -39,13 +39,18 @@ OPERATORS = {
     "secrets": lambda d: secrets.findings(d, path="doc_id"),
     "exact": lambda d: exact_dedup.lookup(exact_dedup.build(d)),
     "html": lambda d: html_text.main_texts(d, "text"),
+    "sketches": fingerprints.sketches,
+    "neighbours": fingerprints.with_neighbours,
+    "infill": lambda d: infill.restore(infill.infill(d)),
+    "resampling": lambda d: resampling.resample(d, d),
+    "resampling towards nothing": lambda d: resampling.resample(d, d.limit(0)),
 }
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_odd_rows(spark, odd, name):
     rows = OPERATORS[name](odd).collect()
-    one_each = {"decontamination", "jaccard", "quality", "urls", "secrets", "exact", "html"}
+    one_each = {"decontamination", "jaccard", "quality", "urls", "secrets", "exact", "html", "sketches", "neighbours", "infill", "resampling", "resampling towards nothing"}
     assert not (name in one_each) or len(rows) == 9
     assert OPERATORS[name](odd.limit(0)).count() == 0
 
