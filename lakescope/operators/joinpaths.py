@@ -7,7 +7,7 @@ all column pairs. ``cross=False`` keeps every step inside one source;
 
 Passing ``anchors`` (the tables a user asks about) computes only the paths that
 touch those tables, which is linear in the catalog; without it the full set of
-paths is produced.
+paths is found per class of alike tables (``pathclasses``) and expanded.
 """
 
 from __future__ import annotations
@@ -135,41 +135,35 @@ def name_candidates(
 
 
 def _by_name(columns: DataFrame, cross: bool, anchors: DataFrame | None, normalise: str | None) -> DataFrame:
+    if anchors is None:
+        from lakescope.operators import pathclasses  # it builds on the rules of this module
+
+        return pathclasses.by_name(columns, cross, normalise)
     keyed = cut_lineage(keyed_columns(columns, normalise))  # keys are computed once, then read per join side
     scope = [] if cross else ["source_id"]
     apart = _field("l", "tkey") != _field("r", "tkey")
     if cross:
         apart = apart & (_field("l", "table_name") != _field("r", "table_name"))
     row_id = ["table_pos", "tkey", "ordinal"]
-    # a child column "<parent>_id" against a parent's "id" column
-    parents = keyed.filter("low = 'id'").select(F.struct("*").alias("r"))
-    children = keyed.filter("low like '%\\\\_id'").select(F.struct("*").alias("l"))
+    asked = anchors.select(table_key(F.col("source_id"), F.col("table_name")).alias("_asked")).distinct()
+    marked = keyed.join(asked, F.col("tkey") == F.col("_asked"), "left").withColumn("asked", F.col("_asked").isNotNull())
+    body = F.struct(*keyed.columns, "asked")
+    # "id" never equals another table's column by these rules, only a parent's own key
+    left = marked.filter("asked").select(body.alias("l"))
+    right = marked.select(body.alias("r"))
+    equal = (_field("l", "cls") == _field("r", "cls")) & (_field("l", "mkey") == _field("r", "mkey"))
     on = (_field("l", "cls") == _field("r", "cls")) & (_field("l", "low") == _field("r", "own_id"))
     for s in scope:
-        on = on & (_field("l", s) == _field("r", s))
-    if anchors is None:
-        # "id" never equals another table's column by these rules, only a parent's own key
-        same = pairs.self_pairs(keyed.filter("low <> 'id'"), [*scope, "cls", "mkey"], row_id, apart)
-        to_id = children.join(parents, on & apart).select("l", "r")
-    else:
-        asked = anchors.select(table_key(F.col("source_id"), F.col("table_name")).alias("_asked")).distinct()
-        marked = keyed.join(asked, F.col("tkey") == F.col("_asked"), "left").withColumn(
-            "asked", F.col("_asked").isNotNull()
-        )
-        body = F.struct(*keyed.columns, "asked")
-        left = marked.filter("asked").select(body.alias("l"))
-        right = marked.select(body.alias("r"))
-        equal = (_field("l", "cls") == _field("r", "cls")) & (_field("l", "mkey") == _field("r", "mkey"))
-        for s in scope:
-            equal = equal & (_field("l", s) == _field("r", s))
-        once = ~_field("r", "asked") | (
-            F.struct(*[_field("l", c) for c in row_id]) < F.struct(*[_field("r", c) for c in row_id])
-        )
-        same = left.join(right, equal & apart & once).select("l", "r")
-        kids = marked.filter("low like '%\\\\_id'").select(body.alias("l"))
-        ids = marked.filter("low = 'id'").select(body.alias("r"))
-        touch = _field("l", "asked") | _field("r", "asked")
-        to_id = kids.join(ids, on & apart & touch).select("l", "r")
+        equal, on = equal & (_field("l", s) == _field("r", s)), on & (_field("l", s) == _field("r", s))
+    once = ~_field("r", "asked") | (
+        F.struct(*[_field("l", c) for c in row_id]) < F.struct(*[_field("r", c) for c in row_id])
+    )
+    same = left.join(right, equal & apart & once).select("l", "r")
+    # a child column "<parent>_id" against a parent's "id" column
+    kids = marked.filter("low like '%\\\\_id'").select(body.alias("l"))
+    ids = marked.filter("low = 'id'").select(body.alias("r"))
+    touch = _field("l", "asked") | _field("r", "asked")
+    to_id = kids.join(ids, on & apart & touch).select("l", "r")
     confidence, signal = _rule()
     source = F.lit(CROSS) if cross else _field("a", "source_id")
     found = _oriented(same).unionByName(_oriented(to_id))
@@ -366,6 +360,11 @@ def indirect(direct: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     survivors = ends.join(
         direct.filter("pair_rank = 1").select("source_id", "pa", "pb"), ["source_id", "pa", "pb"], "left_anti"
     ).drop("pa", "pb")
+    return hop_rows(survivors, edges)
+
+
+def hop_rows(survivors: DataFrame, edges: DataFrame) -> DataFrame:
+    """Path rows of (source_id, mid_tkey, key_a, key_b) from the edges of both ends."""
     edge = F.struct(*[c for c in edges.columns if c not in ("source_id", "mid_tkey")])
     side_a = edges.select("source_id", "mid_tkey", F.col("end_tkey").alias("key_a"), edge.alias("a"))
     side_b = edges.select("source_id", "mid_tkey", F.col("end_tkey").alias("key_b"), edge.alias("b"))
@@ -454,7 +453,16 @@ def discover(
     normalise: str | None = None,
     threshold: float = COSINE_THRESHOLD,
 ) -> DataFrame:
-    """Direct and indirect join paths, one row per path."""
+    """Direct and indirect join paths, one row per path.
+
+    Without anchors they are found per class of tables and expanded (``pathclasses``).
+    """
+    if anchors is None:
+        from lakescope.operators import pathclasses
+
+        paths = pathclasses.factored(columns, cross, vectors, foreign_keys, normalise, threshold)
+        direct = cut_lineage(pathclasses.direct_rows(paths))  # read several times below
+        return render_direct(direct).unionByName(render(pathclasses.indirect_rows(paths, direct)))
     fused = fuse(candidates(columns, cross, vectors, foreign_keys, anchors, normalise, threshold))
     direct = cut_lineage(fused)  # read several times below
     return render_direct(direct).unionByName(render(indirect(direct, anchors)))

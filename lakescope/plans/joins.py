@@ -7,7 +7,7 @@ side finds the same pairs by one matching key.
 from pyspark.sql import functions as F
 
 from lakescope.functions import text
-from lakescope.operators import joinpaths
+from lakescope.operators import joinpaths, pathclasses
 from lakescope.plans.lake import ENTITY_LAKE_SQL, ORDER_LAKE_SQL, entity_lake, entity_vectors, order_lake
 from lakescope.plans.registry import query, table
 
@@ -19,7 +19,7 @@ _CLASS = """CASE WHEN upper({0}) LIKE '%INT%' THEN 'INT'
 
 
 def _keyed(lake: str) -> str:
-    return f"""keyed AS (
+    return f"""keyed AS MATERIALIZED (
   SELECT *, row_number() OVER () AS rid, {_CLASS.format("dtype")} AS cls, lower(column_name) AS low,
          lower(regexp_replace(column_name, '[_-]?(id|key|code)$', '', 'i')) AS stem,
          lower(regexp_replace(table_name, 's$', '')) || '_id' AS own
@@ -73,21 +73,23 @@ everything AS (SELECT *, least(sa || '|' || ta, sb || '|' || tb) AS ka, greatest
 ranked AS (SELECT *, bool_or(sig = 'fk_constraint') OVER (PARTITION BY source_id, ka, kb) AS has_fk,
                   row_number() OVER (PARTITION BY source_id, ka, kb ORDER BY conf DESC, pa, pb, oa, ob) AS rn
            FROM everything WHERE conf >= 0.4),
-direct AS (SELECT * FROM ranked WHERE CASE WHEN has_fk THEN sig = 'fk_constraint' ELSE rn <= 3 END)"""
+direct AS MATERIALIZED (SELECT * FROM ranked WHERE CASE WHEN has_fk THEN sig = 'fk_constraint' ELSE rn <= 3 END)"""
 
 _INDIRECT = """
-edge AS (SELECT source_id, sa || '|' || ta AS x, ta AS xt, pa AS xp, sb || '|' || tb AS m, tb AS mt, cond, conf, ka, kb
-         FROM direct WHERE rn = 1
-         UNION ALL
-         SELECT source_id, sb || '|' || tb, tb, pb, sa || '|' || ta, ta, cond, conf, ka, kb FROM direct WHERE rn = 1),
+edge AS MATERIALIZED (
+  SELECT source_id, sa || '|' || ta AS x, ta AS xt, pa AS xp, sb || '|' || tb AS m, tb AS mt, cond, conf FROM direct WHERE rn = 1 AND conf * 0.8::DOUBLE >= 0.4
+  UNION ALL
+  SELECT source_id, sb || '|' || tb, tb, pb, sa || '|' || ta, ta, cond, conf FROM direct WHERE rn = 1 AND conf * 0.8::DOUBLE >= 0.4),
+met AS MATERIALIZED (
+  SELECT a.source_id, a.m, a.x, b.x AS y, least(a.x, b.x) AS ka, greatest(a.x, b.x) AS kb
+  FROM edge a JOIN edge b ON a.source_id = b.source_id AND a.m = b.m AND a.xp < b.xp),
+apart AS MATERIALIZED (SELECT * FROM met ANTI JOIN direct USING (source_id, ka, kb)),
 hop AS (
   SELECT a.source_id, a.xt AS ta, b.xt AS tb, a.mt AS via, a.cond || ' AND ' || b.cond AS cond,
          least(a.conf, b.conf) * 0.8::DOUBLE AS conf,
          'SELECT * FROM ' || a.xt || ' JOIN ' || a.mt || ' ON ' || a.cond || ' JOIN ' || b.xt || ' ON ' || b.cond AS sql
-  FROM edge a JOIN edge b ON a.source_id = b.source_id AND a.m = b.m AND a.xp < b.xp
-  WHERE least(a.conf, b.conf) * 0.8::DOUBLE >= 0.4
-    AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.source_id = a.source_id
-                    AND d.ka = least(a.x, b.x) AND d.kb = greatest(a.x, b.x)))"""
+  FROM apart h JOIN edge a ON a.source_id = h.source_id AND a.m = h.m AND a.x = h.x
+               JOIN edge b ON b.source_id = h.source_id AND b.m = h.m AND b.x = h.y)"""
 
 _PATHS = """
 paths AS (
@@ -223,7 +225,7 @@ def join_embedding_blend(spark, sf_dir):
 
 @query("join_fuse", _flow(False, _FUSE) + _SHOW + "direct")
 def join_fuse(spark, sf_dir):
-    return _shown(joinpaths.fuse(joinpaths.candidates(order_lake(spark, sf_dir))))
+    return _shown(pathclasses.direct_rows(pathclasses.factored(order_lake(spark, sf_dir))))
 
 
 _FINAL = """SELECT path_id, source_id, table_a, table_b, join_type, join_condition, round(confidence, 6) AS confidence,
@@ -250,6 +252,46 @@ def join_paths_cross(spark, sf_dir):
     return _final(joinpaths.discover(entity_lake(spark, sf_dir), cross=True))
 
 
+def _counts_sql(cross: bool) -> str:
+    return (
+        _flow(cross, _FUSE, _INDIRECT)
+        + """SELECT source_id, sig AS signal_source, round(conf, 6) AS confidence, count(*) AS n_paths FROM direct GROUP BY ALL
+    UNION ALL SELECT source_id, 'indirect', round(conf, 6), count(*) FROM hop GROUP BY ALL"""
+    )
+
+
+@query("join_path_counts", _counts_sql(False))
+def join_path_counts(spark, sf_dir):
+    """Paths per source, signal and confidence, counted per class of tables."""
+    return _final(pathclasses.path_counts(pathclasses.factored(order_lake(spark, sf_dir))))
+
+
+@query("join_path_counts_cross", _counts_sql(True))
+def join_path_counts_cross(spark, sf_dir):
+    return _final(pathclasses.path_counts(pathclasses.factored(entity_lake(spark, sf_dir), cross=True)))
+
+
+def _groups_sql(cross: bool) -> str:
+    key = "CASE WHEN {0}.stem = '' THEN '=' || {0}.low ELSE {0}.stem END"
+    return (
+        _flow(cross)
+        + f"""SELECT {"'__cross__'" if cross else "a.source_id"} AS source_id, a.cls, CASE WHEN a.low = 'id' THEN {key.format("b")} ELSE {key.format("a")} END AS match_key,
+      CASE rule WHEN 1 THEN 'name_pattern:fk_id' WHEN 2 THEN 'name_pattern:exact_match' ELSE 'name_pattern:stripped_suffix' END AS signal_source, count(*) AS n_pairs
+    FROM ruled JOIN keyed a ON a.rid = ra JOIN keyed b ON b.rid = rb GROUP BY ALL"""
+    )
+
+
+@query("join_name_groups", _groups_sql(False))
+def join_name_groups(spark, sf_dir):
+    """Matching column pairs per key and rule, counted from the members of each key."""
+    return pathclasses.name_groups(order_lake(spark, sf_dir))
+
+
+@query("join_name_groups_cross", _groups_sql(True))
+def join_name_groups_cross(spark, sf_dir):
+    return pathclasses.name_groups(entity_lake(spark, sf_dir), cross=True)
+
+
 @query(
     "join_path_render",
     _flow(True, _FUSE)
@@ -258,7 +300,7 @@ def join_paths_cross(spark, sf_dir):
 )
 def join_path_render(spark, sf_dir):
     cols = entity_lake(spark, sf_dir)
-    fused = joinpaths.fuse(joinpaths.candidates(cols, cross=True))
+    fused = pathclasses.direct_rows(pathclasses.factored(cols, cross=True))
     return joinpaths.render_direct(fused).select("path_id", "join_condition", "sql_template")
 
 

@@ -1,7 +1,8 @@
 """Catalogs derived from the tables, so that catalog jobs grow with the data.
 
 ``order_lake``: every customer is a source, every order a table of it, and the
-line items of the order give its columns. ``entity_lake``: three sources whose
+line items of the order give its columns; orders refer to the customer's first order,
+those of low priority to the last one. ``entity_lake``: three sources whose
 tables are the single customers, orders and suppliers, with key columns.
 """
 
@@ -24,7 +25,7 @@ def _col(ordinal, name, dtype, comment=None):
 
 
 def _firsts(orders: DataFrame) -> DataFrame:
-    return orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_key"))
+    return orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
 def order_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,14 +33,15 @@ def order_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = orders.join(_firsts(orders), "o_custkey")
     first = F.concat(F.lit("order"), F.col("first_key").cast("string"))
     urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("FK -> "), first, F.lit("s.id")))
-    not_first = F.col("first_key") != F.col("o_orderkey")
+    key = F.when(F.col("o_orderpriority") == "5-LOW", F.col("last_key")).otherwise(F.col("first_key"))
+    parent = F.concat(F.lit("order"), key.cast("string"), F.lit("_id"))
     own = keyed.select(
         "o_orderkey",
         F.inline(
             F.filter(
                 F.array(
                     _col(0, F.lit("id"), "bigint"),
-                    F.when(not_first, _col(1, F.concat(first, F.lit("_id")), "bigint", urgent)),
+                    F.when(key != F.col("o_orderkey"), _col(1, parent, "bigint", urgent)),
                 ),
                 lambda c: c.isNotNull(),
             )
@@ -79,16 +81,16 @@ def order_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDER_LAKE_SQL = """
-firsts AS (SELECT o_custkey, min(o_orderkey) AS first_key FROM orders GROUP BY 1),
+firsts AS (SELECT o_custkey, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1),
 olake AS (
   SELECT 'cust' || o.o_custkey AS source_id, 'order' || o.o_orderkey || 's' AS table_name, o.o_orderkey AS table_pos,
          c.ordinal, c.column_name, c.dtype, c.comment
   FROM orders o JOIN (
     SELECT o_orderkey, 0 AS ordinal, 'id' AS column_name, 'bigint' AS dtype, NULL AS comment FROM orders
     UNION ALL
-    SELECT o_orderkey, 1, 'order' || first_key || '_id', 'bigint',
+    SELECT o_orderkey, 1, 'order' || CASE WHEN o_orderpriority = '5-LOW' THEN last_key ELSE first_key END || '_id', 'bigint',
            CASE WHEN o_orderpriority = '1-URGENT' THEN 'FK -> order' || first_key || 's.id' END
-    FROM orders JOIN firsts USING (o_custkey) WHERE first_key <> o_orderkey
+    FROM orders JOIN firsts USING (o_custkey) WHERE CASE WHEN o_orderpriority = '5-LOW' THEN last_key ELSE first_key END <> o_orderkey
     UNION ALL
     SELECT l_orderkey, 10 + q * 10 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END,
            'Q' || q || CASE l_returnflag WHEN 'A' THEN '_id' WHEN 'N' THEN '_key' ELSE '_code' END,
