@@ -469,33 +469,43 @@ def discover(
 
 
 def lookup(paths: DataFrame, wanted: DataFrame, tables: DataFrame) -> DataFrame:
-    """Paths of requested table pairs, in either direction.
+    """Paths of requested table pairs, in either direction, per source.
 
-    ``wanted`` rows: ``table_a, table_b``. A pair that names a table missing from
-    ``tables`` yields one row with ``error`` set. ``warning`` marks pairs with a
-    path of low confidence.
+    ``wanted`` rows: ``table_a, table_b`` and optionally ``source_id``, the source meant (null:
+    any). Tables of one name in several sources keep apart: each source's paths come with
+    its ``source_id`` and its own ``warning``, which marks pairs with a path of low confidence. A
+    path of the run over all sources is left out where the run of a source found the same one.
+    A pair that names a table missing from ``tables`` (of that source) yields one row with ``error`` set.
     """
-    names = tables.select("table_name").distinct()
-    known = (
-        wanted.join(names.select(F.col("table_name").alias("table_a"), F.lit(True).alias("_ka")), "table_a", "left")
-        .join(names.select(F.col("table_name").alias("table_b"), F.lit(True).alias("_kb")), "table_b", "left")
-        .select(
-            F.col("table_a").alias("asked_a"),
-            F.col("table_b").alias("asked_b"),
-            F.when(F.col("_ka").isNull(), F.col("table_a")).when(F.col("_kb").isNull(), F.col("table_b")).alias("_bad"),
-        )
-        .withColumns({"pa": F.least("asked_a", "asked_b"), "pb": F.greatest("asked_a", "asked_b")})
+    source = F.col("source_id") if "source_id" in wanted.columns else F.lit(None).cast("string")
+    asked = wanted.select(source.alias("asked_in"), F.col("table_a").alias("asked_a"), F.col("table_b").alias("asked_b")).withColumn("_row", F.monotonically_increasing_id())
+    asked = cut_lineage(asked)
+    names = tables.select("source_id", "table_name").distinct()
+    at = [(F.col(f"asked_{s}") == F.col("table_name")) & (F.col("asked_in").isNull() | (F.col("asked_in") == F.col("source_id"))) for s in "ab"]
+    seen = [asked.join(names, on, "left_semi").select("_row", F.lit(True).alias(f"_k{s}")) for s, on in zip("ab", at, strict=True)]
+    known = asked.join(seen[0], "_row", "left").join(seen[1], "_row", "left").withColumns(
+        {
+            "_bad": F.when(F.col("_ka").isNull(), F.col("asked_a")).when(F.col("_kb").isNull(), F.col("asked_b")),
+            "pa": F.least("asked_a", "asked_b"),
+            "pb": F.greatest("asked_a", "asked_b"),
+        }
     )
     keyed = (
         paths.withColumns({"pa": F.least("table_a", "table_b"), "pb": F.greatest("table_a", "table_b")})
-        # the same pair may come from its source and from the cross-source run
-        .groupBy("pa", "pb", "join_condition", "signal_source", "sql_template")
+        .groupBy("source_id", "pa", "pb", "join_condition", "signal_source", "sql_template")
         .agg(F.max("confidence").alias("confidence"))
     )
-    lowest = keyed.groupBy("pa", "pb").agg((F.min("confidence") < LOW_CONFIDENCE).alias("_low"))
-    found = known.join(keyed.join(lowest, ["pa", "pb"]), ["pa", "pb"], "left")
+    same = ["pa", "pb", "join_condition", "signal_source", "sql_template"]
+    own = keyed.filter(F.col("source_id") != CROSS)
+    keyed = cut_lineage(own.unionByName(keyed.filter(F.col("source_id") == CROSS).join(own.select(*same).distinct(), same, "left_anti")))
+    lowest = keyed.groupBy("source_id", "pa", "pb").agg((F.min("confidence") < LOW_CONFIDENCE).alias("_low"))
+    listed = keyed.join(lowest, ["source_id", "pa", "pb"])
+    here = F.col("asked_in").isNull() | F.col("source_id").isin(CROSS) | (F.col("source_id") == F.col("asked_in"))
+    hits = known.join(listed, ["pa", "pb"]).filter(here)
+    found = hits.unionByName(known.join(hits.select("_row").distinct(), "_row", "left_anti"), allowMissingColumns=True)
     is_indirect = F.col("signal_source").startswith("indirect:")
     return found.select(
+        F.coalesce("source_id", "asked_in").alias("source_id"),
         F.col("asked_a").alias("table_a"),
         F.col("asked_b").alias("table_b"),
         F.when(is_indirect, "indirect").when(~is_indirect, "direct").alias("kind"),

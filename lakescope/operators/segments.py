@@ -167,28 +167,41 @@ def neighbours(
     )
 
 
-def trailing_sum(
-    df: DataFrame, by: Sequence[str], ts: str, value: str, days: int, alias: str, bucket_days: int = 90
-) -> DataFrame:
-    """Sum over the trailing RANGE of ``days`` days (current row included).
-
-    Rows are bucketed by time; each bucket also receives the rows of the last
-    ``days`` days before it, so every frame is complete inside its bucket.
+def trailing_sum(df: DataFrame, by: Sequence[str], ts: str, value: str, days: int, alias: str) -> DataFrame:
+    """Sum over the trailing RANGE of ``days`` days (all rows of the current time included).
+
+    Rows are added up per (key, time) first. A frame is then the prefix of its last segment,
+    the totals of the segments between, and what its first segment holds behind the last time
+    before the frame, which an as-of join finds; only prefixes of one segment are subtracted,
+    so doubles are rounded as in the running sum of one segment, not of the whole key. Rows
+    without a time form one frame per key; a frame without values sums to null.
     """
-    if bucket_days < days:
-        raise ValueError("bucket_days must cover the frame")
-    day = 86_400
-    sec = F.unix_seconds(F.col(ts).cast("timestamp"))
-    width = bucket_days * day
-    own = F.floor(sec / width)
-    last_needed = F.floor((sec + days * day) / width)
-    expanded = df.withColumn("_b", F.explode(F.sequence(own, last_needed))).withColumn("_own", F.col("_b") == own)
-    w = (
-        Window.partitionBy(*by, "_b")
-        .orderBy(F.unix_micros(F.col(ts).cast("timestamp")))
-        .rangeBetween(-days * day * 1_000_000, Window.currentRow)
-    )
-    return expanded.withColumn(alias, F.sum(value).over(w)).filter("_own").drop("_b", "_own")
+    moment = F.unix_micros(F.col(ts).cast("timestamp"))
+    key = F.struct(*[F.col(c) for c in by])
+    per = cut_lineage(df.groupBy(key.alias("_k"), moment.alias("_t")).agg(F.sum(value).alias("_v"), F.count(value).alias("_n")))
+    seg = with_segment(per.filter("_t IS NOT NULL"), "_t", ["_k"])
+    so_far = Window.partitionBy("_k", "_seg").orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut_lineage(seg.select("_k", "_t", F.col("_seg").alias("_own"), F.coalesce(F.sum("_v").over(so_far), F.lit(0)).alias("_upto"), F.sum("_n").over(so_far).alias("_count")))
+    totals = seg.groupBy("_k", "_seg").agg(F.coalesce(F.sum("_v"), F.lit(0)).alias("v"), F.sum("_n").alias("n"))
+    totals = totals.groupBy("_k").agg(F.collect_list(F.struct("_seg", "v", "n")).alias("_totals"))  # one entry per segment
+    left = local.withColumn("_from", F.col("_t") - F.lit(days * 86_400_000_000) - 1)
+    right = local.select("_k", F.col("_t").alias("_at"), F.col("_own").alias("_aseg"), F.col("_upto").alias("_aupto"), F.col("_count").alias("_acount"))
+    found = asof_join(left, right, ["_k"], "_from", "_at", ["_aseg", "_aupto", "_acount"], how="left")
+    placed = _attach(found, totals, ["_k"])
+
+    def frame(upto: str, total: str) -> Column:
+        before = F.col(f"_a{upto[1:]}")
+        between = F.filter("_totals", lambda x: (x["_seg"] < F.col("_own")) & (x["_seg"] > F.coalesce(F.col("_aseg"), F.lit(-1))))
+        first = F.filter("_totals", lambda x: x["_seg"] == F.col("_aseg"))[0][total]
+        whole = F.aggregate(F.transform(between, lambda x: x[total]), F.lit(0).cast(seg_types[total]), lambda acc, x: acc + x)
+        apart = F.col(upto) + whole
+        return F.when(F.col("_aseg").isNull(), apart).when(F.col("_aseg") == F.col("_own"), F.col(upto) - before).otherwise(apart + first - before)
+
+    entry = totals.schema["_totals"].dataType.elementType
+    seg_types = {c: entry[c].dataType for c in ("v", "n")}
+    sums = placed.select("_k", "_t", F.when(frame("_count", "n") > 0, frame("_upto", "v")).alias(alias))
+    sums = sums.unionByName(per.filter("_t IS NULL").select("_k", "_t", F.col("_v").alias(alias)))
+    return _attach(df.withColumns({"_k": key, "_t": moment}), sums, ["_k", "_t"]).drop("_k", "_t")
 
 
 def asof_join(

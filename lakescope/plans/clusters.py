@@ -26,7 +26,8 @@ def feeds(spark, sf_dir):
         (F.col("doc_id") * PLACES).alias("base"),
     ).filter("word <> ''")
     first = words.groupBy("source", "lang", "word").agg(F.min(F.col("base") + F.col("at")).alias("ordinal"))
-    return first.join(places, ["source", "lang"]).select(
+    # a catalog is a stored table: the jobs read it several times
+    rows = first.join(places, ["source", "lang"]).select(
         F.col("source").alias("source_id"),
         F.concat(F.lit("feed"), F.col("table_pos").cast("string"), F.lit("Rows")).alias("table_name"),
         "table_pos",
@@ -35,6 +36,7 @@ def feeds(spark, sf_dir):
         F.lit("string").alias("dtype"),
         F.lit(None).cast("string").alias("comment"),
     )
+    return cut_lineage(rows)
 
 
 _FEEDS = r"""

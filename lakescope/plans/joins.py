@@ -308,12 +308,12 @@ _WANTED = """
 wanted AS (SELECT 'order' || o_orderkey || 's' AS table_a,
                   CASE WHEN o_orderpriority = '5-LOW' THEN 'nowhere' || o_orderkey ELSE 'supplier' || lead_key || 's' END AS table_b
            FROM orders JOIN leads USING (o_custkey) WHERE o_orderpriority IN ('2-HIGH', '5-LOW')),
-hit AS (SELECT w.*, p.join_condition, p.signal_source, p.sql_template, p.confidence,
-               bool_or(p.confidence < 0.6) OVER (PARTITION BY w.table_a, w.table_b) AS low
+hit AS (SELECT w.*, p.source_id, p.join_condition, p.signal_source, p.sql_template, p.confidence,
+               bool_or(p.confidence < 0.6) OVER (PARTITION BY w.table_a, w.table_b, p.source_id) AS low
         FROM wanted w LEFT JOIN paths p
           ON least(w.table_a, w.table_b) = least(p.table_a, p.table_b)
          AND greatest(w.table_a, w.table_b) = greatest(p.table_a, p.table_b))
-SELECT table_a, table_b,
+SELECT source_id, table_a, table_b,
        CASE WHEN signal_source LIKE 'indirect:%' THEN 'indirect' WHEN signal_source IS NOT NULL THEN 'direct' END AS kind,
        CASE WHEN signal_source LIKE 'indirect:%' THEN replace(signal_source, 'indirect:via_', '') END AS via,
        round(confidence, 2) AS confidence, signal_source AS signal, join_condition, sql_template AS join_sql,

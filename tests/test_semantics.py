@@ -171,6 +171,21 @@ def test_anchored_paths_equal_full(spark):
     assert some.filter("error is not null").count() == 1 and some.filter("kind = 'indirect'").count() >= 2
 
 
+def test_lookup_keeps_sources_apart(spark):
+    low = {"orders": "id acct_code", "customers": "acct_id"}
+    shop = {t: c for t, c in ECOMMERCE.items() if t in ("orders", "customers")}
+    cols = columns_of(spark, ("shop", shop), ("old", low))
+    tables = cols.select("source_id", "table_name").distinct()
+    paths = joinpaths.discover(cols).unionByName(joinpaths.discover(cols, cross=True))
+    wanted = spark.createDataFrame([("customers", "orders", None), ("orders", "customers", "old"), ("orders", "customers", "new")], "table_a string, table_b string, source_id string")
+    rows = joinpaths.lookup(paths, wanted, tables).collect()
+    any_source = {(r["source_id"], r["confidence"], r["warning"] is not None) for r in rows if r["table_a"] == "customers"}
+    assert {("shop", 0.85, False), ("old", 0.5, True)} <= any_source
+    assert not any(r["source_id"] == "__cross__" and r["join_condition"] == "customers.customer_id = orders.customer_id" for r in rows)
+    assert {r["source_id"] for r in rows if r["table_a"] == "orders" and not r["error"]} <= {"old", "__cross__"}
+    assert len([r for r in rows if r["error"]]) >= 1
+
+
 def test_declared_keys_win(spark):
     cols = columns_of(spark, ("e", ECOMMERCE))
     keys = spark.createDataFrame([("e", "orders", "customer_id", "customers.customer_id")], "source_id string, table_name string, column_name string, references string")

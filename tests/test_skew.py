@@ -121,3 +121,28 @@ def test_string_order_with_nulls_and_ties(spark):
 def test_top_of_many_per_group(spark):
     df = spark.range(5000).select("id", (F.col("id") % 2).alias("k"))
     assert sqlrun.top_per_group(df, ["k"], [F.desc("id")], 1500).agg(F.count("*"), F.min("id")).first()[:] == (3000, 2000)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_trailing_sum_of_a_hot_key(spark, kind):
+    """One key with most rows inside one frame, repeated times, no times and no values."""
+    rng = np.random.default_rng(8)
+    n, day = 600, 86_400
+    secs = np.where(rng.random(n) < 0.7, rng.integers(0, 40, n) * (day // 8), rng.integers(0, 60 * day, n))
+    data = [
+        (i, None if i % 50 == 7 else int(rng.integers(0, 2) * (i % 3)), None if i % 40 == 3 else int(t), None if rng.random() < 0.4 or t > 50 * day else int(rng.integers(0, 100)))
+        for i, t in enumerate(secs)
+    ]
+    df = spark.createDataFrame(data, "id bigint, k bigint, s bigint, v bigint").withColumns({"v": F.col("v").cast(kind), "ts": F.timestamp_seconds("s")})
+    got = {r["id"]: r["w"] for r in segments.trailing_sum(df, ["k"], "ts", "v", 3, "w").collect()}
+    assert len(got) == n
+    for i, k, s, v in data:
+        frame = [x[3] for x in data if x[1] == k and (x[2] is None if s is None else x[2] is not None and s - 3 * day <= x[2] <= s) and x[3] is not None]
+        assert got[i] == (sum(frame) if frame else None)
+
+
+def test_trailing_sum_beside_a_large_total(spark):
+    rows = [(i, i * 86_400, 1e15 if i < 4 else 0.125) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, s bigint, v double").withColumns({"ts": F.timestamp_seconds("s"), "k": F.lit(1)})
+    got = segments.trailing_sum(df, ["k"], "ts", "v", 2, "w").filter("id >= 32").collect()
+    assert {r["w"] for r in got} == {0.375}
