@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakescope.sources import records
+
 DELIMITERS = [",", "\t", ";", "|"]
 SNIFF_LINES = 50
 TYPED = re.compile(r"^[-+]?\d+(\.\d+)?([eE][-+]?\d+)?$|^\d{4}-\d{2}-\d{2}|^(true|false)$", re.IGNORECASE)
@@ -87,15 +89,35 @@ def read_csv(
     ``delimiter`` and ``header`` are read off the first records where they are not given;
     if those leave a doubt, an error asks for them. Without a schema the types are inferred
     from ``sampling`` of the rows, then the read uses them explicitly; give a schema or a
-    small ratio at scale. Line breaks inside quotes are accepted, at the price of one task
-    per file; ``multi_line=False`` splits files without such breaks.
+    small ratio at scale. Files are read in splits by many tasks; line breaks inside quotes are
+    accepted (``records``). ``multi_line=False`` leaves out the step that looks for them.
     """
     if delimiter is None or header is None:
         delimiter, header = _decide(spark, path, delimiter, header)
-    reader = spark.read.options(sep=delimiter, header=header, quote='"', escape='"', multiLine=multi_line)
+
+    def reader(**options):
+        return spark.read.options(sep=delimiter, quote='"', escape='"', **options)
+
+    if not multi_line:
+        if schema is None:
+            schema = reader(header=header, inferSchema=True, samplingRatio=sampling).csv(path).schema
+        return reader(header=header).schema(schema).csv(path)
+    found = records.records(spark, path, delimiter)
+    body = found.filter("NOT first") if header else found
     if schema is None:
-        schema = reader.options(inferSchema=True, samplingRatio=sampling).csv(path).schema
-    return reader.schema(schema).csv(path)
+        # every file begins with a header if one does; its names are those Spark gives
+        heads = found.filter("first").limit(1) if header else None
+        typed = records.parse(reader(inferSchema=True, samplingRatio=sampling), body).schema
+        if header:
+            row = heads.first()
+            names = records.parse(reader(header=True), spark.createDataFrame([(row["record"],)], "record string")).columns if row else []
+            body_fields = {f.name: f.dataType for f in typed}
+            schema = T.StructType([T.StructField(n, body_fields.get(f"_c{i}", T.StringType())) for i, n in enumerate(names)])
+        else:
+            schema = typed
+    if not schema:
+        return spark.createDataFrame([], T.StructType([]))
+    return records.parse(reader().schema(schema), body)
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[str]:
