@@ -62,7 +62,10 @@ U = np.uint64
 
 def shingle_sets(texts: pa.Array, k: int = RULE.k) -> Iterator[np.ndarray]:
     """The sorted set of each text."""
-    words = Words(texts, NONSPACE)
+    yield from sets_of(Words(texts, NONSPACE), k)
+
+
+def sets_of(words: Words, k: int) -> Iterator[np.ndarray]:
     for a, b in zip(words.bounds.tolist(), words.bounds[1:].tolist(), strict=False):
         s = np.sort(grams(words.hashes[a:b], min(k, b - a) or 1))
         yield s[np.flatnonzero(np.diff(s, prepend=~s[:1]))] if len(s) > 1 else s
@@ -75,25 +78,29 @@ def identity(docs: DataFrame, doc_id: str, text: str) -> Column:
 
 
 def _summaries(k: int):
-    """Size and digest of each set, then this task's counts of shingles in blocks."""
+    """Words, size and digest of each set beside its row, then this task's counts of shingles in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        names = ["id", "doc_id", "n", "same", "block", "counts"]
+        names = ["row", "n_words", "n", "same", "block", "counts"]
+        kind = None
         for batch in batches:
+            kind = batch.column("row").type
             for piece in pieces(batch, "text"):
-                size, same = [], []
-                for s in shingle_sets(piece.column("text"), k):
+                size, same, words = [], [], Words(piece.column("text"), NONSPACE)
+                for s in sets_of(words, k):
                     size.append(len(s))
                     same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     np.add.at(counts, (s >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
                 none = pa.nulls(piece.num_rows)
-                columns = [piece.column("id"), piece.column("doc_id"), pa.array(size, pa.int64()), pa.array(same, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
+                columns = [piece.column("row"), pa.array(words.counts, pa.int64()), pa.array(size, pa.int64()), pa.array(same, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        if kind is None:
+            return
         blocks = counts.reshape(-1, SKETCH_BLOCK)
         used = np.flatnonzero(blocks.any(axis=1))
         none = pa.nulls(len(used))
-        columns = [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(used, pa.int32())]
+        columns = [pa.nulls(len(used), kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(used, pa.int32())]
         yield pa.RecordBatch.from_arrays([*columns, pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=names)
 
     return run
@@ -239,12 +246,15 @@ def _across(regions: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select(F.least("l_id", "id").alias("pivot"), F.greatest("l_id", "id").alias("id")).distinct()
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
-    """One row per row: id, doc_id, n_shingles, ``first`` (smallest id of its component), component_id (smallest doc_id)."""
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = RULE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row: id, doc_id, n_shingles, n_words, ``first`` (smallest id of its component), component_id (smallest doc_id), and the columns to ``keep``."""
     spark = docs.sparkSession
-    rows = docs.select(identity(docs, doc_id, text).alias("id"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    summaries = cut_lineage(rows.mapInArrow(_summaries(rule.k), "id bigint, doc_id bigint, n bigint, same binary, block int, counts binary"))
-    known = summaries.filter("block IS NULL").select("id", "doc_id", "n", "same")
+    row = F.struct(identity(docs, doc_id, text).alias("id"), F.col(doc_id).cast("bigint").alias("doc_id"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    rows = docs.select(row.alias("row"), F.col(text).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    rows = rows.select("row", "text", "row.id")
+    summaries = cut_lineage(rows.select("row", "text").mapInArrow(_summaries(rule.k), f"row {kind}, n_words bigint, n bigint, same binary, block int, counts binary"))
+    known = summaries.filter("block IS NULL").select("row.*", "n_words", "n", "same")
     table = spark.sparkContext.broadcast(_sketch(summaries))
 
     classes = known.filter("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("class"), F.min("doc_id").alias("least"))
@@ -254,7 +264,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     prefixes = cut_lineage(rows.select("id", "text").mapInArrow(_prefixes(table, rule), "id bigint, prefix array<bigint>").filter("prefix IS NOT NULL"))
     held = prefixes.select("id", F.posexplode("prefix").alias("at", "shingle"))
-    cells = held.groupBy("shingle").agg(F.min(F.struct("at", "id")).alias("p"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    # shingles are counted alone; only rows of those that several prefixes hold go further
+    bare = prefixes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("many"))
+    held = cut_lineage(held.join(cut_lineage(bare.filter("many > 1").select("shingle")), "shingle"))
+    cells = held.groupBy("shingle").agg(F.min(F.struct("at", "id")).alias("p"), F.count(F.lit(1)).alias("many"))
     # written, so that the join below may split a shingle that very many documents hold
     cells = cut_lineage(cells.select("shingle", F.col("p.id").alias("pivot"), F.col("p.at").alias("place"), "many"))
     cells = cells.join(sizes.select(F.col("id").alias("pivot"), F.col("n").alias("m")), "pivot")
@@ -275,7 +288,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     least = classes.join(found.withColumnRenamed("node", "class"), "class", "left").groupBy(F.coalesce("component", "class").alias("first")).agg(F.min("least").alias("component_id"))
     out = known_as.join(least, "first", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("id", "doc_id", F.col("n").alias("n_shingles"), "first", component.alias("component_id"))
+    return out.select("id", "doc_id", F.col("n").alias("n_shingles"), "n_words", "first", component.alias("component_id"), *[F.col(f"kept_{c}").alias(c) for c in keep])
 
 
 def _open_regions(reached: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:

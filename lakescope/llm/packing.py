@@ -12,7 +12,9 @@ the corpus, and each source and cluster is spread over all shards.
 
 Defined cases: a null or empty text is one part of no words and is placed like any other;
 a null source or cluster conflicts with nothing; rows that repeat are placed each (they
-share a cluster, so never in one bin); ties in length go by id, then part.
+share a cluster, so never in one bin); ties in length go by id, then part. Rows are told
+apart by id and ``tie``, a hash of the text, so ids that repeat or are null do no harm; rows
+that agree in both are parts of the same text as often as there are rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from lakescope.session import cut_lineage
 
 CAPACITY = 2048
 SHARD_PARTS = 8_000
-PLACED = "doc_id bigint, part int, first bigint, n_words int, bin_id bigint, offset int"
+PLACED = "doc_id bigint, tie bigint, part int, first bigint, n_words int, bin_id bigint, offset int"
 
 
 class Bins:
@@ -76,14 +78,14 @@ class Bins:
 
 def _pack(capacity: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_words", "doc_id", "part", "first"], ascending=[False, True, True, True], na_position="last")
+        rows = rows.sort_values(["n_words", "doc_id", "part", "tie"], ascending=[False, True, True, True], na_position="last")
         sources = {s: 1 << i for i, s in enumerate(sorted(rows["source"].dropna().unique()))}
         counts = rows["cluster"].value_counts()
         shared = {c: 1 << i for i, c in enumerate(sorted(counts.index[counts > 1]))}  # a cluster with one part here conflicts with nothing
         bins, placed = Bins(capacity), []
         for size, source, cluster in zip(rows["n_words"].tolist(), rows["source"], rows["cluster"], strict=True):
             placed.append(bins.place(int(size), sources.get(source, 0), shared.get(cluster, 0)))
-        out = rows[["doc_id", "part", "first", "n_words"]].copy()
+        out = rows[["doc_id", "tie", "part", "first", "n_words"]].copy()
         out["doc_id"] = out["doc_id"].astype("Int64")
         out["bin_id"] = [(int(key[0]) << 32) + b for b, _ in placed]
         out["offset"] = [o for _, o in placed]
@@ -97,40 +99,46 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batch, "text"):
             words = Words(piece.column("text"), NONSPACE)
             digests = [hashlib.blake2b(words.hashes[a:b].tobytes(), digest_size=16).hexdigest() if b > a else None for a, b in zip(words.bounds, words.bounds[1:], strict=False)]
-            columns = [*(piece.column(c) for c in ("doc_id", "source")), pa.array(words.counts, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "n_words", "same"])
+            columns = [*(piece.column(c) for c in ("doc_id", "tie", "source")), pa.array(words.counts, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "source", "n_words", "same"])
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("tie"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
 
 
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, number of words, and ``same``: a key of the sequence of words."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    return rows.mapInArrow(_measure, "doc_id bigint, source string, n_words bigint, same string")
+    """doc_id, tie, source, number of words, and ``same``: a key of the sequence of words."""
+    return _rows(docs, doc_id, text, source).mapInArrow(_measure, "doc_id bigint, tie bigint, source string, n_words bigint, same string")
 
 
 def near_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rule: jaccard_join.Rule = jaccard_join.NEAR) -> DataFrame:
-    """``measure`` with ``cluster``: the component of near copies, null for texts without words."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    groups = jaccard_join.similar_documents(rows, rule=rule).filter("n_shingles > 0").select("id", F.col("first").cast("string").alias("cluster")).distinct()
-    known = rows.withColumn("doc_id", F.struct("doc_id", jaccard_join.identity(rows, "doc_id", "text").alias("id")))
-    return known.mapInArrow(_measure, "doc_id struct<doc_id: bigint, id: bigint>, source string, n_words bigint, same string").select("doc_id.*", "source", "n_words", "same").join(groups, "id", "left").drop("id")
+    """doc_id, tie, source, n_words and ``cluster``: the component of near copies, null for texts without words."""
+    found = jaccard_join.similar_documents(_rows(docs, doc_id, text, source), rule=rule, keep=("tie", "source"))
+    return found.select("doc_id", "tie", "source", "n_words", F.when(F.col("n_shingles") > 0, F.col("first").cast("string")).alias("cluster"))
 
 
 def pack(measured: DataFrame, cluster: str = "same", capacity: int = CAPACITY) -> DataFrame:
-    """One row per part: doc_id, part, first word, words, bin and place in it."""
+    """One row per part: doc_id, tie, part, first word, words, bin and place in it."""
     last = F.greatest(F.lit(0), F.ceil(F.col("n_words") / capacity).cast("int") - 1)
-    parts = measured.select("doc_id", "source", F.col(cluster).alias("cluster"), "n_words", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    parts = measured.select("doc_id", "tie", "source", F.col(cluster).alias("cluster"), "n_words", F.explode(F.sequence(F.lit(0), last)).alias("part"))
     first = F.col("part").cast("bigint") * capacity
-    parts = cut_lineage(parts.select("doc_id", "source", "cluster", "part", first.alias("first"), F.least(F.lit(capacity), F.col("n_words") - first).cast("int").alias("n_words")))
+    parts = cut_lineage(parts.select("doc_id", "tie", "source", "cluster", "part", first.alias("first"), F.least(F.lit(capacity), F.col("n_words") - first).cast("int").alias("n_words")))
     shards = max(1, -(-parts.count() // SHARD_PARTS))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", "cluster"), F.lit(shards)))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie", "part"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_pack(capacity), PLACED)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The placed parts with their texts; a document's parts joined in order are its text."""
-    where = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "first", "n_words", "bin_id", "offset"))).alias("parts"))
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.join(where, F.col("id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", "parts")
+    where = placed.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_list(F.struct("part", "first", "n_words", "bin_id", "offset"))).alias("parts"))
+    where = where.withColumnRenamed("tie", "at")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(whole).alias("tie"), whole.alias("text"))
+    if docs.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(doc_id).alias("ids")).filter("rows <> ids").count():
+        rows = rows.dropDuplicates(["id", "tie"])  # rows that repeat have their parts as often
+    rows = rows.join(where, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("tie") == F.col("at"))).select("doc_id", "tie", "text", "parts")
     return rows.mapInArrow(_cut(capacity), f"{PLACED}, text string")
 
 
@@ -152,8 +160,8 @@ def _cut(capacity: int):
                 columns = list(zip(*places, strict=True)) if places else [[]] * 5
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id").take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], pa.array(texts, pa.string())],
-                    names=["doc_id", *names, "text"],
+                    [*[piece.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "tie")], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], pa.array(texts, pa.string())],
+                    names=["doc_id", "tie", *names, "text"],
                 )
 
     return run

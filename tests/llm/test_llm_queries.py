@@ -34,6 +34,8 @@ OPERATORS = {
     "jaccard": jaccard_join.similar_documents,
     "tokens": lambda d: token_counts.token_counts(d, TOKENIZER, PATTERN),
     "packing": lambda d: packing.pack(packing.measure(d)),
+    "near packing": lambda d: packing.pack(packing.near_clusters(d), "cluster"),
+    "sequences": lambda d: packing.sequences(d, packing.pack(packing.measure(d))),
     "quality": quality.features,
     "urls": lambda d: urls.judge(d, url="text"),
     "secrets": lambda d: secrets.findings(d, path="doc_id"),

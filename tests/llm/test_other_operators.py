@@ -96,28 +96,11 @@ def test_boundary_rules():
 
 
 # --- packing -----------------------------------------------------------------
-def plain_pack(items, capacity):
-    """Best fit by scanning all bins: the fullest bin that takes the part, the latest changed of equals."""
-    bins, out, clock = [], [], 0
-    for size, source, cluster in items:
-        fits = [b for b in bins if b["used"] + size <= capacity and not (source and source in b["sources"]) and not (cluster and cluster in b["clusters"])]
-        best = max(fits, key=lambda b: b["used"], default=None)
-        if best is None:
-            best = {"used": 0, "sources": set(), "clusters": set()}
-            bins.append(best)
-        best["used"] += size
-        best["sources"].add(source)
-        best["clusters"].add(cluster)
-        clock += 1
-        out.append(capacity - best["used"])
-    return len(bins), out
-
-
 def test_best_fit_against_a_scan():
     rng = random.Random(4)
     for _ in range(30):
         items = sorted(((rng.randrange(0, 50), rng.choice((0, 1, 2, 4)), rng.choice((0, 0, 1, 2))) for _ in range(60)), reverse=True)
-        bins, left = packing.Bins(100), []
+        bins, left, placed_in, placed_at = packing.Bins(100), [], [], []
         sources, clusters = {}, {}
         for size, source, cluster in items:
             b, at = bins.place(size, source, cluster)
@@ -125,10 +108,20 @@ def test_best_fit_against_a_scan():
             sources[b], clusters[b] = sources.get(b, 0) | source, clusters.get(b, 0) | cluster
             assert at + size == bins.used[b] <= 100
             left.append(100 - bins.used[b])
+            placed_in.append(b)
         assert len(bins.used) >= -(-sum(i[0] for i in items) // 100)
-        # the residual after the first conflict-free choice is that of the tightest bin
-        n, want = plain_pack(items[:1], 100)
-        assert left[:1] == want and n == 1
+        # each item went to a bin as tight as the tightest compatible one of the bins as they were
+        held = []
+        for (size, source, cluster), after in zip(items, left, strict=True):
+            fits = [i for i, (used, ss, cs) in enumerate(held) if used + size <= 100 and not ss & source and not cs & cluster]
+            best = min((100 - held[i][0] - size for i in fits), default=100 - size)
+            assert after == best
+            chosen = placed_in[len(placed_at)]
+            placed_at.append(chosen)
+            if chosen == len(held):
+                assert not fits
+                held.append([0, 0, 0])
+            held[chosen] = [held[chosen][0] + size, held[chosen][1] | source, held[chosen][2] | cluster]
 
 
 def test_pack_places_everything_once(spark):
@@ -171,6 +164,19 @@ def test_sequences_round_trip(spark):
         assert "".join(t for _, t in parts) == (text or "")
 
 
+def test_sequences_of_repeated_ids(spark):
+    rows = [(1, "a b c d e"), (1, "f"), (None, "g h i j"), (None, "k"), (2, "l m n o"), (2, "l m n o"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("source", F.lit(None).cast("string"))
+    for measured, cluster in ((packing.measure(docs), "same"), (packing.near_clusters(docs), "cluster")):
+        out = packing.sequences(docs, packing.pack(measured, cluster, capacity=3), capacity=3).collect()
+        found = {}
+        for r in out:
+            found.setdefault((r["doc_id"], r["tie"], r["part"]), []).append(r["text"])
+        whole = sorted(str((k[0], "".join(found[k[0], k[1], p][0] for p in range(9) if (k[0], k[1], p) in found), len(found[k]))) for k in found if k[2] == 0)
+        assert whole == sorted(str((i, t or "", rows.count((i, t)))) for i, t in set(rows))
+        assert len({(r["bin_id"], r["offset"]) for r in out if r["n_words"]}) == sum(r["n_words"] > 0 for r in out)
+
+
 # --- quality -----------------------------------------------------------------
 def test_quality_separates_and_holds_out(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
