@@ -40,6 +40,36 @@ def test_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == len(out)
 
 
+ODD = [(None, None), (None, ""), (7, "row one of an id that repeats"), (7, "another row of an id that repeats"), (None, "no id but a text of its own"), (900_003, "x" * 300_000), (900_004, "twice the same row"), (900_004, "twice the same row")]
+
+
+def test_odd_rows_and_clashing_columns(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = {"row": F.lit(7), "id": F.lit("i"), "digest": F.lit("d"), "tie": F.lit(1.5), "part": F.lit("p"), "component": F.lit(0), "n_words": F.lit("n")}
+    odd = spark.createDataFrame([(i, t, "en", "s", None) for i, t in ODD], docs.schema)
+    docs.unionByName(odd).withColumns(names).write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = kept.columns
+        kept = cut_lineage(stage(spark, kept, str(tmp_path)))
+        assert kept.columns == columns, name
+    assert kept.filter("row <> 7 OR id <> 'i' OR part <> 'p'").count() == 0
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    whole = {}
+    for r in sorted(out, key=lambda r: r["part"]):
+        whole.setdefault((r["doc_id"], r["tie"]), []).append(r["text"])
+    assert sorted(str((i, "".join(ts))) for (i, _), ts in whole.items()) == sorted(str((r["doc_id"], r["text"] or "")) for r in kept.collect())
+
+
+def test_no_documents(spark, sf, tmp_path):
+    for t in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{sf}/{t}.parquet")
+        (rows.limit(0) if t == "documents" else rows).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_near_copies_by_five_words_and_four_fifths(spark, sf):
     base = [f"w{i}" for i in range(100)]
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
