@@ -98,8 +98,11 @@ def list_tables(tables: DataFrame, source_id: str | None = None) -> DataFrame:
     return tables if source_id is None else tables.filter(F.col("source_id") == source_id)
 
 
-def overview(tables: DataFrame, indexed: DataFrame | None = None) -> DataFrame:
-    """Totals per source: tables, rows, columns, tables per status, indexed tables."""
+def overview(tables: DataFrame, indexed: DataFrame | None = None, totals: bool = False) -> DataFrame:
+    """Totals per source: tables, rows, columns, tables per status, indexed tables.
+
+    ``totals`` adds a row over all sources, without a source and with their number.
+    """
     rows = tables
     if indexed is None:
         rows = rows.withColumn("_indexed", F.lit(0))
@@ -107,7 +110,9 @@ def overview(tables: DataFrame, indexed: DataFrame | None = None) -> DataFrame:
         mark = indexed.select("source_id", "table_name").distinct().withColumn("_hit", F.lit(1))
         rows = rows.join(mark, ["source_id", "table_name"], "left").withColumn("_indexed", F.coalesce("_hit", F.lit(0)))
     status = F.col("semantic_status")
-    return rows.groupBy("source_id").agg(
+    grouped = rows.rollup("source_id") if totals else rows.groupBy("source_id")
+    return grouped.agg(
+        *([F.when(F.grouping("source_id") == 1, F.count_distinct("source_id")).alias("source_count")] if totals else []),
         F.count(F.lit(1)).alias("table_count"),
         F.sum("row_count").alias("row_count"),
         F.sum("column_count").alias("column_count"),
@@ -118,14 +123,22 @@ def overview(tables: DataFrame, indexed: DataFrame | None = None) -> DataFrame:
     )
 
 
-def describe(columns: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """Column metadata joined with stored statistics."""
-    if profile is None:
-        return columns
-    stats = profile.select(
-        "table_name", "column_name", "distinct_count", "null_rate", "min_value", "max_value"
-    )
-    return columns.join(stats, ["table_name", "column_name"], "left")
+def describe(columns: DataFrame, profile: DataFrame | None = None, sample: DataFrame | None = None) -> DataFrame:
+    """Column metadata joined with stored statistics and with a few rows of the table.
+
+    ``sample``: the rows to show, such as ``sqlrun.sample_rows`` gives them, with ``place`` for
+    their order; each column gets its values of these rows as ``sample_row_values`` (null: no value).
+    """
+    out = columns
+    if profile is not None:
+        stats = profile.select("table_name", "column_name", "distinct_count", "null_rate", "min_value", "max_value")
+        out = out.join(stats, ["table_name", "column_name"], "left")
+    if sample is not None:
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in sample.columns if c != "place"])
+        long = sample.select("place", F.inline(cells))
+        shown = long.groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("sample_row_values"))
+        out = out.join(shown, "column_name", "left")
+    return out
 
 
 def strip_secrets(config_json: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakescope.operators import sqllog
+from lakescope.operators.segments import with_segment
 from lakescope.session import conf_set, cut_lineage
 
 DEFAULT_ROWS = 1000
@@ -125,19 +126,31 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def range_join(
-    points: DataFrame, intervals: DataFrame, value: str, low: str, high: str, width: float, salt: int = 8
-) -> DataFrame:
-    """Rows with ``low <= value <= high`` by an equi-join on bins of ``width``.
+def range_join(points: DataFrame, intervals: DataFrame, value: str, low: str, high: str) -> DataFrame:
+    """Rows with ``low <= value <= high``, by an equi-join on ranges of the points.
 
-    An interval is copied to each bin it touches; a point lies in one bin. Points
-    are salted, so that a bin with very many of them is shared by ``salt`` tasks.
+    The points are cut into ranges of about equal numbers; neighbouring ranges pair up to the
+    next level, up to one range of all. An interval goes to the lowest level at which it touches
+    two ranges at most, so it makes two rows however long it is; a point goes to the levels
+    that some interval uses. Points with one value are spread over several ranges if there are
+    very many, and the join may split a range that holds most of the points.
     """
-    p = points.withColumns(
-        {"_bin": F.floor(F.col(value) / width), "_salt": F.pmod(F.xxhash64(*points.columns), F.lit(salt)).cast("int")}
-    )
-    bins = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-    i = intervals.filter(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(bins))
-    i = i.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    joined = p.join(i, ["_bin", "_salt"]).filter((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high)))
-    return joined.drop("_bin", "_salt")
+    known = points.filter(F.col(value).isNotNull()).withColumn("_tie", F.xxhash64(*points.columns))
+    seg = with_segment(known, value, ["_tie"]).drop("_tie")
+    ends = sorted((r["_seg"], r["lo"], r["hi"]) for r in seg.groupBy("_seg").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).collect())  # one row per range
+    kind = seg.schema[value].dataType
+    if not ends:
+        return points.join(intervals, F.lit(False))
+    top = max(1, (ends[-1][0]).bit_length())
+    lows, highs = (F.array(*[F.struct(F.lit(e[0]).alias("s"), F.lit(e[i]).cast(kind).alias("v")) for e in ends]) for i in (1, 2))
+    first = F.array_min(F.transform(F.filter(highs, lambda e: e["v"] >= F.col(low)), lambda e: e["s"]))
+    last = F.array_max(F.transform(F.filter(lows, lambda e: e["v"] <= F.col(high)), lambda e: e["s"]))
+    touched = intervals.filter(F.col(low) <= F.col(high)).withColumns({"_first": first, "_last": last}).filter("_first <= _last")
+    level = F.expr(f"array_min(filter(sequence(0, {top}), n -> shiftright(_last, n) - shiftright(_first, n) <= 1))")
+    nodes = F.expr("sequence(shiftright(_first, _level), shiftright(_last, _level))")
+    placed = touched.withColumn("_level", level).withColumn("_node", F.explode(nodes))
+    placed = cut_lineage(placed.drop("_first", "_last"))
+    used = sorted(r[0] for r in placed.select("_level").distinct().collect())  # at most one per level
+    dealt = seg.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in used]).cast("array<int>"))).withColumn("_node", F.expr("shiftright(_seg, _level)")).drop("_seg")
+    joined = dealt.join(placed, ["_level", "_node"]).filter((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high)))
+    return joined.drop("_level", "_node")

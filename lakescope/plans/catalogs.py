@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from lakescope.operators import catalog, profile
+from lakescope.operators import catalog, profile, sqlrun
 from lakescope.plans.lake import ENTITY_LAKE_SQL, ORDER_LAKE_SQL, entity_lake, order_lake
 from lakescope.plans.registry import TABLES, query, table
+from lakescope.session import cut_lineage
 
 
 def _frames(spark, sf_dir, names=TABLES):
@@ -88,20 +89,23 @@ def column_sample_values(spark, sf_dir):
     f"""WITH s AS ({_samples_sql(("customer",))}), p AS (
       {" UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, avg(CAST({c} IS NULL AS INT)) AS null_rate, "
-        f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, count(*) AS row_count FROM customer"
+        f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, count(*) AS row_count, "
+        f"(SELECT string_agg(CAST({c} AS VARCHAR), '|' ORDER BY c_custkey) FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 5)) AS sample_row_values FROM customer"
         for c in _COLS["customer"])})
     SELECT 'customer' AS table_name, c.ordinal_position - 1 AS ordinal, column_name, {_DTYPE} AS dtype, row_count, sample_values,
-      distinct_count, null_rate, min_value, max_value
+      distinct_count, null_rate, min_value, max_value, sample_row_values
     FROM information_schema.columns c JOIN p USING (column_name) JOIN s USING (column_name) WHERE c.table_name = 'customer'""",
 )
 def describe_table(spark, sf_dir):
     frames = _frames(spark, sf_dir, ("customer",))
     cols = catalog.collect_schema(spark, "sf", frames)
     stats = profile.profile_table(frames["customer"], exact=True).withColumn("table_name", F.lit("customer"))
-    out = catalog.describe(cols, stats)
+    first = sqlrun.sample_rows(frames["customer"], ["c_custkey"], 5).withColumn("place", F.col("c_custkey"))
+    out = catalog.describe(cols, stats, first)
     return out.select(
         "table_name", "ordinal", "column_name", "dtype", "row_count",
         F.array_join("sample_values", "|").alias("sample_values"), "distinct_count", "null_rate", "min_value", "max_value",
+        F.array_join("sample_row_values", "|").alias("sample_row_values"),
     )
 
 
@@ -115,24 +119,28 @@ def list_tables(spark, sf_dir):
 @query(
     "catalog_overview",
     f"""WITH {ORDER_LAKE_SQL}, t AS (
-      SELECT source_id, table_name, count(*) AS column_count, count(comment) AS comments, any_value(table_pos) AS pos
+      SELECT source_id, table_name, count(*) AS column_count, count(comment) AS comments,
+             (SELECT count(*) FROM lineitem WHERE l_orderkey = any_value(table_pos)) AS n_rows
       FROM olake GROUP BY ALL)
-    SELECT source_id, count(*) AS table_count, CAST(sum(pos) AS BIGINT) AS row_count, CAST(sum(column_count) AS BIGINT) AS column_count,
+    SELECT source_id, CASE WHEN grouping(source_id) = 1 THEN count(DISTINCT source_id) END AS source_count, count(*) AS table_count, CAST(sum(n_rows) AS BIGINT) AS row_count, CAST(sum(column_count) AS BIGINT) AS column_count,
       count(*) FILTER (WHERE comments = 0) AS not_initialized, count(*) FILTER (WHERE comments > 0) AS inferred, 0 AS confirmed,
       CAST(sum(CASE WHEN column_count > 5 THEN 1 ELSE 0 END) AS BIGINT) AS indexed_tables
-    FROM t GROUP BY 1""",
+    FROM t GROUP BY ROLLUP (source_id)""",
 )
 def catalog_overview(spark, sf_dir):
+    """Every source and all together; a table's rows are its order's line items."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("table_pos")).agg(F.count(F.lit(1)).alias("row_count"))
     tables = (
         order_lake(spark, sf_dir)
         .groupBy("source_id", "table_name")
         .agg(
             F.count(F.lit(1)).alias("column_count"),
-            F.first("table_pos").alias("row_count"),
+            F.first("table_pos").alias("table_pos"),
             F.when(F.count("comment") > 0, "inferred").otherwise("not_initialized").alias("semantic_status"),
         )
     )
-    return catalog.overview(tables, tables.filter("column_count > 5"))
+    tables = cut_lineage(tables.join(lines, "table_pos", "left").withColumn("row_count", F.coalesce("row_count", F.lit(0))))
+    return catalog.overview(tables, tables.filter("column_count > 5"), totals=True)
 
 
 @query(

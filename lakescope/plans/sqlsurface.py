@@ -103,7 +103,7 @@ def join_theta(spark, sf_dir):
         "s_suppkey", (F.col("s_acctbal") - 20).alias("lo"), (F.col("s_acctbal") + 20).alias("hi")
     )
     points = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    return sqlrun.range_join(points, bands, "c_acctbal", "lo", "hi", 40.0).select("s_suppkey", "c_custkey", "c_acctbal")
+    return sqlrun.range_join(points, bands, "c_acctbal", "lo", "hi").select("s_suppkey", "c_custkey", "c_acctbal")
 
 
 _same(

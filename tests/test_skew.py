@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakescope.operators import pairs, segments, similarity, sqlrun
+from lakescope.session import conf_set
 
 
 @pytest.fixture(scope="module")
@@ -92,11 +93,16 @@ def test_similar_pairs(spark, block):
 
 
 def test_range_join(spark, rows):
-    spans = spark.createDataFrame([(0, 5.0, 9.0), (1, 9.0, 40.0), (2, 50.0, 10.0)], "s int, lo double, hi double")
-    got = sqlrun.range_join(frame(spark, rows).select("id", "t"), spans, "t", "lo", "hi", 4.0)
-    got = sorted((r["s"], r["id"]) for r in got.collect())
-    want = sorted((s, i) for s, lo, hi in ((0, 5, 9), (1, 9, 40)) for i, t in zip(rows["id"], rows["t"]) if lo <= t <= hi)
-    assert got == want
+    ends = [(0, 5.0, 9.0), (1, 9.0, 40.0), (2, 50.0, 10.0), (3, -1e9, 1e9), (4, 59.0, 1e9), (5, -5.0, -1.0), (6, 17.0, 17.0), (7, 17.5, 17.6)]
+    spans = spark.createDataFrame([*ends, (8, None, 3.0), (9, 1.0, None)], "s int, lo double, hi double")
+    points = frame(spark, rows).select("id", "t")
+    extra = spark.createDataFrame([(1000 + i, None if i % 9 == 0 else 17) for i in range(300)], "id bigint, t bigint")  # one value holds most rows
+    with conf_set(spark, spark__sql__shuffle__partitions="13"):
+        got = sqlrun.range_join(points.unionByName(extra), spans, "t", "lo", "hi")
+        got = sorted((r["s"], r["id"]) for r in got.collect())
+        assert sqlrun.range_join(points.limit(0), spans, "t", "lo", "hi").count() == 0
+    known = [*zip(rows["id"], rows["t"]), *[(1000 + i, 17) for i in range(300) if i % 9]]
+    assert got == sorted((s, i) for s, lo, hi in ends for i, t in known if lo <= t <= hi)
 
 
 def test_asof_matches_no_nulls(spark):
