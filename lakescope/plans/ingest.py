@@ -190,6 +190,40 @@ def sink_markdown(spark, sf_dir):
     return rows.select(render.markdown_row(rows).alias("markdown"))
 
 
+_DEAREST = "SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS status FROM orders ORDER BY o_totalprice DESC, o_orderkey"
+
+
+def _dearest(spark, sf_dir):
+    """What a user sees of a long result: its first 100 rows and how many there are."""
+    rows = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return sqlrun.bounded(rows.select("o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("status")), 100)
+
+
+@query(
+    "sink_json_document",
+    f"""WITH r AS ({_DEAREST} LIMIT 100), j AS (SELECT row_number() OVER () AS n, '{{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey
+      || ',"status":' || coalesce('"' || status || '"', 'null') || '}}' AS line FROM r)
+    SELECT '{{"columns":["o_orderkey","o_custkey","status"],"rows":[' || string_agg(line, ',' ORDER BY n) || '],"rowCount":'
+      || (SELECT count(*) FROM orders) || ',"truncated":' || CASE WHEN (SELECT count(*) FROM orders) > 100 THEN 'true' ELSE 'false' END || '}}' AS json FROM j""",
+)
+def sink_json_document(spark, sf_dir):
+    return sinks.json_document(_dearest(spark, sf_dir))
+
+
+@query(
+    "sink_markdown_table",
+    f"""WITH r AS ({_DEAREST} LIMIT 100), j AS (SELECT row_number() OVER () AS n, '| ' || o_orderkey || ' | ' || o_custkey || ' | ' || coalesce(status, '') || ' |' AS line FROM r)
+    SELECT '| o_orderkey | o_custkey | status |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY n)
+      || CASE WHEN (SELECT count(*) FROM orders) > 100 THEN chr(10) || chr(10) || '_Showing 100 of ' || (SELECT count(*) FROM orders) || ' rows_' ELSE '' END AS markdown FROM j""",
+)
+def sink_markdown_table(spark, sf_dir):
+    """Written as a file and read back."""
+    path = scratch_path(spark, "markdown")
+    shown = sinks.markdown_table(_dearest(spark, sf_dir))
+    spark.createDataFrame([(shown,)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\\n$", "").alias("markdown"))
+
+
 @query(
     "sanitize_name",
     """SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9_一-鿿]', '_', 'g') AS name FROM pages""",

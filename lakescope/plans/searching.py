@@ -271,27 +271,46 @@ def stale_embeddings(spark, sf_dir):
 
 @query(
     "semantic_export",
-    """WITH c AS (SELECT o_orderkey, list({'line': l_linenumber, 'qty': l_quantity} ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey) AS columns
+    """WITH c AS (SELECT o_orderkey, list({'line': l_linenumber, 'qty': l_quantity, 'sample': l_returnflag || '/' || l_linestatus}
+                        ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey) AS columns,
+                      string_agg(l_linenumber || '>part' || l_partkey || '.id', ',' ORDER BY CAST(l_linenumber AS VARCHAR), 'part' || l_partkey || '.id') AS keys
                  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
-    SELECT 'sales' AS source_id, 'order' || o.o_orderkey AS table_name, len(c.columns) AS column_count,
-      c.columns[1].line AS first_line, array_to_string(list_transform(c.columns, lambda x: CAST(x.qty AS VARCHAR)), '|') AS types FROM orders o LEFT JOIN c USING (o_orderkey)""",
+    SELECT 'sales' AS source_id, 'order' || o.o_orderkey AS table_name, coalesce(len(c.columns), 0) AS row_count,
+      CASE WHEN o_orderpriority = '1-URGENT' THEN 'confirmed' ELSE 'inferred' END AS semantic_status, len(c.columns) AS column_count,
+      c.columns[1].line AS first_line, array_to_string(list_transform(c.columns, lambda x: CAST(x.qty AS VARCHAR)), '|') AS types,
+      array_to_string(list_transform(c.columns, lambda x: x.sample), '|') AS samples, keys AS foreign_keys
+    FROM orders o LEFT JOIN c USING (o_orderkey)""",
 )
 def semantic_export(spark, sf_dir):
-    """Orders as tables, their line items as columns."""
-    name = F.concat(F.lit("order"), F.col("o_orderkey").cast("string")).alias("table_name")
-    tables = table(spark, sf_dir, "orders").select(F.lit("sales").alias("source_id"), name)
-    columns = table(spark, sf_dir, "lineitem").select(
+    """Orders as tables, their line items as columns with sample values, parts as declared keys."""
+    lines = table(spark, sf_dir, "lineitem")
+    at = [F.lit("sales").alias("source_id"), F.concat(F.lit("order"), F.col("l_orderkey").cast("string")).alias("table_name")]
+    counts = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("row_count"))
+    status = F.when(F.col("o_orderpriority") == "1-URGENT", "confirmed").otherwise("inferred").alias("semantic_status")
+    tables = table(spark, sf_dir, "orders").join(counts, "o_orderkey", "left").select(
         F.lit("sales").alias("source_id"),
-        F.concat(F.lit("order"), F.col("l_orderkey").cast("string")).alias("table_name"),
+        F.concat(F.lit("order"), F.col("o_orderkey").cast("string")).alias("table_name"),
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        status,
+    )
+    columns = lines.select(
+        *at,
         F.struct("l_linenumber", "l_quantity", "l_partkey", "l_suppkey").alias("ordinal"),
         F.col("l_linenumber").alias("column_name"),
         F.col("l_quantity").alias("dtype"),
+        F.array("l_returnflag", "l_linestatus").alias("sample_values"),
     )
-    out = semantic.export(columns, tables)
+    part = F.concat(F.lit("part"), F.col("l_partkey").cast("string"), F.lit(".id"))
+    keys = lines.select(*at, F.col("l_linenumber").cast("string").alias("column_name"), part.alias("references"))
+    out = semantic.export(columns, tables, keys)
     return out.select(
         "source_id",
         "table_name",
+        "row_count",
+        "semantic_status",
         F.when(F.col("columns").isNotNull(), F.size("columns")).alias("column_count"),
         F.col("columns")[0]["column_name"].alias("first_line"),
         F.array_join(F.transform("columns", lambda c: c["dtype"].cast("string")), "|").alias("types"),
+        F.array_join(F.transform("columns", lambda c: F.array_join(c["sample_values"], "/")), "|").alias("samples"),
+        F.array_join(F.transform("foreign_keys", lambda k: F.concat(k["column_name"], F.lit(">"), k["references"])), ",").alias("foreign_keys"),
     )
