@@ -4,22 +4,26 @@ A page is cut into blocks at block-level tags. Pass one decides each block by it
 blocks of many link characters are boilerplate; long blocks with enough stop words are
 text; long blocks with few are boilerplate. Short blocks stay undecided. Pass two gives an
 undecided block the label of its nearest decided neighbours, or text when they differ in
-favour of the nearer one. Marked-up boilerplate (menus, page headers, footers, sidebars,
+favour of the nearer one; where pass one finds no text, undecided blocks are text if one
+of them is punctuated like a sentence. Marked-up boilerplate (menus, page headers, footers, sidebars,
 forms, notices, adverts, reader comments, hidden parts) never becomes a block, and where
 a page marks its article, blocks outside it are boilerplate and blocks inside are
-boilerplate only for their links. A class or id marks boilerplate only as a whole name
+boilerplate only for their links, before its first and after its last other block. A form
+is boilerplate unless it holds most of the prose of the page or is all there is. A class or id marks boilerplate only as a whole name
 (``related-posts``, not ``has-sidebar`` or ``related-work``), and not where the element
 holds most of the prose of the page. Long blocks in other languages than those of the stop
 words are text if they are punctuated like sentences and hardly linked.
 
 Defined cases: null or empty html gives the empty text; broken markup is read as far as it
 goes, unclosed elements end with their parent; a page without any text block is empty.
+Time is linear in the length of the page, whatever is left open or closed too often.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import pandas as pd
@@ -27,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
+OPEN_COMMENT = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 PART = re.compile(r"[^a-z0-9]+")
 
@@ -38,7 +43,7 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "noframes", "title", "select", "button")
-DROPPED = frozenset("head nav footer aside form dialog menu".split())
+DROPPED = frozenset("head nav footer aside dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
@@ -77,6 +82,7 @@ class Block:
     article: bool
     named: int = 0  # the outermost element whose name says boilerplate, 0 if none
     firm: bool = False
+    form: bool = False  # the named element is a form
 
 
 def _named(given: dict[str, str], kinds: frozenset[str]) -> set[str]:
@@ -96,8 +102,9 @@ def _flags(tag: str, attributes: str, dropped: bool, article: bool) -> tuple[boo
         return True, article, set()
     if tag in DROPPED or (tag == "header" and not here):
         return True, article, set()
+    form = {"form"} if tag == "form" else set()
     if not attributes or not attributes.strip():
-        return False, here, set()
+        return False, here, form
     given = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
     role = given.get("role", "").lower()
     names = set(PART.split(f"{given.get('class', '')} {given.get('id', '')}".lower()))
@@ -107,8 +114,8 @@ def _flags(tag: str, attributes: str, dropped: bool, article: bool) -> tuple[boo
         named = _named(given, DROPPED_NAMES)
         if not here and not names & ARTICLE_NAMES:
             named |= _named(given, HEADER_NAMES)
-        if named:
-            return tag not in BLOCK, article, named
+        if named or form:
+            return tag not in BLOCK, article, named or form
     here = here or role in ("main", "article") or "articlebody" in given.get("itemprop", "").lower() or bool(names & ARTICLE_NAMES and tag in ("div", "section"))
     return False, here, set()
 
@@ -118,7 +125,11 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool, int, bool]] = []  # tag, dropped, article, inside a link, named, firm
+    # tag, dropped, article, inside a link, named, firm, place of the innermost block element
+    stack: list[tuple[str, bool, bool, bool, int, bool, int]] = []
+    held: defaultdict[str, int] = defaultdict(int)  # open elements of each tag
+    endless: set[str] = set()  # raw elements without an end tag in the rest of the page
+    forms: set[int] = set()
     dropped = article = link = firm = False
     named = last = 0
 
@@ -127,13 +138,17 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, article, named, firm))
+                out.append(Block(text, linked, article, named, firm, named in forms))
             parts.clear()
         linked = 0
 
     def top() -> None:
         nonlocal dropped, article, link, named, firm
-        _, dropped, article, link, named, firm = stack[-1] if stack else ("", False, False, False, 0, False)
+        _, dropped, article, link, named, firm, _ = stack[-1] if stack else ("", False, False, False, 0, False, -1)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            held[stack.pop()[0]] -= 1
 
     def add(text: str) -> None:
         nonlocal linked
@@ -143,25 +158,29 @@ def blocks(page: str) -> list[Block]:
                 linked += len(text.strip())
 
     at, low = 0, None
-    while (m := TOKEN.search(page, at)) is not None:
+    final = page.rfind(">")  # no tag ends behind it
+    while (m := (TOKEN if at <= final else OPEN_COMMENT).search(page, at)) is not None:
         add(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        if m.lastindex is None:
             continue
         tag = m[2].lower()
         if m[1]:  # an end tag
             if tag in BLOCK:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    top()
-                    break
+            if held[tag] > 0:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                cut(i)
+                top()
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
                 low = low if low is not None else page.lower() if len(page.lower()) == len(page) else re.sub("[A-Z]+", lambda x: x[0].lower(), page)
-                end = low.find(f"</{tag}", at)
+                end = -1 if tag in endless else low.find(f"</{tag}", at)
+                if end < 0:
+                    endless.add(tag)
                 if end < 0 and tag in ("button", "select", "title", "svg", "object"):
                     continue
                 close_at = low.find(">", end) if end >= 0 else -1
@@ -173,36 +192,34 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             close()
-            if stack and stack[-1][0] != "p":  # an open p inside inline elements ends too
-                i = len(stack) - 1
-                while i >= 0 and stack[i][0] not in BLOCK:
-                    i -= 1
-                if i >= 0 and stack[i][0] == "p":
-                    del stack[i:]
-            elif stack:
-                stack.pop()
+            i = stack[-1][6] if stack else -1
+            if i >= 0 and stack[i][0] == "p":  # an open p ends, also inside inline elements
+                cut(i)
+                i = stack[-1][6] if stack else -1
             if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                i = len(stack) - 1
-                while i >= 0 and stack[i][0] not in BLOCK:
-                    i -= 1
                 if i >= 0 and (stack[i][0] == tag or {stack[i][0], tag} in ({"dd", "dt"}, {"td", "th"})):
-                    del stack[i:]
+                    cut(i)
             top()
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
-        if tag == "a" and any(x[0] == "a" for x in stack):
-            i = max(i for i, x in enumerate(stack) if x[0] == "a")
-            del stack[i]
+        if tag == "a" and held["a"] > 0:  # its place stays, so that the places above it do
+            i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "a")
+            before = stack[i - 1] if i else ("", False, False, False, 0, False, -1)
+            stack[i] = ("", *before[1:])
+            held["a"] -= 1
             top()
         if tag in ("article", "main"):
             named, firm = 0, False
         dropped, article, names = _flags(tag, m[3], dropped, article)
-        if names and not named:
+        if names and (not named or named in forms):
             last += 1
             named = last
+            if names == {"form"}:
+                forms.add(named)
         firm = firm or bool(names & FIRM)
         link = link or tag == "a"
-        stack.append((tag, dropped, article, link, named, firm))
+        stack.append((tag, dropped, article, link, named, firm, len(stack) if tag in BLOCK else stack[-1][6] if stack else -1))
+        held[tag] += 1
     add(page[at:])
     close()
     return out
@@ -234,7 +251,10 @@ def unmarked(found: list[Block]) -> list[Block]:
         if len(b.text) >= LONG and not b.firm and b.linked <= LINKED * len(b.text):
             held[b.named] = held.get(b.named, 0) + len(b.text)
     main = {n for n, size in held.items() if n and size >= PROSE * sum(held.values())}
-    return [b for b in found if not b.firm and (not b.named or b.named in main)]
+    left = [b for b in found if not b.firm and (not b.named or b.named in main)]
+    if not left and any(b.form and not b.firm and SENTENCE.search(b.text) for b in found):
+        left = [b for b in found if b.form and not b.firm]
+    return left
 
 
 def inherit(labels: list[int], default: int) -> list[int]:
@@ -256,7 +276,13 @@ def main_text(page: str | None) -> str:
     marked = any(b.article for b in found)
     if marked:  # blocks outside the article are no neighbours
         found = [b for b in found if b.article]
-    labels = inherit([decide(b, marked) for b in found], TEXT if marked else BOILERPLATE)
+    labels = [decide(b, marked) for b in found]
+    if marked:  # links are boilerplate only at the edges of the article
+        kept = [i for i, x in enumerate(labels) if x != BOILERPLATE]
+        labels = [TEXT if x == BOILERPLATE and kept and kept[0] < i < kept[-1] else x for i, x in enumerate(labels)]
+    elif TEXT not in labels and any(x == UNDECIDED and SENTENCE.search(b.text) for b, x in zip(found, labels, strict=True)):
+        labels = [TEXT if x == UNDECIDED else x for x in labels]
+    labels = inherit(labels, TEXT if marked else BOILERPLATE)
     return " ".join(b.text for b, x in zip(found, labels, strict=True) if x == TEXT)
 
 

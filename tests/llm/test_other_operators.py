@@ -300,6 +300,51 @@ def test_names_do_not_cost_the_article(page, text):
     assert html_text.main_text(page) == text
 
 
+LINKS = "".join(f"<li><a href='{i}'>Chapter {i}</a></li>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><form id='aspnetForm'><div class='menu'><a href=1>Home</a></div><h1>Title</h1><p>{PROSE}</p><div class='sidebar'><p>{PROSE}</p></div></form></body>", f"Title {PROSE}"),
+        (f"<form><div class='menu'>Home.</div><article><p>{PROSE}</p></article></form>", PROSE),
+        ("<form><h1>Short</h1><p>A page inside a form.</p></form>", "Short A page inside a form."),
+        ("<h1>Sign in</h1><form><label>Name</label><input><label>Word</label></form>", ""),
+        ("<h1>News</h1><p>The mill is open.</p><p>Come by.</p>", "News The mill is open. Come by."),
+        ("<ul><li><a href=1>Home</a></li></ul><h1>News</h1><p>The mill is open.</p>", "News The mill is open."),
+        (f"<article><p>{PROSE}</p><ul>{LINKS}</ul><p>End.</p><ul>{LINKS}</ul></article>", f"{PROSE} Chapter 0 Chapter 1 Chapter 2 Chapter 3 End."),
+        (f"<p>{PROSE}</p><!-- never closed", PROSE),
+    ],
+)
+def test_forms_short_pages_and_lists_of_links(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 100_000 + "</b>" * 100_000,
+        "<div>" * 50_000 + "<a>" * 50_000,
+        "<b>" * 50_000 + "<p>x" * 50_000,
+        "<a " * 200_000,
+        "<a \">\"" * 100_000,
+        "<button>" * 80_000,
+        "<!" * 200_000,
+        "<li><a><b>" * 60_000,
+    ],
+)
+def test_hostile_pages_take_linear_time(page):
+    """About a megabyte that is never closed, or closed too often; four times as long takes not much more than four times."""
+    import time
+
+    took = []
+    for part in (page[: len(page) // 4], page):
+        start = time.process_time()
+        html_text.main_text(part)
+        took.append(time.process_time() - start)
+    assert took[1] < max(8 * took[0], 1.0)
+
+
 def test_undecided_blocks_follow_the_nearest():
     t, b, u = html_text.TEXT, html_text.BOILERPLATE, html_text.UNDECIDED
     assert html_text.inherit([u, t, u, u, b, u], b) == [t, t, t, b, b, b]
