@@ -1,13 +1,19 @@
 """License texts in documents.
 
 Words are runs of ASCII letters and digits and all characters beyond ASCII, A-Z
-lower-cased. The templates' words form an inverted index; it is as large as the templates,
-which are fixed. A banded alignment at a shift can only match words of one stretch of the
-document, and only at diagonals within ``BAND`` of the shift. So a shift is aligned if the
-stretch holds as many words of the template as ``COVERAGE`` asks for and as many places of
-the template are hit at those diagonals. Both are upper bounds of the matched words, so no
-reportable region is lost. The alignment then finds the matched words, and regions covering
-at least ``COVERAGE`` of the template are reported.
+lower-cased. Templates are fingerprinted by winnowing: of every ``window`` k-grams in a row
+the smallest hash is kept. The fingerprints form an inverted index of (template, place); it
+is as large as the templates, which are fixed. A document is winnowed alike, and a shared
+fingerprint names the shifts at which the template may lie. Matched words of a reportable
+region are cut into runs by at most the unmatched words, by as many insertions and by those
+that the band allows, so one run has ``shared_run`` words or more; ``k + window - 1`` is not
+longer, hence no reportable region is without a hit.
+
+A banded alignment at a shift can only match words of one stretch of the document, and only
+at diagonals within ``BAND`` of the shift. So a hit shift is aligned if the stretch holds as
+many words of the template as ``COVERAGE`` asks for and as many places of the template are
+hit at those diagonals. Both are upper bounds of the matched words. The alignment then finds
+the matched words, and regions covering at least ``COVERAGE`` of the template are reported.
 
 Defined cases: null or empty texts match nothing; every match of a template is reported,
 also when it repeats; rows that repeat are reported each.
@@ -54,6 +60,29 @@ TEMPLATES = {
 BAND = 4  # words that an alignment may shift
 COVERAGE = 0.8
 SHIFTS = 4_096  # looked at together
+LONGEST = 5  # words of a k-gram at most
+MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd multiplier
+
+
+def shared_run(n: int, needed: int) -> int:
+    """Words in a row that any ``needed`` matches of ``n`` words within the band have at least."""
+    return -(-needed // (2 * (n - needed) + 2 * BAND + 1))
+
+
+def winnow(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the smallest k-gram of every ``window`` in a row, the last one on ties."""
+    n = len(h) - k + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    grams = h[:n].copy()
+    for i in range(1, k):
+        grams = (grams ^ (grams >> np.uint64(29))) * MIX + h[i : i + n]
+    if window == 1:
+        return np.arange(n), grams
+    width = min(window, n)
+    views = np.lib.stride_tricks.sliding_window_view(grams, width)
+    at = np.unique(np.arange(len(views)) + width - 1 - views[:, ::-1].argmin(axis=1))
+    return at, grams[at]
 
 
 def _template_words(texts: list[str]) -> list[np.ndarray]:
@@ -62,28 +91,67 @@ def _template_words(texts: list[str]) -> list[np.ndarray]:
 
 
 class TemplateIndex:
+    """Inverted index of the templates' winnowed fingerprints."""
+
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.names = list(templates)
         self.words = _template_words(list(templates.values()))
         self.vocabulary = np.unique(np.concatenate([*self.words, np.zeros(1, dtype=np.uint64)]))
-        self.holds = np.zeros((len(self.names), len(self.vocabulary) + 1), dtype=np.int32)
-        for t, h in enumerate(self.words):
-            self.holds[t, np.searchsorted(self.vocabulary, h)] = 1
+        self.holds = np.zeros((len(self.names), len(self.vocabulary) + 1), dtype=bool)
         self.needed = [max(1, math.ceil(COVERAGE * len(h))) for h in self.words]
+        postings: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for t, h in enumerate(self.words):
+            self.holds[t, np.searchsorted(self.vocabulary, h)] = True
+            if len(h):
+                run = shared_run(len(h), self.needed[t])
+                k = min(run, LONGEST)
+                places, prints = winnow(h, k, run - k + 1)
+                postings.setdefault((k, run - k + 1), []).extend(zip(prints.tolist(), [t] * len(places), places.tolist(), strict=True))
+        self.postings = {}  # (k, window): distinct fingerprints, first posting of each, templates, places
+        for key, rows in postings.items():
+            rows.sort()
+            prints = np.array([r[0] for r in rows], dtype=np.uint64)
+            distinct, first = np.unique(prints, return_index=True)
+            self.postings[key] = distinct, np.append(first, len(rows)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+    def hits(self, h: np.ndarray, able: np.ndarray) -> dict[int, np.ndarray]:
+        """Per ``able`` template the shifts (place in the document less place in the template) of shared fingerprints."""
+        out: dict[int, np.ndarray] = {}
+        for (k, window), (distinct, first, template, place) in self.postings.items():
+            if not able[template].any():
+                continue
+            at, prints = winnow(h, k, window)
+            if not len(at):
+                continue
+            entry = np.minimum(np.searchsorted(distinct, prints), len(distinct) - 1)
+            shared = distinct[entry] == prints
+            at, entry = at[shared], entry[shared]
+            held = first[entry + 1] - first[entry]
+            posting = np.repeat(first[entry] - np.cumsum(held) + held, held) + np.arange(held.sum())
+            shift, t = np.repeat(at, held) - place[posting], template[posting]
+            for x in np.flatnonzero(able & (np.bincount(t, minlength=len(able)) > 0)).tolist():
+                out[x] = shift[t == x]
+        return out
 
     def candidates(self, h: np.ndarray) -> list[tuple[int, int]]:
-        """(template, shift) of all banded alignments that can match enough words."""
+        """(template, shift) of all banded alignments that share a fingerprint and can match enough words."""
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         code = np.where(self.vocabulary[at] == h, at, len(self.vocabulary))
         if np.count_nonzero(code < len(self.vocabulary)) < min(self.needed, default=1):
             return []
-        held = np.zeros((len(self.names), len(h) + 1), dtype=np.int32)
-        np.cumsum(self.holds[:, code], axis=1, out=held[:, 1:])
+        able = self.holds @ np.bincount(code, minlength=len(self.vocabulary) + 1) >= self.needed
+        if not able.any():
+            return []
         out = []
-        for t in np.flatnonzero(held[:, -1] >= self.needed).tolist():
+        for t, shift in sorted(self.hits(h, able).items()):
             n = len(self.words[t])
-            shifts = np.arange(1 - n - BAND, len(h) + BAND)
-            stretch = held[t][np.clip(shifts + n + BAND, 0, len(h))] - held[t][np.clip(shifts - BAND, 0, len(h))]
+            held = np.zeros(len(h) + 1, dtype=np.int32)
+            np.cumsum(self.holds[t][code], out=held[1:])
+            near = np.zeros(len(h) + n + 2 * BAND, dtype=bool)  # shifts from 1 - n - BAND on
+            for drift in range(2 * BAND + 1):
+                near[shift + n - 1 + drift] = True
+            shifts = np.flatnonzero(near) + 1 - n - BAND
+            stretch = held[np.clip(shifts + n + BAND, 0, len(h))] - held[np.clip(shifts - BAND, 0, len(h))]
             likely = shifts[stretch >= self.needed[t]]
             for run in np.split(likely, np.flatnonzero(np.diff(likely) > 1) + 1) if len(likely) else ():
                 for start in range(0, len(run), SHIFTS):

@@ -59,6 +59,31 @@ def test_candidates_against_aligning_everywhere():
             assert able <= {s for u, s in index.candidates(h) if u == t}
 
 
+@pytest.mark.parametrize(("k", "window"), [(1, 1), (2, 1), (2, 3), (3, 4), (5, 6)])
+def test_winnowing_keeps_one_of_every_window(k, window):
+    """Kept are the smallest k-grams of all windows, and texts that share a long enough run share a fingerprint."""
+    rng = np.random.default_rng(k * 10 + window)
+    for _ in range(50):
+        h = rng.integers(0, 5, rng.integers(0, 40)).astype(np.uint64)
+        at, prints = licenses.winnow(h, k, window)
+        grams = licenses.winnow(h, k, 1)[1]
+        windows = [range(i, i + min(window, len(grams))) for i in range(len(grams) - min(window, len(grams)) + 1)] if len(grams) else []
+        assert at.tolist() == sorted({min(w, key=lambda i: (grams[i], -i)) for w in windows})
+        assert prints.tolist() == grams[at].tolist()
+        run = rng.integers(0, 9, k + window - 1).astype(np.uint64)
+        left, right = (np.concatenate([rng.integers(20, 90, rng.integers(0, 20)).astype(np.uint64), run, h]) for _ in range(2))
+        assert set(licenses.winnow(left, k, window)[1].tolist()) & set(licenses.winnow(right, k, window)[1].tolist())
+
+
+def test_shared_run_holds_for_every_placing():
+    """All ways to match ``needed`` words or more within the band have a run as long as stated."""
+    for n, needed in ((5, 4), (6, 5), (4, 4), (30, 30)):
+        for lost in range(n - needed + 1):
+            # each lost word and each step of drift ends a run
+            breaks = 2 * lost + 2 * licenses.BAND
+            assert licenses.shared_run(n, needed) <= -(-(n - lost) // (breaks + 1))
+
+
 def test_edited_short_notices():
     index = licenses.TemplateIndex()
     for text in ("Released under an MIT License.", "Released, now, under a well the known MIT License"):
