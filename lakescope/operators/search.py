@@ -7,8 +7,8 @@ a second scan counts without sorting the table.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,30 +55,40 @@ def vector_topk(df: DataFrame, key: str, vector: str, query: Sequence[float], to
     return _top(scored, top_k)
 
 
-def _exact_ranks(scored: DataFrame, keys: list) -> DataFrame:
-    """Ranks of the listed keys within a scored list, by counting better rows.
+def _entries_before(entries: list, key_type: str) -> Column:
+    """How many of the entries, best first, rank before a row ``(key, score)``: a binary search as nested conditions."""
+
+    def search(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        held, at = f"CAST('{entries[mid][0]!r}' AS DOUBLE)", f"CAST(CAST(X'{str(entries[mid][1]).encode().hex()}' AS STRING) AS {key_type})"
+        return f"CASE WHEN score < {held} OR (score = {held} AND key > {at}) THEN {search(mid + 1, high)} ELSE {search(low, mid)} END"
+
+    return F.expr(search(0, len(entries)))
+
+
+def _exact_ranks(lists: dict[str, DataFrame], keys: list) -> DataFrame:
+    """``(key, list, rank)`` of the listed keys within each scored list, by counting better rows.
 
     Only the listed keys travel; every task counts its rows per gap between two
-    listed entries, so the shuffle moves a few hundred counters.
+    listed entries, so the shuffle moves a few hundred counters. All lists are read
+    together, once for the entries and once for the counts.
     """
-    spark = scored.sparkSession
-    listed = scored.filter(F.col("key").isin(keys)).orderBy(F.desc("score"), F.asc("key")).collect()
-    schema = f"key {scored.schema['key'].dataType.simpleString()}, rank bigint"
-    if not listed:
-        return spark.createDataFrame([], schema)
-    # a row's gap is the number of listed entries ranked before it
-    key_type = scored.schema["key"].dataType.simpleString()
-    entries = json.dumps([{"s": r["score"], "k": r["key"]} for r in listed])
-    table = F.from_json(F.lit(entries), f"array<struct<s:double,k:{key_type}>>")
-    score = F.col("score").cast("double")
-    before = F.filter(table, lambda e: (e["s"] > score) | ((e["s"] == score) & (e["k"] < F.col("key"))))
-    gap = F.size(before)
-    counts = {r["g"]: r["n"] for r in scored.groupBy(gap.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows, seen = [], 0
-    for i, r in enumerate(listed):
-        seen += counts.get(i, 0)
-        rows.append((r["key"], seen))
-    return spark.createDataFrame(rows, schema)
+    tagged = {name: df.select(F.lit(name).alias("list"), "key", F.col("score").cast("double").alias("score")) for name, df in lists.items()}
+    listed = reduce(DataFrame.unionByName, [df.filter(F.col("key").isin(keys)) for df in tagged.values()]).collect()
+    entries = {name: sorted(((r["score"], r["key"]) for r in listed if r["list"] == name), key=lambda e: (-e[0], e[1])) for name in lists}
+    first = next(iter(lists.values()))
+    key_type = first.schema["key"].dataType.simpleString()
+    gaps = [df.select("list", _entries_before(entries[name], key_type).alias("g")) for name, df in tagged.items()]
+    counts = {(r["list"], r["g"]): r["n"] for r in reduce(DataFrame.unionByName, gaps).groupBy("list", "g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = []
+    for name, found in entries.items():
+        seen = 0
+        for i, (_, key) in enumerate(found):
+            seen += counts.get((name, i), 0)
+            rows.append((key, name, seen))
+    return first.sparkSession.createDataFrame(rows, f"key {key_type}, list string, rank bigint")
 
 
 def hybrid_rrf(
@@ -107,12 +117,9 @@ def hybrid_rrf(
     )
     firsts = _top(words, depth).select("key").unionByName(_top(cosines, depth).select("key")).distinct()
     keys = [r["key"] for r in firsts.collect()]  # at most 2 * depth keys
-    by_word, by_vector = _exact_ranks(words, keys), _exact_ranks(cosines, keys)
-    part = F.lit(1.0) / (RRF_K + F.col("rank"))
-    a = by_word.select("key", part.alias("kw"))
-    b = by_vector.select("key", part.alias("vec"))
-    score = F.coalesce("kw", F.lit(0.0)) + F.coalesce("vec", F.lit(0.0))
-    return _top(a.join(b, "key", "full").select("key", F.round(score, 12).alias("score")), top_k)
+    ranks = _exact_ranks({"words": words, "cosines": cosines}, keys)
+    part = F.sum(F.lit(1.0) / (RRF_K + F.col("rank")))
+    return _top(ranks.groupBy("key").agg(F.round(part, 12).alias("score")), top_k)
 
 
 def search_tables(
