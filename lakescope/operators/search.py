@@ -37,7 +37,7 @@ def _scored_keywords(df: DataFrame, key: str, body: str, query: str) -> DataFram
     return df.select(F.col(key).alias("key"), keyword_score(query, F.col(body)).alias("score"))
 
 
-def _top(scored: DataFrame, k: int) -> DataFrame:
+def best(scored: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.asc("key")).limit(k)
 
 
@@ -46,13 +46,13 @@ def keyword_search(df: DataFrame, key: str, body: str, query: str, top_k: int =
     if not text.query_tokens(query):
         return df.select(F.col(key).alias("key"), F.lit(0).alias("score")).limit(0)
     # filtering the k winners leaves each text scored once; rows without a match come last anyway
-    return _top(_scored_keywords(df, key, body, query), top_k).filter("score > 0")
+    return best(_scored_keywords(df, key, body, query), top_k).filter("score > 0")
 
 
 def vector_topk(df: DataFrame, key: str, vector: str, query: Sequence[float], top_k: int = TOP_K) -> DataFrame:
     """Rows by cosine with the query vector, no threshold."""
     scored = df.select(F.col(key).alias("key"), F.round(vector_score(query, F.col(vector)), 12).alias("score"))
-    return _top(scored, top_k)
+    return best(scored, top_k)
 
 
 def _entries_before(entries: list, key_type: str) -> Column:
@@ -115,11 +115,27 @@ def hybrid_rrf(
     cosines = cut_lineage(
         vecs.select(F.col(vec_key).alias("key"), F.round(vector_score(query_vector, F.col(vector)), 12).alias("score"))
     )
-    firsts = _top(words, depth).select("key").unionByName(_top(cosines, depth).select("key")).distinct()
+    firsts = best(words, depth).select("key").unionByName(best(cosines, depth).select("key")).distinct()
     keys = [r["key"] for r in firsts.collect()]  # at most 2 * depth keys
     ranks = _exact_ranks({"words": words, "cosines": cosines}, keys)
     part = F.sum(F.lit(1.0) / (RRF_K + F.col("rank")))
-    return _top(ranks.groupBy("key").agg(F.round(part, 12).alias("score")), top_k)
+    return best(ranks.groupBy("key").agg(F.round(part, 12).alias("score")), top_k)
+
+
+def named(index: DataFrame) -> DataFrame:
+    """Rows of tables with ``key``: the shown name, and behind it what tells apart names that look the same."""
+    name = F.concat(F.concat_ws("::", "source_id", "table_name"), F.lit("\0"), F.to_json(F.struct("source_id", "table_name")))
+    return index.withColumn("key", name)
+
+
+def described(hits: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Hits by such a key with the definition of their table; lower ``relevance_rank`` is better."""
+    at = F.from_json(F.regexp_extract("key", "\\x00(.*)$", 1), "source_id string, table_name string")
+    ranked = hits.select(at.alias("at"), (-F.col("score")).alias("relevance_rank"))
+    ranked = ranked.select("at.source_id", "at.table_name", "relevance_rank")
+    held = definitions.withColumnsRenamed({"source_id": "_source", "table_name": "_table"})
+    same = F.col("source_id").eqNullSafe(F.col("_source")) & (F.col("table_name") == F.col("_table"))
+    return ranked.join(held, same, "left").drop("_source", "_table")
 
 
 def search_tables(
@@ -131,18 +147,9 @@ def search_tables(
     ``index`` rows: ``source_id, table_name, searchable_text``. With vectors
     (``source_id, table_name, vector``) the ranking is fused.
     """
-    # ordered by the shown name; the part behind it tells apart what the name does not
-    name = F.concat(F.concat_ws("::", "source_id", "table_name"), F.lit("\0"), F.to_json(F.struct("source_id", "table_name")))
-    keyed = index.withColumn("key", name)
+    keyed = named(index)
     if vecs is not None and query_vector is not None:
-        hits = hybrid_rrf(
-            keyed, "key", "searchable_text", query, vecs.withColumn("key", name), "key", "vector", query_vector, top_k
-        )
+        hits = hybrid_rrf(keyed, "key", "searchable_text", query, named(vecs), "key", "vector", query_vector, top_k)
     else:
         hits = keyword_search(keyed, "key", "searchable_text", query, top_k)
-    at = F.from_json(F.regexp_extract("key", "\\x00(.*)$", 1), "source_id string, table_name string")
-    ranked = hits.select(at.alias("at"), (-F.col("score")).alias("relevance_rank"))
-    ranked = ranked.select("at.source_id", "at.table_name", "relevance_rank")
-    held = definitions.withColumnsRenamed({"source_id": "_source", "table_name": "_table"})
-    same = F.col("source_id").eqNullSafe(F.col("_source")) & (F.col("table_name") == F.col("_table"))
-    return ranked.join(held, same, "left").drop("_source", "_table")
+    return described(hits, definitions)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lakescope.functions.text import sha16
-from lakescope.operators import search, semantic
+from lakescope.operators import postings, search, semantic
 from lakescope.plans.registry import query, table
 
 _QUERY = "the Thon, nder éau; the 911"
@@ -20,6 +20,17 @@ def keyword_search(spark, sf_dir):
     return search.keyword_search(table(spark, sf_dir, "documents"), "doc_id", "text", _QUERY, 25)
 
 
+@query(
+    "keyword_search_indexed",
+    f"""SELECT doc_id AS key, {_KW.format("text")} AS score FROM documents WHERE {_KW.format("text")} > 0
+    ORDER BY score DESC, doc_id LIMIT 25""",
+)
+def keyword_search_indexed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    index = postings.store(postings.postings(docs, "doc_id", "text"))
+    return postings.keyword_search(docs, index, "doc_id", "text", _QUERY, 25)
+
+
 def _query_vector(spark, sf_dir):
     """The vector of one known item stands for an embedded query."""
     return table(spark, sf_dir, "embeddings").filter("vec_id = 17").first()["embedding"]
@@ -204,6 +215,48 @@ def search_tables(spark, sf_dir):
     )
 
 
+_TABLE_HITS = f"""SELECT coalesce(source_id, 'none') AS source_id, table_name, -({_KW.format("body")}) AS relevance_rank, business_domain
+    FROM kept WHERE {_KW.format("body")} > 0
+    ORDER BY {_KW.format("body")} DESC, coalesce(source_id, 'none') || '::' || table_name LIMIT 15"""
+
+
+def _table_postings(spark, sf_dir):
+    """Postings of old texts, brought up to date: even tables changed, toxic ones removed."""
+    defs = definitions(spark, sf_dir).withColumn("source_id", F.coalesce("source_id", F.lit("none")))
+    old = defs.select("source_id", "table_name", F.concat(F.lit("old text of the "), "table_name").alias("searchable_text"))
+    number = F.regexp_extract("table_name", r"(\d+)", 1).cast("bigint")
+    changed = defs.filter(number % 2 == 0)
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1")
+    gone = defs.select("source_id", "table_name", number.alias("doc_id")).join(toxic, "doc_id", "left_semi")
+    texts = semantic.maintain_index(old, changed, gone)
+    held = postings.maintain(
+        postings.store(postings.table_postings(old)),
+        search.named(semantic.build_index(changed)), "key", "searchable_text", search.named(gone),
+    )
+    return defs, texts, postings.store(held)
+
+
+_KEPT = f"""{_DEFS}, kept AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN searchable_text ELSE 'old text of the ' || table_name END AS body
+    FROM texts WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+
+
+@query(
+    "postings_maintain",
+    f"""WITH {_KEPT}, points AS (SELECT regexp_extract_all(lower(body), '(?s).') AS p FROM kept),
+    grams AS (SELECT unnest(list_distinct(list_transform(range(1, len(p) - 1), lambda i: p[i] || p[i + 1] || p[i + 2]))) AS gram FROM points)
+    SELECT gram, count(*) AS n_texts FROM grams GROUP BY gram""",
+)
+def postings_maintain(spark, sf_dir):
+    return _table_postings(spark, sf_dir)[2].groupBy("gram").agg(F.count(F.lit(1)).alias("n_texts"))
+
+
+@query("search_tables_indexed", f"WITH {_KEPT} {_TABLE_HITS}")
+def search_tables_indexed(spark, sf_dir):
+    defs, texts, held = _table_postings(spark, sf_dir)
+    hits = postings.search_tables(texts, held, defs, _QUERY, 15)
+    return hits.select("source_id", "table_name", "relevance_rank", "business_domain")
+
+
 @query(
     "suggest_joins",
     f"""WITH {_DEFS} SELECT table_name, CASE WHEN target IS NULL THEN ''
