@@ -9,11 +9,13 @@ components of the links.
    whole corpus. What can be closer than ``1 - num / den`` to a set shares one of its rarest shingles
    (its prefix). Each shingle that several prefixes hold is a region. Its pivot is the document
    with the fewest rarer shingles (an original rather than an edited copy), and a document is
-   copied to all regions its prefix reaches.
+   copied to all regions its prefix reaches. Prefixes are dealt out by shingle once, many
+   entries in a row; what only one document holds ends there.
 3. The distance of each document to the pivots of its regions gives the first links. It is
    computed exactly where sizes and the places of the shared shingle in both orders leave a
    link possible with that shingle as the first common one; elsewhere sizes bound it from
    below. Copies of one text thus link through one pivot, without pairs among themselves.
+   Only texts of documents to be compared are shuffled, told apart by a bit table of fixed size.
 4. Regions whose documents are not yet in one component are joined again, once, with what
    lies outside their largest component (no recursion): two documents of different components are
    compared if sizes, places and the triangle inequality over the pivot (their distances to
@@ -39,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakescope.llm import bitset
 from lakescope.llm.graph import components
 from lakescope.llm.words import NONSPACE, Words, grams, pieces
 from lakescope.session import cut_lineage
@@ -57,6 +60,10 @@ NEAR = Rule(5, 80, 100)  # near copies where no contract names other values
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
 CHUNK_SHINGLES = 1_000_000  # of one pivot's documents, compared by one task
+BUCKET_ENTRIES = 1 << 17  # of prefixes, searched at once for shingles that several hold
+FLUSH_ENTRIES = 1 << 19  # of prefixes, held by a task before it deals them out
+HOT = 1 << 20  # shingles that may occur more often are dealt out row by row, in joins that Spark may split
+REACHED = ["shingle", "pivot", "m", "place", "id", "n", "at", "many"]
 U = np.uint64
 
 
@@ -139,25 +146,139 @@ def prefix_length(n: int, rule: Rule = RULE) -> int:
     return n - -(-rule.num * n // rule.den) + 1
 
 
-def _prefixes(table, rule: Rule):
+def _prefixes(texts: pa.Array, counts: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's set and its rarest shingles, rarest first; none where no other set can link."""
+    for s in shingle_sets(texts, rule.k):
+        p = prefix_length(len(s), rule)
+        if p < 2 and len(s) * rule.den // rule.num <= len(s):  # larger sets included
+            yield s, s[:0]
+            continue
+        key = (counts[s >> U(64 - SKETCH_BITS)].astype(np.uint64) << U(64 - 32)) | ((s << U(SKETCH_BITS)) >> U(32))
+        rare = np.flatnonzero(key <= np.partition(key, p - 1)[p - 1])
+        yield s, s[rare[np.argsort(key[rare], kind="stable")[:p]]]
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Small numbers byte by byte, so that their upper zeros compress."""
+    return a.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+
+
+def _packed(table, rule: Rule, buckets: int, hot: int | None, flush: int):
+    """The prefixes' entries, dealt by shingle to buckets: many entries in a row, as arrays.
+
+    Entries of shingles that may occur more than ``hot`` times are left to ``_plain``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, waiting = table.value, [], 0
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                for i, (s, prefix) in zip(piece.column("id").to_pylist(), _prefixes(piece.column("text"), counts, rule), strict=True):
+                    at = np.arange(len(prefix), dtype=np.uint32)
+                    if hot is not None:
+                        at = at[counts[prefix >> U(64 - SKETCH_BITS)] <= hot]
+                    if len(at):
+                        held.append((prefix[at], at, i, int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), signed=True), len(s)))
+                        waiting += len(at)
+                if waiting > flush:
+                    yield _dealt(held, buckets)
+                    held, waiting = [], 0
+        if held:
+            yield _dealt(held, buckets)
+
+    return run
+
+
+def _dealt(held: list[tuple], buckets: int) -> pa.RecordBatch:
+    shingle, at = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+    times = [len(h[0]) for h in held]
+    ids, same, n = (np.repeat(np.array([h[c] for h in held], dtype=kind), times) for c, kind in ((2, np.int64), (3, np.int64), (4, np.uint32)))
+    bucket = (shingle % U(buckets)).astype(np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    used, first = np.unique(bucket[order], return_index=True)
+    parts = np.split(order, first[1:])
+    columns = [[c[p].tobytes() for p in parts] for c in (shingle, ids, same)] + [[_planes(c[p]) for p in parts] for c in (n, at)]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "shingle", "id", "same", "n", "at"])
+
+
+def _plain(table, rule: Rule, hot: int):
+    """The entries of shingles that may be very frequent, a row each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
         for batch in batches:
             for piece in pieces(batch, "text"):
-                found = []
-                for s in shingle_sets(piece.column("text"), rule.k):
-                    p = prefix_length(len(s), rule)
-                    if p < 2 and len(s) * rule.den // rule.num <= len(s):  # no other set, larger ones included, can link
-                        found.append(None)
-                        continue
-                    bucket = s >> U(64 - SKETCH_BITS)
-                    key = (counts[bucket].astype(np.uint64) << U(64 - 32)) | ((s << U(SKETCH_BITS)) >> U(32))
-                    found.append(s[np.argsort(key, kind="stable")[:p]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "prefix"])
+                ids, found = piece.column("id").to_pylist(), []
+                for i, (s, prefix) in zip(ids, _prefixes(piece.column("text"), counts, rule), strict=True):
+                    at = np.flatnonzero(counts[prefix >> U(64 - SKETCH_BITS)] > hot)
+                    found += [(x, i, len(s), a) for x, a in zip(prefix[at].view(np.int64).tolist(), at.tolist(), strict=True)]
+                columns = list(zip(*found, strict=True)) if found else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shingle", "id", "n", "at"])
 
     return run
 
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket; a bucket holds all entries of its shingles."""
+    bucket, held = None, []
+    for batch in batches:
+        arrays = [batch.column(c) for c in ("shingle", "id", "same", "n", "at")]
+        for i, b in enumerate(batch.column("bucket").to_pylist()):
+            if b != bucket and held:
+                yield from _regions_of(held)
+                held = []
+            bucket = b
+            wide = [np.frombuffer(c[i].as_buffer(), dtype=np.int64) for c in arrays[:3]]
+            held.append((*wide, *[_from_planes(c[i]).astype(np.int64) for c in arrays[3:]]))
+    if held:
+        yield from _regions_of(held)
+
+
+def _regions_of(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    shingle, ids, same, n, at = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(shingle, kind="stable")
+    again = np.diff(shingle[order]) == 0
+    order = order[np.append(again, False) | np.append(False, again)]  # shingles of one entry end here
+    shingle, ids, same, n, at = (c[order] for c in (shingle, ids, same, n, at))
+    order = np.lexsort((ids, same, n, at, shingle))
+    known = np.stack([c[order] for c in (shingle, at, n, same)])
+    order = order[np.append(True, (known[:, 1:] != known[:, :-1]).any(axis=0))[: len(order)]]  # of equal sets the smallest id
+    order = order[np.lexsort((ids[order], at[order], shingle[order]))]
+    shingle, ids, n, at = (c[order] for c in (shingle, ids, n, at))
+    _, first, many = np.unique(shingle, return_index=True, return_counts=True)
+    rest = np.ones(len(shingle), dtype=bool)
+    rest[first] = False
+    pivot = np.repeat(first, many)[rest]
+    columns = (shingle[rest], ids[pivot], n[pivot], at[pivot], ids[rest], n[rest], at[rest], np.repeat(many, many)[rest])
+    rows = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=REACHED)
+    yield from (rows.slice(i, 1 << 16) for i in range(0, rows.num_rows, 1 << 16))
+
+
+def _reached(rows: DataFrame, of: DataFrame, table, rule: Rule, entries: int) -> DataFrame:
+    """One row per shingle that several prefixes hold and document beside the pivot, with sizes and places.
+
+    ``rows``: id and text; ``of``: id, class and n; ``entries``: about how many all prefixes have.
+    """
+    kinds = ", ".join(f"{c} bigint" for c in REACHED)
+    buckets, hot = max(1, -(-entries // BUCKET_ENTRIES)), HOT if table.value.max() > HOT else None
+    packed = rows.mapInArrow(_packed(table, rule, buckets, hot, FLUSH_ENTRIES), "bucket bigint, shingle binary, id binary, same binary, n binary, at binary")
+    parts = min(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = packed.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket")
+    out = dealt.mapInArrow(_regions, kinds)
+    if hot is None:
+        return cut_lineage(out)
+    plain = rows.mapInArrow(_plain(table, rule, hot), "shingle bigint, id bigint, n bigint, at bigint").join(of.filter("id = class").select("id"), "id", "left_semi")
+    plain = cut_lineage(plain.distinct())
+    cells = plain.groupBy("shingle").agg(F.min(F.struct("at", "id", "n")).alias("p"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    # written, so that the join below may split a shingle that very many documents hold
+    cells = cut_lineage(cells.select("shingle", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"), F.col("p.at").alias("place"), "many"))
+    return cut_lineage(out.unionByName(plain.join(cells, "shingle").filter("id <> pivot").select(*REACHED)))
+
+
 def _requested_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["pivot", "chunk", "member", "id", "hashes"]
@@ -209,7 +330,8 @@ def _verify(rows: DataFrame, sizes: DataFrame, pairs: DataFrame, k: int) -> Data
     members = dealt.select("id", F.struct("pivot", "chunk", F.lit(1).alias("member")).alias("ask"))
     own = load.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(F.col("pivot").alias("id"), F.struct("pivot", "chunk", F.lit(0).alias("member")).alias("ask"))
     asked = members.unionByName(own).groupBy("id").agg(F.collect_list("ask").alias("asked"))
-    sets = rows.join(asked, "id").mapInArrow(_requested_sets(k), "pivot bigint, chunk bigint, member int, id bigint, hashes binary")
+    asked = cut_lineage(asked)
+    sets = bitset.marked(rows, "id", asked, "id").filter("marked").drop("marked").join(asked, "id").mapInArrow(_requested_sets(k), "pivot bigint, chunk bigint, member int, id bigint, hashes binary")
     together = sets.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "member")
     return cut_lineage(together.mapInArrow(_compare, "pivot bigint, id bigint, both bigint, either bigint"))
 
@@ -262,17 +384,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     of = placed.filter("n > 0").select("id", "class", "n").distinct()
     sizes = of.filter("id = class").select("id", "n")
 
-    prefixes = cut_lineage(rows.select("id", "text").mapInArrow(_prefixes(table, rule), "id bigint, prefix array<bigint>").filter("prefix IS NOT NULL"))
-    held = prefixes.select("id", F.posexplode("prefix").alias("at", "shingle"))
-    # shingles are counted alone; only rows of those that several prefixes hold go further
-    bare = prefixes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("many"))
-    held = cut_lineage(held.join(cut_lineage(bare.filter("many > 1").select("shingle")), "shingle"))
-    cells = held.groupBy("shingle").agg(F.min(F.struct("at", "id")).alias("p"), F.count(F.lit(1)).alias("many"))
-    # written, so that the join below may split a shingle that very many documents hold
-    cells = cut_lineage(cells.select("shingle", F.col("p.id").alias("pivot"), F.col("p.at").alias("place"), "many"))
-    cells = cells.join(sizes.select(F.col("id").alias("pivot"), F.col("n").alias("m")), "pivot")
-    reached = held.join(cells, "shingle").filter("id <> pivot").join(of, "id")
-    reached = cut_lineage(reached.select("shingle", "pivot", "m", "place", F.col("class").alias("id"), "n", "at", "many").filter("id <> pivot").distinct())
+    entries = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (rule.den - rule.num) // rule.den
+    reached = _reached(rows.select("id", "text"), of, table, rule, entries)
     near = reached.filter(_meet(F.col("n"), F.col("at"), F.col("m"), F.col("place"), rule)).select("pivot", "id").distinct()
     measured = _verify(rows.select("id", "text"), sizes, cut_lineage(near), rule.k)
     is_link = F.col("both") * rule.den >= F.col("either") * rule.num
@@ -303,8 +416,11 @@ def _open_regions(reached: DataFrame, measured: DataFrame, found: DataFrame) ->
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, and all without links."""
-    keep = similar_documents(docs, doc_id, text, rule).filter("id = first").select("id", "n_shingles").distinct()
-    rows = docs.select(F.struct("*").alias("row"), identity(docs, doc_id, text).alias("at"))
+    found = cut_lineage(similar_documents(docs, doc_id, text, rule).select("id", "first", "n_shingles"))
+    # only rows that may go or repeat are dealt out with their texts
+    special = found.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min("first").alias("first")).filter("copies > 1 OR id <> first")
+    keep = found.filter("id = first").select("id", "n_shingles").distinct()
+    rows = bitset.marked(docs.select(F.struct("*").alias("row"), identity(docs, doc_id, text).alias("at")), "at", special, "id")
     one = F.row_number().over(Window.partitionBy("at").orderBy(F.lit(1)))
-    kept = rows.join(keep, F.col("at").eqNullSafe(F.col("id"))).withColumn("copy", one)
-    return kept.filter("copy = 1 OR n_shingles = 0").select("row.*")
+    kept = rows.filter("marked").join(keep, F.col("at") == F.col("id")).withColumn("copy", one).filter("copy = 1 OR n_shingles = 0")
+    return rows.filter("NOT marked").select("row").union(kept.select("row")).select("row.*")

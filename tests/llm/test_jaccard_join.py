@@ -1,10 +1,14 @@
+import json
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from lakescope.llm import jaccard_join
+from lakescope.llm import bitset, jaccard_join
 from lakescope.llm.graph import components
 from lakescope.llm.words import NONSPACE, Words
 
@@ -118,6 +122,71 @@ def test_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5, 6]
 
 
+@pytest.mark.parametrize("hot", [0, 40])
+def test_small_buckets_and_hot_shingles_against_brute_force(spark, monkeypatch, hot):
+    """Many buckets and flushes; all shingles or the most frequent ones dealt out row by row."""
+    for name, value in (("HOT", hot), ("BUCKET_ENTRIES", 50), ("FLUSH_ENTRIES", 100)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = corpus(4)
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
+
+
+SHUFFLED = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from lakescope.llm import jaccard_join
+from lakescope.session import build_session
+top = sys.argv[2]
+conf = {"spark.sql.shuffle.partitions": "4", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.checkpoint.dir": top + "/shared", "spark.eventLog.enabled": "true", "spark.eventLog.dir": "file://" + top + "/events", "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false"}
+spark = build_session("local[4]", **conf)
+getattr(jaccard_join, sys.argv[3])(spark.read.parquet(top + "/docs"), rule=jaccard_join.NEAR).write.parquet(top + "/out")
+spark.stop()
+"""
+
+
+def shuffled(spark, folder, name):
+    """(rows, result, bytes that the named function shuffles) where no table is small enough to be broadcast unasked."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"{rng.getrandbits(48):x}" for _ in range(200))) for i in range(3000)]
+    rows += [(5000 + i, f"{rows[i][1]} more") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{folder}/docs")
+    (folder / "events").mkdir()
+    subprocess.run([sys.executable, "-c", SHUFFLED, str(Path(__file__).resolve().parents[2]), str(folder), name], check=True, timeout=300)
+    ended = [json.loads(x) for p in (folder / "events").iterdir() if p.is_file() for x in p.open() if x.startswith('{"Event":"SparkListenerTaskEnd"')]
+    return rows, spark.read.parquet(f"{folder}/out"), sum(e["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"] for e in ended)
+
+
+def test_texts_that_meet_nothing_are_not_shuffled(spark, tmp_path):
+    rows, kept, moved = shuffled(spark, tmp_path, "one_of_each_group")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(3000))
+    assert moved < sum(len(t) for _, t in rows)
+
+
+def test_prefixes_are_shuffled_once(spark, tmp_path):
+    """The entries of the prefixes, a fifth of all shingles, and what else is dealt out take less than 60 bytes an entry."""
+    rows, found, moved = shuffled(spark, tmp_path, "similar_documents")
+    assert found.filter("id <> first").count() == 20
+    assert moved < 60 * len(rows) * jaccard_join.prefix_length(196, jaccard_join.NEAR)
+
+
+def test_one_of_each_group_with_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, "one two three four five six seven"), (1, "one two three four five six seven"), (2, text), (3, f"{text} more"), (None, "no id"), (None, ""), (None, "")]
+    kept = jaccard_join.one_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    kept = sorted((str(r["doc_id"]), r["text"] in ("", "no id")) for r in kept)
+    assert kept in [sorted([("1", False), (i, False), ("None", True), ("None", True), ("None", True)]) for i in ("2", "3")]
+
+
+def test_marked_leaves_no_row_out(spark):
+    rows = spark.range(1000)
+    among = spark.range(0, 1000, 50).withColumnRenamed("id", "asked")
+    got = bitset.marked(rows, "id", among, "asked", bits=10).filter("marked")
+    assert {r["id"] for r in got.collect()} >= set(range(0, 1000, 50))
+    assert got.count() < 100 and bitset.marked(rows, "id", among, "asked", bits=10).count() == 1000
+    assert bitset.marked(rows, "id", among.limit(0), "asked").filter("NOT marked").count() == 1000
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in components(links).collect()}
