@@ -84,6 +84,15 @@ def identity(docs: DataFrame, doc_id: str, text: str) -> Column:
     return F.col(doc_id).cast("bigint") if seen["rows"] == seen["ids"] else F.xxhash64(doc_id, text)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers byte by byte, so that their upper zeros compress."""
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def _from_planes(data: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel().astype(np.int64)
+
+
 def _summaries(k: int):
     """Words, size and digest of each set beside its row, then this task's counts of shingles in blocks."""
 
@@ -108,7 +117,7 @@ def _summaries(k: int):
         used = np.flatnonzero(blocks.any(axis=1))
         none = pa.nulls(len(used))
         columns = [pa.nulls(len(used), kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(used, pa.int32())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([_planes(blocks[i]) for i in used], pa.binary())], names=names)
 
     return run
 
@@ -129,7 +138,7 @@ def _sketch(summaries: DataFrame) -> np.ndarray:
                     if block is not None:
                         out.append((block, _counts(total)))
                     block, total = b, np.zeros(SKETCH_BLOCK, dtype=np.int64)
-                total = total + np.frombuffer(c.as_buffer(), dtype=np.int64)
+                total = total + _from_planes(c, np.int64)
         if block is not None:
             out.append((block, _counts(total)))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([c for _, c in out], pa.binary())], names=["block", "counts"])
@@ -158,15 +167,6 @@ def _prefixes(texts: pa.Array, counts: np.ndarray, rule: Rule) -> Iterator[tuple
         yield s, s[rare[np.argsort(key[rare], kind="stable")[:p]]]
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Small numbers byte by byte, so that their upper zeros compress."""
-    return a.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _from_planes(data: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(data.as_buffer(), dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
-
-
 def _packed(table, rule: Rule, buckets: int, hot: int | None, flush: int):
     """The prefixes' entries, dealt by shingle to buckets: many entries in a row, as arrays.
 
@@ -177,12 +177,14 @@ def _packed(table, rule: Rule, buckets: int, hot: int | None, flush: int):
         counts, held, waiting = table.value, [], 0
         for batch in batches:
             for piece in pieces(batch, "text"):
-                for i, (s, prefix) in zip(piece.column("id").to_pylist(), _prefixes(piece.column("text"), counts, rule), strict=True):
+                found = _prefixes(piece.column("text"), counts, rule)
+                for i, shared, (s, prefix) in zip(piece.column("id").to_pylist(), piece.column("marked").to_pylist(), found, strict=True):
                     at = np.arange(len(prefix), dtype=np.uint32)
                     if hot is not None:
                         at = at[counts[prefix >> U(64 - SKETCH_BITS)] <= hot]
                     if len(at):
-                        held.append((prefix[at], at, i, int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), signed=True), len(s)))
+                        same = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), signed=True) if shared else 0
+                        held.append((prefix[at], at, i, same, len(s)))
                         waiting += len(at)
                 if waiting > flush:
                     yield _dealt(held, buckets)
@@ -201,8 +203,8 @@ def _dealt(held: list[tuple], buckets: int) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     used, first = np.unique(bucket[order], return_index=True)
     parts = np.split(order, first[1:])
-    columns = [[c[p].tobytes() for p in parts] for c in (shingle, ids, same)] + [[_planes(c[p]) for p in parts] for c in (n, at)]
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "shingle", "id", "same", "n", "at"])
+    columns = [[c[p].tobytes() for p in parts] for c in (shingle, same)] + [[_planes(c[p]) for p in parts] for c in (ids, n, at)]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "shingle", "same", "id", "n", "at"])
 
 
 def _plain(table, rule: Rule, hot: int):
@@ -226,27 +228,27 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; a bucket holds all entries of its shingles."""
     bucket, held = None, []
     for batch in batches:
-        arrays = [batch.column(c) for c in ("shingle", "id", "same", "n", "at")]
+        arrays = [batch.column(c) for c in ("shingle", "same", "id", "n", "at")]
         for i, b in enumerate(batch.column("bucket").to_pylist()):
             if b != bucket and held:
                 yield from _regions_of(held)
                 held = []
             bucket = b
-            wide = [np.frombuffer(c[i].as_buffer(), dtype=np.int64) for c in arrays[:3]]
-            held.append((*wide, *[_from_planes(c[i]).astype(np.int64) for c in arrays[3:]]))
+            held.append((*[np.frombuffer(c[i].as_buffer(), dtype=np.int64) for c in arrays[:2]], *[_from_planes(c[i], kind) for c, kind in zip(arrays[2:], (np.int64, np.uint32, np.uint32), strict=True)]))
     if held:
         yield from _regions_of(held)
 
 
 def _regions_of(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    shingle, ids, same, n, at = (np.concatenate(c) for c in zip(*held, strict=True))
+    shingle, same, ids, n, at = (np.concatenate(c) for c in zip(*held, strict=True))
     order = np.argsort(shingle, kind="stable")
     again = np.diff(shingle[order]) == 0
     order = order[np.append(again, False) | np.append(False, again)]  # shingles of one entry end here
     shingle, ids, same, n, at = (c[order] for c in (shingle, ids, same, n, at))
     order = np.lexsort((ids, same, n, at, shingle))
     known = np.stack([c[order] for c in (shingle, at, n, same)])
-    order = order[np.append(True, (known[:, 1:] != known[:, :-1]).any(axis=0))[: len(order)]]  # of equal sets the smallest id
+    first = np.append(True, (known[:, 1:] != known[:, :-1]).any(axis=0))[: len(order)]
+    order = order[first | (known[3] == 0)]  # of equal sets the smallest id; sets that no other equals have 0
     order = order[np.lexsort((ids[order], at[order], shingle[order]))]
     shingle, ids, n, at = (c[order] for c in (shingle, ids, n, at))
     _, first, many = np.unique(shingle, return_index=True, return_counts=True)
@@ -258,14 +260,14 @@ def _regions_of(held: list[tuple]) -> Iterator[pa.RecordBatch]:
     yield from (rows.slice(i, 1 << 16) for i in range(0, rows.num_rows, 1 << 16))
 
 
-def _reached(rows: DataFrame, of: DataFrame, table, rule: Rule, entries: int) -> DataFrame:
+def _reached(rows: DataFrame, of: DataFrame, shared: DataFrame, table, rule: Rule, entries: int) -> DataFrame:
     """One row per shingle that several prefixes hold and document beside the pivot, with sizes and places.
 
-    ``rows``: id and text; ``of``: id, class and n; ``entries``: about how many all prefixes have.
+    ``rows``: id and text; ``of``: id, class and n; ``shared``: ids whose sets others equal; ``entries``: about how many all prefixes have.
     """
     kinds = ", ".join(f"{c} bigint" for c in REACHED)
     buckets, hot = max(1, -(-entries // BUCKET_ENTRIES)), HOT if table.value.max() > HOT else None
-    packed = rows.mapInArrow(_packed(table, rule, buckets, hot, FLUSH_ENTRIES), "bucket bigint, shingle binary, id binary, same binary, n binary, at binary")
+    packed = bitset.marked(rows, "id", shared, "id").mapInArrow(_packed(table, rule, buckets, hot, FLUSH_ENTRIES), "bucket bigint, shingle binary, same binary, id binary, n binary, at binary")
     parts = min(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = packed.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket")
     out = dealt.mapInArrow(_regions, kinds)
@@ -279,61 +281,39 @@ def _reached(rows: DataFrame, of: DataFrame, table, rule: Rule, entries: int) ->
     return cut_lineage(out.unionByName(plain.join(cells, "shingle").filter("id <> pivot").select(*REACHED)))
 
 
-def _requested_sets(k: int):
+def _compare(k: int):
+    """Rows come sorted by pivot, chunk, member; the pivot's own text (member 0) leads each chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pivot", "chunk", "member", "id", "hashes"]
+        held = np.zeros(0, dtype=np.uint64)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                ids, asked = piece.column("id").to_pylist(), piece.column("asked").to_pylist()
-                rows, held = [], 0
-                for i, s in enumerate(shingle_sets(piece.column("text"), k)):
-                    data = s.tobytes()
-                    for a in asked[i]:
-                        rows.append((a["pivot"], a["chunk"], a["member"], ids[i], data))
-                        held += len(data)
-                        if held > 1 << 24:
-                            yield _batch(rows, names)
-                            rows, held = [], 0
-                if rows:
-                    yield _batch(rows, names)
+                columns = [piece.column(c).to_pylist() for c in ("pivot", "member", "id")]
+                out = []
+                for p, member, i, s in zip(*columns, shingle_sets(piece.column("text"), k), strict=True):
+                    if not member:
+                        held = s
+                        continue
+                    at = np.minimum(np.searchsorted(held, s), max(len(held) - 1, 0))
+                    both = int((held[at] == s).sum()) if len(held) else 0
+                    out.append((p, i, both, len(held) + len(s) - both))
+                columns = zip(*out, strict=True) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pivot", "id", "both", "either"])
 
     return run
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by pivot, chunk, member; the pivot's own set (member 0) leads each chunk."""
-    held = np.zeros(0, dtype=np.uint64)
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("pivot", "member", "id")]
-        out = []
-        for p, member, i, data in zip(*columns, batch.column("hashes"), strict=True):
-            s = np.frombuffer(data.as_buffer(), dtype=np.uint64)
-            if not member:
-                held = s
-                continue
-            at = np.minimum(np.searchsorted(held, s), max(len(held) - 1, 0))
-            both = int((held[at] == s).sum()) if len(held) else 0
-            out.append((p, i, both, len(held) + len(s) - both))
-        columns = zip(*out, strict=True) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pivot", "id", "both", "either"])
-
-
 def _verify(rows: DataFrame, sizes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Exact intersection and union of each (pivot, id) pair; ``rows`` holds id and text."""
     load = pairs.join(sizes, "id").groupBy("pivot").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("chunks"))
     dealt = pairs.join(load, "pivot").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     members = dealt.select("id", F.struct("pivot", "chunk", F.lit(1).alias("member")).alias("ask"))
     own = load.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(F.col("pivot").alias("id"), F.struct("pivot", "chunk", F.lit(0).alias("member")).alias("ask"))
-    asked = members.unionByName(own).groupBy("id").agg(F.collect_list("ask").alias("asked"))
-    asked = cut_lineage(asked)
-    sets = bitset.marked(rows, "id", asked, "id").filter("marked").drop("marked").join(asked, "id").mapInArrow(_requested_sets(k), "pivot bigint, chunk bigint, member int, id bigint, hashes binary")
-    together = sets.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "member")
-    return cut_lineage(together.mapInArrow(_compare, "pivot bigint, id bigint, both bigint, either bigint"))
+    asked = cut_lineage(members.unionByName(own).groupBy("id").agg(F.collect_list("ask").alias("asked")))
+    found = bitset.marked(rows, "id", asked, "id").filter("marked").join(asked, "id")
+    texts = found.select("id", "text", F.explode("asked").alias("ask")).select("ask.*", "id", "text")  # a text takes less than its hashes
+    together = texts.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "member")
+    return cut_lineage(together.mapInArrow(_compare(k), "pivot bigint, id bigint, both bigint, either bigint"))
 
 
 def _meet(n: Column, at: Column, m: Column, place: Column, rule: Rule) -> Column:
@@ -379,20 +359,21 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     known = summaries.filter("block IS NULL").select("row.*", "n_words", "n", "same")
     table = spark.sparkContext.broadcast(_sketch(summaries))
 
-    classes = known.filter("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("class"), F.min("doc_id").alias("least"))
+    classes = known.filter("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("class"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     placed = cut_lineage(known.join(classes.select("same", "class"), "same", "left").withColumn("class", F.coalesce("class", "id")))
     of = placed.filter("n > 0").select("id", "class", "n").distinct()
     sizes = of.filter("id = class").select("id", "n")
 
     entries = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (rule.den - rule.num) // rule.den
-    reached = _reached(rows.select("id", "text"), of, table, rule, entries)
+    shared = placed.join(classes.filter("rows > 1").select("same"), "same").select("id")
+    reached = _reached(rows.select("id", "text"), of, shared, table, rule, entries)
     near = reached.filter(_meet(F.col("n"), F.col("at"), F.col("m"), F.col("place"), rule)).select("pivot", "id").distinct()
     measured = _verify(rows.select("id", "text"), sizes, cut_lineage(near), rule.k)
     is_link = F.col("both") * rule.den >= F.col("either") * rule.num
     links = measured.filter(is_link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     found = components(links)
 
-    further = cut_lineage(_across(_open_regions(reached, measured, found), rule).join(measured.select("pivot", "id"), ["pivot", "id"], "left_anti"))
+    further = cut_lineage(_across(cut_lineage(_open_regions(reached, measured, found)), rule).join(measured.select("pivot", "id"), ["pivot", "id"], "left_anti"))
     if not further.isEmpty():
         more = _verify(rows.select("id", "text"), sizes, further, rule.k).filter(is_link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         found = components(links.unionByName(more))
