@@ -13,8 +13,9 @@ components of the links.
    entries in a row; what only one document holds ends there.
 3. The distance of each document to the pivots of its regions gives the first links. It is
    computed exactly where sizes and the places of the shared shingle in both orders leave a
-   link possible with that shingle as the first common one; elsewhere sizes bound it from
-   below. Copies of one text thus link through one pivot, without pairs among themselves.
+   link possible with that shingle as the first common one, and where the outlines of both sets
+   (counts of hashes in ranges) allow an intersection large enough; elsewhere sizes or outlines
+   bound it from below. Copies of one text thus link through one pivot, without pairs among themselves.
    Only texts of documents to be compared are shuffled, told apart by a bit table of fixed size.
 4. Regions whose documents are not yet in one component are joined again, once, with what
    lies outside their largest component (no recursion): two documents of different components are
@@ -281,6 +282,58 @@ def _reached(rows: DataFrame, of: DataFrame, shared: DataFrame, table, rule: Rul
     return cut_lineage(out.unionByName(plain.join(cells, "shingle").filter("id <> pivot").select(*REACHED)))
 
 
+def outline(s: np.ndarray) -> bytes:
+    """How many of a set's hashes lie in each of about as many equal ranges: half a byte each, 15 for 15 or more."""
+    bits = max(6, len(s).bit_length() - 1)
+    cells = np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+    return (cells[::2] | cells[1::2] << 4).tobytes()
+
+
+def most_common(a: bytes, b: bytes) -> int | None:
+    """An upper bound of the elements that sets of these outlines share; none where a cell is full."""
+    cells = []
+    for x in (a, b):
+        x = np.frombuffer(x, dtype=np.uint8)
+        cells.append(np.stack([x & 15, x >> 4], axis=1).ravel().astype(np.int64))
+        if cells[-1].max() == 15:
+            return None
+    x, y = sorted(cells, key=len)
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum())
+
+
+def _outlines(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                sets = list(shingle_sets(piece.column("text"), k))
+                columns = [piece.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([outline(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "cells"])
+
+    return run
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, m = (batch.column(c).to_pylist() for c in ("n", "m"))
+        known = [most_common(a.as_py(), b.as_py()) for a, b in zip(batch.column("cells"), batch.column("pivot_cells"), strict=True)]
+        most = [min(x, y) if z is None else z for x, y, z in zip(n, m, known, strict=True)]
+        least = [x + y - z for x, y, z in zip(n, m, most, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pivot", "id", "n")), pa.array(most, pa.int64()), pa.array(least, pa.int64())], names=["pivot", "id", "n", "most", "least"])
+
+
+def _bounds(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The size n of the set of id, and the largest intersection and smallest union that the outlines of each (pivot, id) pair leave possible.
+
+    Outlines take a fraction of the texts, so texts are only shuffled for pairs that these bounds leave open.
+    """
+    asked = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id")))
+    outlines = bitset.marked(rows, "id", asked, "id").filter("marked").select("id", "text").mapInArrow(_outlines(k), "id bigint, n bigint, cells binary")
+    outlines = cut_lineage(outlines.dropDuplicates(["id"]))
+    pivots = outlines.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("cells").alias("pivot_cells"))
+    both = pairs.join(outlines, "id").join(pivots, "pivot").select("pivot", "id", "n", "m", "cells", "pivot_cells")
+    return cut_lineage(both.mapInArrow(_bounded, "pivot bigint, id bigint, n bigint, most bigint, least bigint"))
+
+
 def _compare(k: int):
     """Rows come sorted by pivot, chunk, member; the pivot's own text (member 0) leads each chunk."""
 
@@ -303,9 +356,9 @@ def _compare(k: int):
     return run
 
 
-def _verify(rows: DataFrame, sizes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Exact intersection and union of each (pivot, id) pair; ``rows`` holds id and text."""
-    load = pairs.join(sizes, "id").groupBy("pivot").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("chunks"))
+def _verify(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """Exact intersection and union of each (pivot, id) pair; ``rows`` holds id and text, ``pairs`` also the size n of the set of id."""
+    load = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("chunks"))
     dealt = pairs.join(load, "pivot").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     members = dealt.select("id", F.struct("pivot", "chunk", F.lit(1).alias("member")).alias("ask"))
     own = load.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(F.col("pivot").alias("id"), F.struct("pivot", "chunk", F.lit(0).alias("member")).alias("ask"))
@@ -330,12 +383,10 @@ def _meet(n: Column, at: Column, m: Column, place: Column, rule: Rule) -> Column
 def _across(regions: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of documents of a region and of different components that may link.
 
-    ``regions``: shingle, id, n, at, component, low, high (bounds of the distance to the
-    pivot). Documents of a region's largest component are only compared with those outside it.
+    ``regions``: shingle, id, n, at, component, outside (of the region's largest component), low, high (bounds of the
+    distance to the pivot). Documents of a region's largest component are only compared with those outside it.
     """
-    sizes = regions.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    rows = regions.join(largest, "shingle").withColumn("outside", F.col("component") != F.col("largest")).withColumn("band", F.floor(F.log("n") / (math.log(rule.den / rule.num) + 1e-9)))
+    rows = regions.withColumn("band", F.floor(F.log("n") / (math.log(rule.den / rule.num) + 1e-9)))
     left = rows.filter("outside").select("shingle", F.explode(F.array(*[F.col("band") + x for x in (-1, 0, 1)])).alias("band"), *[F.col(c).alias(f"l_{c}") for c in ("id", "n", "at", "component", "low", "high")])
     slack = 1 - rule.num / rule.den + 1e-9
     pairs = left.join(rows, ["shingle", "band"]).filter(
@@ -359,40 +410,43 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     known = summaries.filter("block IS NULL").select("row.*", "n_words", "n", "same")
     table = spark.sparkContext.broadcast(_sketch(summaries))
 
-    classes = known.filter("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("class"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    placed = cut_lineage(known.join(classes.select("same", "class"), "same", "left").withColumn("class", F.coalesce("class", "id")))
+    classes = known.filter("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("same", "class")
+    placed = known.join(classes, "same", "left").withColumn("shared", F.col("class").isNotNull()).withColumn("class", F.coalesce("class", "id"))
+    placed = cut_lineage(placed.drop("same"))
     of = placed.filter("n > 0").select("id", "class", "n").distinct()
-    sizes = of.filter("id = class").select("id", "n")
 
     entries = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (rule.den - rule.num) // rule.den
-    shared = placed.join(classes.filter("rows > 1").select("same"), "same").select("id")
+    shared = placed.filter("shared").select("id")
     reached = _reached(rows.select("id", "text"), of, shared, table, rule, entries)
     near = reached.filter(_meet(F.col("n"), F.col("at"), F.col("m"), F.col("place"), rule)).select("pivot", "id").distinct()
-    measured = _verify(rows.select("id", "text"), sizes, cut_lineage(near), rule.k)
-    is_link = F.col("both") * rule.den >= F.col("either") * rule.num
+    bounds = _bounds(rows.select("id", "text"), cut_lineage(near), rule.k)
+    is_open, is_link = (F.col(x) * rule.den >= F.col(y) * rule.num for x, y in (("most", "least"), ("both", "either")))
+    measured = _verify(rows.select("id", "text"), bounds.filter(is_open).select("pivot", "id", "n"), rule.k)
     links = measured.filter(is_link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     found = components(links)
 
-    further = cut_lineage(_across(cut_lineage(_open_regions(reached, measured, found)), rule).join(measured.select("pivot", "id"), ["pivot", "id"], "left_anti"))
+    further = cut_lineage(_across(cut_lineage(_open_regions(reached, bounds, measured, found)), rule).join(bounds.select("pivot", "id"), ["pivot", "id"], "left_anti"))
+    further = _bounds(rows.select("id", "text"), further, rule.k).filter(is_open).select("pivot", "id", "n")
     if not further.isEmpty():
-        more = _verify(rows.select("id", "text"), sizes, further, rule.k).filter(is_link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+        more = _verify(rows.select("id", "text"), further, rule.k).filter(is_link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         found = components(links.unionByName(more))
 
     known_as = placed.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("first", F.coalesce("component", "class"))
-    least = classes.join(found.withColumnRenamed("node", "class"), "class", "left").groupBy(F.coalesce("component", "class").alias("first")).agg(F.min("least").alias("component_id"))
+    least = known_as.filter("n > 0 AND (shared OR component IS NOT NULL)").groupBy("first").agg(F.min("doc_id").alias("component_id"))
     out = known_as.join(least, "first", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("id", "doc_id", F.col("n").alias("n_shingles"), "n_words", "first", component.alias("component_id"), *[F.col(f"kept_{c}").alias(c) for c in keep])
 
 
-def _open_regions(reached: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:
+def _open_regions(reached: DataFrame, bounds: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:
     """The documents of regions that hold more than one component, with bounds of their distance to the pivot."""
     inside = reached.filter("many > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = inside.groupBy("shingle").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("shingle")
-    exact = measured.select("pivot", "id", (1 - F.col("both") / F.col("either")).alias("d"))
-    low = F.coalesce("d", 1 - F.least("m", "n") / F.greatest("m", "n"))
-    bounded = inside.join(several, "shingle").join(exact, ["pivot", "id"], "left")
-    return bounded.select("shingle", "id", "n", "at", "component", low.alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
+    sizes = inside.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("components")).filter("components > 1")
+    exact = bounds.join(measured, ["pivot", "id"], "left").select("pivot", "id", (1 - F.col("most") / F.col("least")).alias("d_least"), (1 - F.col("both") / F.col("either")).alias("d"))
+    low = F.coalesce("d", "d_least", 1 - F.least("m", "n") / F.greatest("m", "n"))
+    bounded = inside.join(largest, "shingle").join(exact, ["pivot", "id"], "left")
+    return bounded.select("shingle", "id", "n", "at", "component", (F.col("component") != F.col("largest")).alias("outside"), low.alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
 
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:

@@ -2,15 +2,18 @@ import json
 import random
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lakescope.llm import bitset, jaccard_join
 from lakescope.llm.graph import components
 from lakescope.llm.words import NONSPACE, Words
+from lakescope.session import cut_lineage
 
 
 def sets_of(rows):
@@ -212,3 +215,49 @@ def test_word_hashes_do_not_depend_on_place():
     h = w.hashes
     assert h[0] == h[4] and h[1] == h[3] == h[7]
     assert len(np.unique(h)) == len(h) - 3
+
+
+def test_outlines_bound_the_intersection():
+    """Never below the true intersection; far below the smaller size for sets with little in common."""
+    rng = np.random.default_rng(8)
+    for n, both in [(1, 0), (5, 3), (70, 70), (200, 60), (200, 150), (3000, 0), (3000, 2400)]:
+        x, y, z = (rng.integers(0, 1 << 64, m, dtype=np.uint64) for m in (both, n - both, n - both + n // 5))
+        a, b = np.sort(np.concatenate([x, y])), np.sort(np.concatenate([x, z]))
+        most = jaccard_join.most_common(jaccard_join.outline(a), jaccard_join.outline(b))
+        assert both <= most <= both + 0.75 * (n - both) + 1
+    full = np.arange(40, dtype=np.uint64)  # all in one range
+    assert jaccard_join.most_common(jaccard_join.outline(full), jaccard_join.outline(full + np.uint64(20))) is None
+    assert jaccard_join.most_common(jaccard_join.outline(full[:0]), jaccard_join.outline(full[:9])) == 0
+
+
+def test_texts_of_pairs_with_little_in_common_are_not_compared(spark, monkeypatch):
+    """Documents that share half their text meet in many regions, but only near copies have their texts shuffled."""
+    rng = random.Random(9)
+    passages = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(150)) for _ in range(8)]
+    rows = [(100 * i + j, f"{passages[i]} {passages[j]}") for i in range(8) for j in range(i)]
+    rows.append((9000, f"{rows[0][1]} more"))
+    asked, verify = [], jaccard_join._verify
+
+    def spy(*args):
+        asked.extend((r["pivot"], r["id"]) for r in args[-2].select("pivot", "id").collect())
+        return verify(*args)
+
+    monkeypatch.setattr(jaccard_join, "_verify", spy)
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), rule=jaccard_join.NEAR)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == sorted((i, 100 if i == 9000 else i) for i, _ in rows)
+    assert [sorted(p) for p in asked] == [[100, 9000]]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """What a write shuffled goes at its end, not when the driver's garbage is collected."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {p.name for d in manager.localDirs() for p in Path(d.getPath()).rglob("shuffle_*")}
+    before = files()
+    assert cut_lineage(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    rows = cut_lineage(spark.range(1000).withColumn("k", F.col("id") % 7).repartition(3, "k"))
+    for _ in range(40):
+        left = {x.split("_")[1] for x in files() - before}
+        if len(left) < 2:  # the count's own
+            break
+        time.sleep(0.25)
+    assert len(left) < 2 and rows.count() == 1000
