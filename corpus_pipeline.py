@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakescope.llm import decontamination, exact_dedup, jaccard_join, packing, quality
 from lakescope.llm.queries import table
-from lakescope.session import cut_lineage
+from lakescope.session import bound_batches, cut_lineage
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null text is scored as an empty one; rows that repeat are judged alike, and a score of
     exactly one half is kept. Labels are matched by id, so rows that share an id share a label.
     """
+    bound_batches(spark)
     labelled = quality.training(table(spark, sf_dir, "labels"))
     model = quality.fit(quality.features(docs), labelled)
     return quality.keep_good(docs, model)
@@ -25,6 +26,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts are equal; of rows that repeat both id and text one stays.
     """
+    bound_batches(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
@@ -34,6 +36,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are like nothing and stay; where ids repeat or are null, rows are
     told apart by id and text.
     """
+    bound_batches(spark)
     return jaccard_join.one_of_each_group(docs, rule=jaccard_join.NEAR)
 
 
@@ -42,6 +45,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows that share an id share their fate.
     """
+    bound_batches(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -51,6 +55,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one part without words; equal lengths go by id, part and a hash of
     the text, by which rows that share an id are told apart; rows that repeat are packed each.
     """
+    bound_batches(spark)
     return packing.sequences(docs, packing.pack(packing.measure(docs)))
 
 

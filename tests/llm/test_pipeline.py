@@ -1,12 +1,13 @@
 """The stages one after the other, each held against its own definition."""
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_decontamination import brute as brute_leaks
 from test_jaccard_join import brute as brute_groups
 from test_jaccard_join import brute_by
 
-from lakescope.session import cut_lineage
+from lakescope.session import BATCH_BYTES, cut_lineage
 
 
 def test_stages(spark, sf):
@@ -79,3 +80,21 @@ def test_near_copies_by_five_words_and_four_fifths(spark, sf):
     assert 900_001 in ids and 900_002 not in ids
     groups = dict(brute_by(rows, 5, 80, 100))
     assert ids == sorted(i for i, t in rows if groups[i] == i or not t)
+
+
+def test_texts_reach_python_in_small_batches(spark, sf):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some text "), 400).alias("text"), F.lit("s").alias("source"))
+    few, most = docs.filter("doc_id < 9"), 5 << 20
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(BATCH_BYTES)
+        stage(spark, few, sf)
+        got = docs.mapInArrow(sizes, "n bigint, bytes bigint").collect()  # computed after the stage, as its result is
+        assert sum(r["n"] for r in got) == 2000 and max(r["bytes"] for r in got) < most, name
+    spark.conf.set(BATCH_BYTES, "12m")
+    stage(spark, few, sf)
+    assert spark.conf.get(BATCH_BYTES) == "12m"  # a session's own bound stays
+    spark.conf.unset(BATCH_BYTES)
