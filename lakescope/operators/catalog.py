@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 COLUMN_SCHEMA = (
     "source_id string, table_name string, table_pos bigint, ordinal bigint, column_name string, "
@@ -183,24 +186,36 @@ def joined_sha16(entries: DataFrame, by: Sequence[str], entry: str, alias: str)
     schema = T.StructType([*[entries.schema[k] for k in by], T.StructField(alias, T.StringType())])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = entries.select(*by, F.col(entry).alias("_e")).repartition(parts, *by).sortWithinPartitions(*by, "_e")
+    shape = to_arrow_schema(schema)
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(done: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*done, strict=True) if done else [[] for _ in shape]
+        return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sha = None, None
         for batch in batches:
+            keys, texts = list(zip(*(batch[c].to_pylist() for c in by), strict=True)), batch["_e"].to_pylist()
+            new = np.zeros(len(texts), dtype=bool)
+            for c in by if len(texts) > 1 else ():
+                now, last = batch[c][1:], batch[c][:-1]
+                changed = pc.or_kleene(pc.not_equal(now, last), pc.not_equal(pc.is_null(now), pc.is_null(last)))
+                new[1:] |= changed.fill_null(False).to_numpy(zero_copy_only=False)
+            starts = [0, *np.flatnonzero(new).tolist(), len(texts)] if texts else []
             done = []
-            for k, group in batch.groupby(list(by), sort=False, dropna=False):
-                text = "|".join(group["_e"])
-                if k == key:
+            for start, end in zip(starts, starts[1:], strict=False):
+                text = texts[start] if end - start == 1 else "|".join(texts[start:end])
+                if keys[start] == key:
                     sha.update(f"|{text}".encode())
                 else:
                     if key is not None:
                         done.append((*key, sha.hexdigest()[:16]))
-                    key, sha = k, hashlib.sha256(text.encode())
-            yield pd.DataFrame(done, columns=[*by, alias])
+                    key, sha = keys[start], hashlib.sha256(text.encode())
+            yield listed(done)
         if key is not None:
-            yield pd.DataFrame([(*key, sha.hexdigest()[:16])], columns=[*by, alias])
+            yield listed([(*key, sha.hexdigest()[:16])])
 
-    return rows.mapInPandas(digest, schema)
+    return rows.mapInArrow(digest, schema)
 
 
 def bucketed_sha16(entries: DataFrame, by: Sequence[str], entry: str, alias: str) -> DataFrame:
