@@ -31,3 +31,12 @@ def test_chunks_end_between_scopes(spark, monkeypatch):
     monkeypatch.setattr(pathscopes, "CHUNK_PAIRS", 3)
     rows = random_lake(4)
     assert rows_of(joinpaths.discover(spark.createDataFrame(rows, LAKE))) == plain(rows, False)
+
+
+def test_counts_of_small_scopes_need_no_classes(spark):
+    rows = random_lake(6)
+    paths = pathclasses.factored(spark.createDataFrame(rows, LAKE))
+    counted = pathclasses.path_counts(paths)
+    assert paths.classes is None and "Join" not in plan(counted)
+    want = plain(rows, False)
+    assert sum(r["n_paths"] for r in counted.collect()) == len(want)
