@@ -40,3 +40,14 @@ def test_counts_of_small_scopes_need_no_classes(spark):
     assert paths.classes is None and "Join" not in plan(counted)
     want = plain(rows, False)
     assert sum(r["n_paths"] for r in counted.collect()) == len(want)
+
+
+@pytest.mark.parametrize("signal", ["exact_match", "fk_id", "stripped_suffix"])
+def test_a_signal_of_small_scopes_needs_one_shuffle(spark, signal):
+    """join_name_exact, join_name_fk_id and join_name_suffix: all pairs of a rule, unfused."""
+    rows = random_lake(7)
+    found = joinpaths.name_candidates(spark.createDataFrame(rows, LAKE)).filter(f"signal_source = 'name_pattern:{signal}'")
+    assert plan(found).count("Exchange") == 1
+    whole = plain([(*r[:6], None) for r in rows], False)
+    shown = {(r["source_id"], r["a_table_name"], r["b_table_name"], r["join_condition"]) for r in found.collect()}
+    assert shown >= {r[:4] for r in whole if r[5] == f"name_pattern:{signal}"}
