@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakescope.functions import render, text
 from lakescope.operators import sqlrun
 from lakescope.plans.registry import query, table
-from lakescope.session import scratch_path
+from lakescope.session import cut_lineage, scratch_path
 from lakescope.sources import files, register, sinks
 
 
@@ -96,13 +96,13 @@ def excel_scan(spark, sf_dir):
     def build(group: pd.DataFrame) -> pd.DataFrame:
         names = ["c_custkey", "c_name", "c_mktsegment", None, "c_nationkey", "c_acctbal"]
         head = ["c_custkey", "c_name", None, "nothing", "key", "key"]
-        body = [[None if n is None else r[n].item() if hasattr(r[n], "item") else r[n] for n in names] for _, r in group.iterrows()]
-        rows = [head, *body]
+        held = [[None] * len(group) if n is None else group[n].tolist() for n in names]
+        rows = [head, *map(list, zip(*held, strict=True))]
         path = f"book{group['book'].iloc[0]}.xlsx"
         return pd.DataFrame({"path": [path], "content": [workbook_bytes({"customers": rows, "notes": [["a"], ["b"]]})]})
 
     cust = table(spark, sf_dir, "customer").withColumn("book", F.floor(F.col("c_custkey") / _BOOK_ROWS))
-    books = cust.groupBy("book").applyInPandas(build, "path string, content binary")
+    books = cut_lineage(cust.groupBy("book").applyInPandas(build, "path string, content binary"))  # files are read, not made again
     notes = files.workbook_tables(files.workbook_cells(books, ["notes"]))
     assert len(notes) == books.count() and all(n.startswith("book") and n.endswith("_notes") for n in notes)
     return files.sheet_table(files.workbook_cells(books, ["customers"]), "customers").withColumn("other_table", F.lit("notes_of_book"))

@@ -7,7 +7,7 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakescope.session import cut_lineage
 from lakescope.sources import records
 
 DELIMITERS = [",", "\t", ";", "|"]
@@ -128,7 +129,7 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[s
     return sorted(s.getPath().toString() for s in status if s.getPath().getName().endswith(suffix))
 
 
-def _once(tables: dict[str, DataFrame], name: str, origin: str) -> str:
+def _once(tables: dict, name: str, origin: str) -> str:
     if name in tables:
         raise ValueError(f'table "{name}" of {origin} is already read from another file')
     return name
@@ -246,32 +247,77 @@ def sheet_table(cells: DataFrame, sheet: str, path: str | None = None) -> DataFr
     rows = cells.filter(F.col("sheet") == sheet)
     if path is not None:
         rows = rows.filter(F.col("path") == path)
-    firsts = rows.groupBy("path").agg(F.min("row").alias("first"))
-    placed = rows.join(firsts, "path")
-    header = placed.filter("row = first").select("path", F.inline("cells")).select("path", "col", F.trim("value").alias("name"))
-    body = placed.filter("row > first").select("path", "row", F.inline("cells"))
+    columns = _sheet_columns(rows.select("path", F.lit("").alias("table"), "row", "cells"))
+    kinds = columns.groupBy("name").agg(F.min("col").alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return _typed(rows, columns, kinds.orderBy("at", "name").collect())
+
+
+def _bodies(rows: DataFrame) -> DataFrame:
+    """Rows with the number of the first row of their sheet in ``first``."""
+    firsts = rows.groupBy("path", "table").agg(F.min("row").alias("first"))
+    return rows.join(firsts, ["path", "table"])
+
+
+def _sheet_columns(rows: DataFrame) -> DataFrame:
+    """``path, table, col, lo, hi, name`` of (path, table, row, cells): name, least and greatest kind of every column."""
+    placed = _bodies(rows)
+    keys = ["path", "table"]
+    header = placed.filter("row = first").select(*keys, F.inline("cells")).select(*keys, "col", F.trim("value").alias("name"))
+    body = placed.filter("row > first").select(*keys, "row", F.inline("cells"))
     # one row per column and workbook: bounded by the width of a sheet
-    columns = body.groupBy("path", "col").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).join(header, ["path", "col"], "full")
+    columns = body.groupBy(*keys, "col").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).join(header, [*keys, "col"], "full")
     name = F.when(F.coalesce("name", F.lit("")) == "", F.concat(F.lit("column_"), (F.col("col") + 1).cast("string"))).otherwise(F.col("name"))
-    nth = F.row_number().over(Window.partitionBy("path", name).orderBy("col"))
-    columns = columns.select("path", "col", "lo", "hi", F.when(nth == 1, name).otherwise(F.concat(name, F.lit("_"), nth.cast("string"))).alias("name"))
-    kinds = columns.groupBy("name").agg(F.min("col").alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    plan = [(r["name"], r["lo"] if r["lo"] == r["hi"] and r["lo"] else "string") for r in kinds.orderBy("at", "name").collect()]
+    nth = F.row_number().over(Window.partitionBy(*keys, name).orderBy("col"))
+    return columns.select(*keys, "col", "lo", "hi", F.when(nth == 1, name).otherwise(F.concat(name, F.lit("_"), nth.cast("string"))).alias("name"))
+
+
+def _typed(rows: DataFrame, columns: DataFrame, kinds: list) -> DataFrame:
+    """The rows below the first one, with the columns of ``kinds`` (name, lo, hi)."""
+    body = _bodies(rows.withColumn("table", F.lit(""))).filter("row > first").select("path", "row", F.inline("cells"))
+    plan = [(r["name"], r["lo"] if r["lo"] == r["hi"] and r["lo"] else "string") for r in kinds]
     values = F.map_from_entries(F.collect_list(F.struct("name", "value")))
     wide = body.join(columns.select("path", "col", "name"), ["path", "col"]).groupBy("path", "row").agg(values.alias("v"))
     return wide.select(*[F.col("v")[name].cast(kind).alias(name) for name, kind in plan])
 
 
-def read_workbooks(spark: SparkSession, folder: str, sheets: list[str] | None = None) -> dict[str, DataFrame]:
+def read_workbooks(spark: SparkSession, folder: str, sheets: list[str] | None = None) -> Mapping[str, DataFrame]:
     """Every sheet of every workbook directly in a folder as a table ``<file>_<sheet>``."""
     books = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(folder)
     return workbook_tables(workbook_cells(books, sheets))
 
 
-def workbook_tables(cells: DataFrame) -> dict[str, DataFrame]:
+def workbook_tables(cells: DataFrame) -> Mapping[str, DataFrame]:
     """A table per workbook and sheet of ``cells``; equal table names are an error."""
-    out: dict[str, DataFrame] = {}
-    for r in cells.select("path", "sheet").distinct().orderBy("path", "sheet").collect():
-        name = table_name(f"{posixpath.splitext(posixpath.basename(r['path']))[0]}_{r['sheet']}.")
-        out[_once(out, name, r["path"])] = sheet_table(cells, r["sheet"], r["path"])
-    return out
+    # the columns of all sheets at once; a table is planned from them without a job of its own
+    cells = cut_lineage(cells)
+    columns = cut_lineage(_sheet_columns(cells.select("path", F.col("sheet").alias("table"), "row", "cells")))
+    kinds: dict[tuple, list] = {(r["path"], r["sheet"]): [] for r in cells.select("path", "sheet").distinct().orderBy("path", "sheet").collect()}
+    for r in columns.orderBy("path", "table", "col", "name").collect():
+        kinds[r["path"], r["table"]].append(r)
+    places: dict[str, tuple[str, str]] = {}
+    for path, sheet in kinds:
+        name = table_name(f"{posixpath.splitext(posixpath.basename(path))[0]}_{sheet}.")
+        places[_once(places, name, path)] = path, sheet
+    return _Sheets(cells, columns, kinds, places)
+
+
+class _Sheets(Mapping):
+    """Tables by name, each planned when it is first asked for."""
+
+    def __init__(self, cells: DataFrame, columns: DataFrame, kinds: dict[tuple, list], places: dict[str, tuple[str, str]]):
+        self._cells, self._columns, self._kinds, self._places = cells, columns, kinds, places
+        self._planned: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._planned:
+            path, sheet = self._places[name]
+            rows = self._cells.filter((F.col("path") == path) & (F.col("sheet") == sheet))
+            columns = self._columns.filter((F.col("path") == path) & (F.col("table") == sheet))
+            self._planned[name] = _typed(rows, columns, self._kinds[path, sheet])
+        return self._planned[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._places)
+
+    def __len__(self) -> int:
+        return len(self._places)
