@@ -51,3 +51,14 @@ def test_a_signal_of_small_scopes_needs_one_shuffle(spark, signal):
     whole = plain([(*r[:6], None) for r in rows], False)
     shown = {(r["source_id"], r["a_table_name"], r["b_table_name"], r["join_condition"]) for r in found.collect()}
     assert shown >= {r[:4] for r in whole if r[5] == f"name_pattern:{signal}"}
+
+
+def test_groups_of_small_scopes_need_no_join(spark):
+    columns = spark.createDataFrame(random_lake(8), LAKE)
+    groups = pathclasses.name_groups(columns)
+    assert "Join" not in plan(groups)
+    pairs = {(r[0], r[1]): r[2] for r in joinpaths.name_candidates(columns).groupBy("source_id", "signal_source").count().collect()}
+    got = {}
+    for r in groups.collect():
+        got[r["source_id"], r["signal_source"]] = got.get((r["source_id"], r["signal_source"]), 0) + r["n_pairs"]
+    assert got == pairs
